@@ -30,8 +30,9 @@ def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE) -> Col
     limit = -(1 << 63) + (1 << 64) // scale
     below = f"h -> h < {limit}L" if scale > 1 else "h -> true"
     n = f"size({words_column})"
-    hashes = f"transform(sequence(1, greatest({n} - {shingle - 1}, 1)), i -> xxhash64(slice({words_column}, i, {shingle})))"
-    return F.expr(f"case when {n} = 0 then cast(array() as array<int>) else array_sort(array_distinct(transform(filter({hashes}, {below}), h -> cast(shiftright(h, 32) as int)))) end")
+    each = ", ".join(f"get({words_column}, i + {j})" for j in range(shingle))  # beyond the end null, which a hash passes over
+    hashes = f"transform(sequence(0, greatest({n} - {shingle}, 0)), i -> xxhash64({each}))"
+    return F.expr(f"case when {n} = 0 then cast(array() as array<int>) else sort_array(array_distinct(transform(filter({hashes}, {below}), h -> cast(shiftright(h, 32) as int)))) end")
 
 
 def fingerprint(sketch_column: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kmerloom.llm import fingerprints, packing, quality, substring_dedup
+from kmerloom.llm import fingerprints, mixing, packing, quality, substring_dedup
 from kmerloom.llm.common import documents
 
 
@@ -24,6 +25,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir))
 
 
+#: The tree of the mixing query: a domain is a set of sources; weights of each level's nodes, 1 where none is named.
+MIX_LEVELS = {"domain": "CASE WHEN source = 'src0' THEN 'web' WHEN source IN ('src1', 'src2', 'src3', 'src4') THEN 'books' ELSE 'reference' END", "lang": "lang", "source": "source"}
+MIX_WEIGHTS = ["CASE domain WHEN 'web' THEN 4 WHEN 'books' THEN 5 ELSE 3 END", "CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 3 ELSE 2 END", "CASE WHEN source = '' THEN 0.5 ELSE 1 END"]
+MIX_SHARE = 0.6
+
+
+def mix_weight():
+    return F.expr(f"CASE WHEN source IS NOT NULL THEN {MIX_WEIGHTS[2]} WHEN lang IS NOT NULL THEN {MIX_WEIGHTS[1]} ELSE {MIX_WEIGHTS[0]} END")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir), {k: F.expr(v) for k, v in MIX_LEVELS.items()}, MIX_SHARE, mix_weight())
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir))
 
@@ -32,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op4_fingerprints, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op8_quality_rules)}
 
 #: DuckDB SQL for the rows of the queries above; the others are tested against brute force.
-SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE)}
