@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import fingerprints, mixing, packing, quality, substring_dedup
+from kmerloom.llm import fingerprints, line_dedup, mixing, packing, quality, substring_dedup
 from kmerloom.llm.common import documents
 
 
@@ -43,11 +43,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduped(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op7_line_dedup, op8_quality_rules)}
 
 #: DuckDB SQL for the rows of the queries above; the others are tested against brute force.
-SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE)}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE), "op7_line_dedup": line_dedup.SQL}

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINES = "doc_id long, text_key long, line_no int, digest binary"
-KEPT = "doc_id long, n_lines long, n_removed long, chars_removed long, removed_spans string, kept_text string"
+from kmerloom.llm import lines as L
+
+DIGESTS = "doc_id long, text_key long, line_no int, digest binary"
 
 
 def normalised(line: str) -> str:
@@ -35,43 +36,28 @@ def without_repeats(docs: DataFrame, least_chars: int = 1) -> DataFrame:
     comma-joined), kept_text (the lines that stay, joined by line feeds).
 
     A null text counts as empty. Rows that repeat a doc_id are ordered by a hash of their text; wholly equal rows count
-    as one and are each returned. Rows without a doc_id come after all others. Other columns are ignored.
+    as one and are each returned. Rows without a doc_id come after all others. Other columns are ignored. An empty table
+    gives an empty result.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    counts = lambda line: len(normalised(line)) >= least_chars
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, line_no, digest = [], [], []
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 for j, line in enumerate(text.as_py().split("\n")):
                     if len(unit := normalised(line)) >= least_chars:
                         row.append(i)
                         line_no.append(j)
                         digest.append(hashlib.md5(unit.encode()).digest())
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line_no, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "text_key", "line_no", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line_no, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "text_key", "line_no", "digest"])
 
-    lines = given.mapInArrow(digests, LINES).withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no"))
+    given = L.keyed(docs)
+    lines = given.select("doc_id", "text_key", "text").mapInArrow(digests, DIGESTS).withColumn("place", L.place())
     first = lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    repeats = lines.join(first, "digest").where(F.col("place") != F.col("first")).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("repeated"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, repeated in zip(batch.column(1), batch.column(2), strict=True):
-                parts, gone = text.as_py().split("\n"), set(repeated.as_py() or ())
-                spans, at = [], 0
-                for j, line in enumerate(parts):
-                    if j in gone:
-                        spans.append((at, at + len(line)))
-                    at += len(line) + 1
-                units = sum(len(normalised(x)) >= least_chars for x in parts)
-                rows.append((units, len(gone), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), "\n".join(x for j, x in enumerate(parts) if j not in gone)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True))], names=[x.split()[0] for x in KEPT.split(", ")])
-
-    d, r = given.alias("d"), repeats.alias("r")
-    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key"))
-    return d.join(r, same, "left").select("d.doc_id", "d.text", "r.repeated").mapInArrow(keep, KEPT)
+    repeats = lines.join(first, "digest").where(F.col("place") != F.col("first")).select("doc_id", "text_key", "line_no")
+    return L.rebuilt(given, repeats, counts)
 
 
 #: The same rows in SQL.
