@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality, substring_dedup
+from kmerloom.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality, substring_dedup, suffix_dedup
 from kmerloom.llm.common import documents
 
 
@@ -55,7 +55,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(documents(spark, sf_dir), words=3, percent=90)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op7_line_dedup, op8_quality_rules, op9_jaccard_join)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduped(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_suffix_dedup)}
 
 #: DuckDB SQL for the rows of the queries above; the others are tested against brute force.
 SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE), "op7_line_dedup": line_dedup.SQL}
