@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import fingerprints, jaccard_join, langid, line_dedup, mixing, packing, quality, substring_dedup, suffix_dedup
+from kmerloom.llm import fingerprints, jaccard_join, langid, line_dedup, mixing, packing, pii, quality, substring_dedup, suffix_dedup
 from kmerloom.llm.common import documents
 
 
@@ -47,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(documents(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(documents(spark, sf_dir))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduped(documents(spark, sf_dir))
 
@@ -63,7 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduped(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op5_language_id, op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op5_language_id, op6_pii, op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_suffix_dedup)}
 
 #: DuckDB SQL for the rows of the queries above; the others are tested against brute force.
 SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE), "op7_line_dedup": line_dedup.SQL}
