@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,16 +30,20 @@ def shared_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/kmerloom-checkpoints")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to a new place in the shared checkpoint folder, and read from there."""
+    shared_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so that later reads neither recompute it nor lose it with an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and each row's offsets into them (length n + 1). Nulls count as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kmerloom.llm import textvec as V
 from kmerloom.llm.common import in_chunks, utf8_parts
@@ -125,16 +126,17 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def identified(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     """The language of every whole text of `docs` (doc_id, text, lang), learned from the rows that aren't held out.
 
     Returned: doc_id, held_out, lang_pred, score (the share of the text's n-grams that EM gives lang_pred among all
-    languages, 0 to 1), n_langs and mixture (the selected languages with shares, largest first). A text that is null or
+    languages, 0 to 1), n_langs and mixture (the selected languages with shares, largest first); the whole row as `row` if
+    whole_rows. A text that is null or
     has no letter is `und` with score 0, and so is every text if no row has a lang to learn from. lang, source and doc_id
     don't enter a prediction. Rows that repeat a doc_id are predicted each. Other columns are ignored. An empty table
     gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(*([F.struct("*").alias("row")] if whole_rows else []), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", F.col("lang").cast("string").alias("lang"))
     model = Mixture.learned(rows.where(~F.col("held_out")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -153,6 +155,9 @@ def identified(docs: DataFrame) -> DataFrame:
                 rows.append((lang, score, len(mix), ",".join(f"{k}:{v:.3f}" for k, v in mix)))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in PREDICTED.split(", ")])
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns + ([batch.column(3)] if whole_rows else []), names=schema.names)
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(predict, PREDICTED)
+    given = rows.select("doc_id", "held_out", "text", *(["row"] if whole_rows else []))
+    schema = T.StructType([*T._parse_datatype_string(PREDICTED), *([given.schema["row"]] if whole_rows else [])])
+    return given.mapInArrow(predict, schema)
