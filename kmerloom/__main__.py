@@ -44,7 +44,7 @@ def run_build(args: argparse.Namespace) -> int:
     spark = session()
     given = read_sequences(spark, args.input)
     began = time.time()
-    index = build(given, options)
+    index = build(given, options, args.tile)
     row = statistics.build_statistics(given, sequences.super_kmers(given, options), options).first().asDict()
     row["bits_per_kmer"] = sum(r.bits_per_kmer for r in statistics.space_model(index).collect())
     say(input=args.input, k=args.k, m=args.m, layout=args.layout, seconds=round(time.time() - began, 3), fallback_share=statistics.fallback_share(index), **row)
@@ -100,6 +100,7 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--layout", choices=LAYOUTS, default=LAYOUTS[0])
     b.add_argument("--hasher", default=Options.hasher)
     b.add_argument("--canonical", action="store_true")
+    b.add_argument("--tile", type=int, help="cut sequences into tiles of so many k-mers, to spread very long ones")
     b.add_argument("--check", action="store_true")
     b.add_argument("--verbose", action="store_true")
     b.set_defaults(run=run_build)

@@ -67,9 +67,9 @@ def fallback_table(super_kmer_table: DataFrame, minimizers: DataFrame, k: int) -
     return ranked(colliding_kmers(super_kmer_table, minimizers, k), ["kmer"], "fb_rank")
 
 
-def build(contigs: DataFrame, options: Options) -> Index:
-    """The index of all distinct k-mers of `contigs` (seq_id, seq). Repeated k-mers, breaks and short or null sequences are fine."""
-    runs = checkpointed(super_kmers(contigs, options))
+def build(contigs: DataFrame, options: Options, tile: int | None = None) -> Index:
+    """The index of all distinct k-mers of `contigs` (seq_id, seq). Repeated k-mers, breaks and short or null sequences are fine; `tile` as in super_kmers()."""
+    runs = checkpointed(super_kmers(contigs, options, tile))
     minimizers = checkpointed(classified(runs))
     table, fallback = checkpointed(minimizer_table(minimizers, options)), checkpointed(fallback_table(runs, minimizers, options.k))
     n_main = table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

@@ -18,6 +18,7 @@ from kmerloom.plans.config import Options
 
 SUPER_KMERS = "seq_id long, seg_id long, start long, ap long, minimizer string, p1 int, size int, bases string"
 KMERS = "seq_id long, seg_id long, pos long, kmer string"
+TILES = "seq_id long, seg_id long, tile_start long, n_kmers long, seg string"
 SEGMENTS = "seq_id long, seg_id long, seg_start long, seg string"
 
 
@@ -126,36 +127,85 @@ def _reversed(mmers: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def super_kmers(contigs: DataFrame, options: Options) -> DataFrame:
+def tiles(contigs: DataFrame, k: int, tile: int) -> DataFrame:
+    """Segments of at least k bases in tiles of up to `tile` k-mers: (seq_id, seg_id, tile_start, n_kmers, seg). Tiles overlap by k - 1 bases."""
+
+    def run(batches):
+        for ids, data, bounds in _chunks(batches):
+            b = _Batch(data, bounds)
+            n = np.maximum(b.end - b.begin - k + 1, 0)
+            owner, t = _spread(np.zeros(len(n), np.int64), -(-n // tile))
+            start = t * tile
+            for s in range(0, len(owner), 256):  # a batch of tiles at a time
+                o, a = owner[s : s + 256], start[s : s + 256]
+                yield _batch(TILES, ids[b.seq[o]], b.number[o], a, n[o], b.text(b.begin[o] + a, np.minimum(tile, n[o] - a) + k - 1))
+
+    return _contigs(contigs).where("seq_id is not null").mapInArrow(run, TILES)
+
+
+def _runs(batch: _Batch, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(segment, first k-mer, minimizer place, size, minimizer) of the super-k-mers of a batch; places are offsets in it."""
+    k, m, w = options.k, options.m, options.window
+    mmer = _mmers(batch.code, m)
+    if options.canonical:
+        mmer = np.minimum(mmer, _reversed(mmer, m))
+    order = dna.HASHERS[options.hasher](mmer, options.seed)
+    owner, at = _spread(batch.begin, np.maximum(batch.end - batch.begin - k + 1, 0))
+    best, place = order[at], at.copy()
+    for j in range(1, w):  # strictly less only, so the leftmost stays
+        other = order[at + j]
+        less = other < best
+        best, place = np.where(less, other, best), np.where(less, at + j, place)
+    opens = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))[: len(at)])
+    ap = place[opens]
+    if options.canonical:
+        shifts = dna.U64(2) * np.arange(m - 1, -1, -1, dtype=dna.U64)
+        letters = dna.BASES[((mmer[ap][:, None] >> shifts) & dna.U64(3)).astype(np.int64)]
+        names = pa.StringArray.from_buffers(len(ap), pa.py_buffer((np.arange(len(ap) + 1) * m).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+    else:
+        names = batch.text(ap, np.full(len(ap), m))
+    return owner[opens], at[opens], ap, np.diff(np.append(opens, len(at))), names
+
+
+def super_kmers(contigs: DataFrame, options: Options, tile: int | None = None) -> DataFrame:
     """(seq_id, seg_id, start, ap, minimizer, p1, size, bases): maximal runs of k-mers with one minimizer occurrence.
 
     A k-mer's minimizer is its m-mer of least hash, the leftmost on ties; `ap` is its place in the segment, `p1` its place
     in the first k-mer of the run, `start` the place of that k-mer, `size` the number of k-mers, `bases` their text. With
     options.canonical an m-mer and its reverse complement have one hash and one minimizer, the lesser of both.
+
+    With `tile`, sequences are cut into tiles of so many k-mers and spread over all tasks, for sequences as long as
+    chromosomes; the runs that tile bounds cut are put together again. The rows are the same.
     """
-    k, m, w, hasher = options.k, options.m, options.window, dna.HASHERS[options.hasher]
+    k = options.k
 
     def run(batches):
         for ids, data, bounds in _chunks(batches):
             b = _Batch(data, bounds)
-            mmer = _mmers(b.code, m)
-            if options.canonical:
-                mmer = np.minimum(mmer, _reversed(mmer, m))
-            order = hasher(mmer, options.seed)
-            owner, at = _spread(b.begin, np.maximum(b.end - b.begin - k + 1, 0))
-            best, place = order[at], at.copy()
-            for j in range(1, w):  # strictly less only, so the leftmost stays
-                other = order[at + j]
-                less = other < best
-                best, place = np.where(less, other, best), np.where(less, at + j, place)
-            opens = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))[: len(at)])
-            size = np.diff(np.append(opens, len(at)))
-            own, first, ap = owner[opens], at[opens], place[opens]
-            names = b.text(ap, np.full(len(ap), m))
-            if options.canonical:
-                shifts = dna.U64(2) * np.arange(m - 1, -1, -1, dtype=dna.U64)
-                letters = dna.BASES[((mmer[ap][:, None] >> shifts) & dna.U64(3)).astype(np.int64)]
-                names = pa.StringArray.from_buffers(len(ap), pa.py_buffer((np.arange(len(ap) + 1) * m).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
+            own, first, ap, size, names = _runs(b, options)
             yield _batch(SUPER_KMERS, ids[b.seq[own]], b.number[own], first - b.begin[own], ap - b.begin[own], names, (ap - first).astype(np.int32), size.astype(np.int32), b.text(first, size + k - 1))
 
-    return _contigs(contigs).where("seq_id is not null").mapInArrow(run, SUPER_KMERS)
+    if tile is None:
+        return _contigs(contigs).where("seq_id is not null").mapInArrow(run, SUPER_KMERS)
+
+    def run_tiles(batches):
+        for batch in batches:
+            seq_id, seg_id, tile_start, n_kmers = (batch.column(i).to_numpy() for i in range(4))
+            at = 0
+            for _, data, bounds in _chunks(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], names=["seq_id", "seq"])])):
+                b = _Batch(data, bounds)  # a tile is one segment
+                own, first, ap, size, names = _runs(b, options)
+                row = at + b.seq[own]
+                begin, start = b.begin[own], first - b.begin[own] + tile_start[row]
+                cut = ((first == begin) & (tile_start[row] > 0)) | ((first + size + k - 1 == b.end[own]) & (start + size < n_kmers[row]))
+                yield _batch(f"{SUPER_KMERS}, cut int", seq_id[row], seg_id[row], start, ap - begin + tile_start[row], names, (ap - first).astype(np.int32), size.astype(np.int32), b.text(first, size + k - 1), cut.astype(np.int32))
+                at += len(bounds) - 1
+
+    spread = tiles(contigs, k, tile).repartition(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = spread.mapInArrow(run_tiles, f"{SUPER_KMERS}, cut int")
+    pieces = F.array_sort(F.collect_list(F.struct("start", "size", "bases")))
+    whole = made.where("cut = 1").groupBy("seq_id", "seg_id", "ap", "minimizer").agg(pieces.alias("pieces"))
+    start = F.col("pieces")[0]["start"]
+    joined = F.concat(F.substring(F.col("pieces")[0]["bases"], 1, k - 1), F.array_join(F.transform("pieces", lambda x: F.substring(x["bases"], F.lit(k), x["size"])), ""))
+    whole = whole.select("seq_id", "seg_id", start.alias("start"), "ap", "minimizer", (F.col("ap") - start).cast("int").alias("p1"), F.expr("aggregate(pieces, 0, (s, x) -> s + x.size)").alias("size"), joined.alias("bases"))
+    return made.where("cut = 0").drop("cut").unionByName(whole)

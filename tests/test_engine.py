@@ -61,6 +61,13 @@ def test_super_kmers(spark, k, m):
     assert sorted(map(tuple, got)) == brute_runs(rows, k, m)
 
 
+@pytest.mark.parametrize("tile", [1, 3, 10, 1000])
+def test_tiles_change_nothing(spark, tile):
+    rows, o = some_rows(8, 20), Options(k=7, m=3)
+    whole = sequences.super_kmers(contigs(spark, rows), o).collect()
+    assert sorted(map(tuple, sequences.super_kmers(contigs(spark, rows), o, tile).collect())) == sorted(map(tuple, whole))
+
+
 def test_segments_and_kmers(spark):
     rows, k = some_rows(2), 5
     want = sorted((i, g, s) for i, seq in rows for g, s in split(seq or "") if len(s) >= k)
