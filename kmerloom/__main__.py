@@ -8,11 +8,12 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kmerloom.operators import baselines, lookup, sequences, statistics, validation
 from kmerloom.operators.index import Index, build
 from kmerloom.plans.config import LAYOUTS, OptionError, Options
-from kmerloom.sources.sequences import read_sequences
+from kmerloom.sources.sequences import read_sequences, write_statistics
 
 BAD_INPUT, BAD_OPTION = 2, 3
 
@@ -45,14 +46,17 @@ def run_build(args: argparse.Namespace) -> int:
     given = read_sequences(spark, args.input)
     began = time.time()
     index = build(given, options, args.tile)
-    row = statistics.build_statistics(given, sequences.super_kmers(given, options), options).first().asDict()
+    figures = statistics.build_statistics(given, sequences.super_kmers(given, options, args.tile), options)
+    row = figures.first().asDict()
     row["bits_per_kmer"] = sum(r.bits_per_kmer for r in statistics.space_model(index).collect())
     say(input=args.input, k=args.k, m=args.m, layout=args.layout, seconds=round(time.time() - began, 3), fallback_share=statistics.fallback_share(index), **row)
+    if args.csv:
+        write_statistics(figures.select(F.lit(args.input).alias("input"), F.lit(args.k).alias("k"), F.lit(args.m).alias("m"), "*", F.lit(row["bits_per_kmer"]).alias("bits_per_kmer")), args.csv)
     if args.output:
         index.save(args.output)
         index = Index.load(spark, args.output)
     if args.verbose:
-        for r in statistics.class_counts(index).collect() + statistics.space_model(index).collect():
+        for r in statistics.parameters(index).collect() + statistics.class_counts(index).collect() + statistics.space_model(index).collect():
             say(**r.asDict())
     if args.check:
         found = validation.report(given, index).first().asDict()
@@ -97,6 +101,7 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("-m", type=int, required=True)
     b.add_argument("-s", "--seed", type=int, default=Options.seed)
     b.add_argument("-o", "--output")
+    b.add_argument("--csv", help="a folder of CSV files that the figures are added to")
     b.add_argument("--layout", choices=LAYOUTS, default=LAYOUTS[0])
     b.add_argument("--hasher", default=Options.hasher)
     b.add_argument("--canonical", action="store_true")

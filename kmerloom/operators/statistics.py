@@ -73,3 +73,10 @@ def locality(codes: DataFrame) -> DataFrame:
 def fallback_share(index: Index) -> float:
     """Share of the k-mers that are ranked one by one."""
     return (index.n_kmers - index.n_main) / index.n_kmers if index.n_kmers else 0.0
+
+
+def parameters(index: Index) -> DataFrame:
+    """(name, value): the options and totals of an index, as text."""
+    o = index.options
+    rows = [("k", o.k), ("m", o.m), ("seed", o.seed), ("layout", o.layout), ("hasher", o.hasher), ("canonical", o.canonical), ("n_kmers", index.n_kmers), ("n_main", index.n_main), ("fallback_share", fallback_share(index))]
+    return index.minimizers.sparkSession.createDataFrame([(a, str(b)) for a, b in rows], "name string, value string")

@@ -48,3 +48,8 @@ def from_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     from kmerloom.functions.dna import text_as_dna
 
     return docs.select(F.col(key).cast("long").alias("seq_id"), F.col(key).cast("string").alias("name"), text_as_dna(F.col(text)).alias("seq"))
+
+
+def write_statistics(row: DataFrame, path: str) -> None:
+    """Rows of figures appended to a folder of CSV files with a header."""
+    row.coalesce(1).write.mode("append").option("header", True).csv(path)

@@ -28,7 +28,8 @@ def test_nothing_else_imports_the_optional_part():
 def test_command_line(tmp_path):
     (tmp_path / "x.fa").write_text(">a\nACGTTGCAAGCTTACGATCGATTTAGC\n>b\nGATTACAGATTACA\n")
     run = lambda *a: subprocess.run([sys.executable, "-m", "kmerloom", *map(str, a)], cwd=ROOT, capture_output=True, text=True)
-    built = run("build", "-i", tmp_path / "x.fa", "-k", 7, "-m", 4, "-o", tmp_path / "i", "--check")
+    built = run("build", "-i", tmp_path / "x.fa", "-k", 7, "-m", 4, "-o", tmp_path / "i", "--csv", tmp_path / "csv", "--verbose", "--check")
+    assert len([x for x in (tmp_path / "csv").iterdir() if x.suffix == ".csv"]) == 1
     assert built.returncode == 0, built.stderr[-2000:]
     assert '"ok": true' in built.stdout
     asked = run("query", "-i", tmp_path / "i", "-q", tmp_path / "x.fa", "-o", tmp_path / "codes")
