@@ -90,20 +90,22 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> Dat
     document, and each gets the same next. A row without doc_id is no document's next and has none: its end is only cut.
     Other columns are ignored.
     """
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    given = every.where("doc_id is not null")
-    cut = F.floor(F.length("text") / 4).cast("int")
-    needs = given.groupBy("doc_id").agg(F.max(cut).alias("need"))
-    asked = next_ids(needs).select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "need")
+    # Under names of their own both uses of the dealt texts have one plan, and Spark deals them once.
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    given = every.where("id is not null")
+    cut = F.floor(F.length("body") / 4).cast("int")
+    needs = given.groupBy(F.col("id").alias("doc_id")).agg(F.max(cut).alias("need"))
+    asked = next_ids(needs).select(F.col("doc_id").alias("for_id"), "next_id", "need")
     heads = (
-        given.join(asked, "doc_id")
-        .select("for_id", F.substring("text", F.lit(1), F.col("need")).alias("head"), words(F.col("text")).alias("words"))
+        given.join(asked, F.col("id") == F.col("next_id"))
+        .select("for_id", F.substring("body", F.lit(1), F.col("need")).alias("head"), words(F.col("body")).alias("words"))
         .select("for_id", "head", sketch("words", shingle, scale).alias("next_sketch"))
         .groupBy("for_id")
         .agg(F.min(F.struct("head", "next_sketch")).alias("next"))
     )
-    alone = every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.expr("cast(null as array<int>)").alias("next_sketch"))
-    rows = given.join(heads, given["doc_id"] == heads["for_id"]).select("doc_id", "text", "next.head", "next.next_sketch").unionByName(alone)
+    alone = every.where("id is null").select("id", "body", F.lit("").alias("head"), F.expr("cast(null as array<int>)").alias("next_sketch"))
+    rows = given.join(heads, F.col("id") == F.col("for_id")).select("id", "body", "next.head", "next.next_sketch").unionByName(alone).select(F.col("id").alias("doc_id"), F.col("body").alias("text"), "head", "next_sketch")
+    cut = F.floor(F.length("text") / 4).cast("int")
     return (
         rows.withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("head", F.lit(1), cut)))

@@ -24,9 +24,10 @@ from kmerloom.llm import textvec as V
 from kmerloom.llm.common import checkpointed, in_chunks, shuffle_partitions, utf8_parts
 from kmerloom.llm.components import components
 
-SETS = "doc_id long, n_shingles long, key_a long, key_b long, first binary"
+SETS = "doc_id long, n_shingles long, key_a long, key_b long"
+FIRST = "doc_id long, n_shingles long, first binary"
 PACKED = "bucket int, hashes binary, ids binary, sizes binary, bitmaps binary"
-WORDS64 = 16  # a bitmap has 1024 bits
+WORDS64 = 8  # a bitmap has 512 bits
 FANOUT = 8
 BLOCK = 4096
 
@@ -84,7 +85,19 @@ def packed(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bitmaps: np.n
     bucket, hashes, ids, sizes = bucket[order], hashes[order], ids[order], sizes[order].astype(np.int32)
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
     each = [(int(bucket[a]), hashes[a:b].tobytes(), ids[a:b].tobytes(), sizes[a:b].tobytes(), b"" if bitmaps is None else bitmaps[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    columns = list(zip(*each, strict=True)) or [()] * 5
+    return packed_rows(each)
+
+
+def by_slot(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Like packed(), dealt by the ids themselves."""
+    slot = V.mix(ids.astype(V.U64)) % V.U64(slots)
+    order = np.argsort(slot, kind="stable")
+    cuts = np.append(np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])[: len(slot)]), len(slot))
+    return packed_rows([(int(slot[order[x]]), values[order[x:y]].tobytes(), ids[order[x:y]].tobytes(), sizes[order[x:y]].astype(np.int32).tobytes(), b"") for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "hashes", "ids", "sizes", "bitmaps"])
 
 
@@ -99,8 +112,8 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
     return hashes, ids, sizes.astype(np.int64), bitmaps.reshape(-1, WORDS64)
 
 
-def sharing(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(id, n): how many of its hashes in these buckets each set shares with another of a fitting size."""
+def sharing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
+    """Ids and sizes of the sets that share hashes of these buckets with another of a fitting size, each as often as it does so; packed by id."""
     hashes, ids, sizes, _ = unpacked(batches)
     order = np.lexsort((sizes, hashes))
     hashes, ids, sizes = hashes[order], ids[order], sizes[order]
@@ -108,8 +121,21 @@ def sharing(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Record
     shared = np.zeros(len(hashes), bool)
     shared[1:] |= beside
     shared[:-1] |= beside
-    found, n = np.unique(ids[shared], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
+    order = np.lexsort((sizes[shared], ids[shared]))
+    ids, sizes = ids[shared][order], sizes[shared][order]
+    found, first, n = np.unique(ids, return_index=True, return_counts=True)
+    yield by_slot(found, n.astype(np.uint64), sizes[first], slots)  # the count takes the place of a hash
+
+
+def enough(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """The ids of the sets that share as many hashes as a linked set must, whatever the size of the other."""
+    counts, ids, sizes, _ = unpacked(batches)
+    order = np.lexsort((sizes, ids))  # the least size of an id that has several
+    counts, ids, sizes = counts[order], ids[order], sizes[order]
+    found, first, which = np.unique(ids, return_index=True, return_inverse=True)
+    n = np.bincount(which, counts.astype(float), len(found))
+    stay = n >= rule.common(rule.least_partner(sizes[first]))
+    yield pa.RecordBatch.from_arrays([pa.array(found[stay], pa.int64())], names=["doc_id"])
 
 
 class Union:
@@ -193,8 +219,8 @@ class SignatureTree:
                 stack.append((level - 1, x[inside], y[inside]))
 
 
-def candidate_edges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(a, b): for each set, the least of those it is connected with by candidates of these buckets."""
+def candidate_edges(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
+    """For each set, the least of those it is connected with by candidates of these buckets; packed by id."""
     hashes, ids, sizes, bitmaps = unpacked(batches)
     order = np.lexsort((ids, sizes, hashes))
     hashes, ids, sizes, bitmaps = hashes[order], ids[order], sizes[order], bitmaps[order]
@@ -212,7 +238,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[p
             union.join(np.unique(np.stack([index[a[ok]], index[b[ok]]], 1), axis=0))
 
     at = np.arange(n)
-    for d in range(1, FANOUT):  # sets that stand near each other in a group: all pairs of small groups, most of large ones
+    for d in range(1, min(FANOUT, n)):  # sets that stand near each other in a group: all pairs of small groups, most of large ones
         x = at[: n - d][hashes[d:] == hashes[: n - d]]
         root = union.roots()
         near(x[root[index[x]] != root[index[x + d]]], x[root[index[x]] != root[index[x + d]]] + d)
@@ -223,7 +249,14 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[p
             union.join(index[own][pairs])
     root = union.roots()
     moved = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[root[moved]], pa.int64())], names=["a", "b"])
+    yield by_slot(nodes[moved], nodes[root[moved]].astype(np.uint64), np.zeros(len(moved), np.int32), slots)
+
+
+def distinct_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the packed edges, each once."""
+    other, ids, _, _ = unpacked(batches)
+    pairs = np.unique(np.stack([ids, other.view(np.int64)], 1), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def exact_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule) -> np.ndarray:
@@ -287,12 +320,18 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
             n = np.diff(at)
             sums = np.concatenate([np.zeros((2, 1), V.U64), np.cumsum(np.stack([V.mix(hashes), V.mix(hashes ^ V.U64(V.BASE))]), axis=1)], axis=1)
             keys = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1])], names=["doc_id", "n_shingles", "key_a", "key_b"])
+
+    def first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches):
+            hashes, at = shingle_sets(*utf8_parts(batch.column(1)), words)
+            n = np.diff(at)
             first = [hashes[a : a + rule.first(int(m))].tobytes() if m else b"" for a, m in zip(at[:-1].tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), pa.array(first, pa.binary())], names=["doc_id", "n_shingles", "key_a", "key_b", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "n_shingles", "first"])
 
     key = ["n_shingles", "key_a", "key_b"]
     every = checkpointed(given.mapInArrow(sets, SETS))
-    classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("first").alias("first")).where("id is not null"))
+    classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +340,10 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
             hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
             yield packed(hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(n, m), None, 4 * parts)
 
-    share = classes.select("id", "n_shingles", "first").mapInArrow(deal, PACKED).repartition(parts, "bucket").mapInArrow(lambda b: sharing(b, rule), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    least = F.expr(f"(((n_shingles * {percent} + 99) div 100) * {100 - percent} div 100) div 2 + 1")
-    staying = classes.join(share, "id").where(F.col("n") >= least).select(F.col("id").alias("doc_id"))
+    heads = given.mapInArrow(first_hashes, FIRST).where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    dealt = heads.mapInArrow(deal, PACKED).repartition(parts, "bucket")
+    shared = dealt.mapInArrow(lambda b: sharing(b, rule, 4 * parts), PACKED).repartition(parts, "bucket")
+    staying = shared.mapInArrow(lambda b: enough(b, rule), "doc_id long")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
@@ -329,7 +369,8 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
                 keys = first[ranges(np.cumsum(m) - m, meet)]
                 yield packed(keys, part.column(0).to_numpy()[at], n[at], maps[at], 4 * parts)
 
-    edges = remaining.mapInArrow(sign, PACKED).repartition(parts, "bucket").mapInArrow(lambda b: candidate_edges(b, rule), "a long, b long")
+    signed = remaining.mapInArrow(sign, PACKED).repartition(parts, "bucket")
+    edges = signed.mapInArrow(lambda b: candidate_edges(b, rule, 4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(distinct_edges, "a long, b long")
     groups = checkpointed(components(edges))
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import lines as L
 from kmerloom.llm import textvec as V
-from kmerloom.llm.common import WORD, in_chunks, utf8_parts
+from kmerloom.llm.common import WORD, checkpointed, in_chunks, utf8_parts
 
 TEMPLATES = "doc_id long, text_key long, line_no int, template long, fresh boolean"
 
@@ -87,7 +87,9 @@ def deduped(docs: DataFrame, least_docs: int = LEAST_DOCS, whole_rows: bool = Fa
     parsed = given.select("doc_id", "text_key", "text").mapInArrow(parse, TEMPLATES)
     # `fresh` marks the first line of a document with a template: counting these counts documents.
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    recurring = parsed.where("fresh").groupBy("template").agg(F.count("*").alias("n_docs"), F.min(rank).alias("first")).where(F.col("n_docs") >= least_docs).select("template", "first")
+    counted = parsed.where("fresh").groupBy("template").agg(F.count("*").alias("n_docs"), F.min(rank).alias("first"))
+    # Written out first: then both sides of the join are plain exchanges, and adaptive execution can split a hot template's.
+    recurring = checkpointed(counted.where(F.col("n_docs") >= least_docs).select("template", "first"))
     gone = parsed.join(recurring, "template").where(rank != F.col("first")).select("doc_id", "text_key", "line_no")
     return L.rebuilt(given, gone, lambda line: bool(line.strip(" \t\n\v\f\r")), whole_rows)
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm import lines as L
+from kmerloom.llm.common import checkpointed
 
 DIGESTS = "doc_id long, text_key long, line_no int, digest binary"
 
@@ -55,7 +56,8 @@ def without_repeats(docs: DataFrame, least_chars: int = 1) -> DataFrame:
 
     given = L.keyed(docs)
     lines = given.select("doc_id", "text_key", "text").mapInArrow(digests, DIGESTS).withColumn("place", L.place())
-    first = lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # Written out first: then both sides of the join are plain exchanges, and adaptive execution can split a hot digest's.
+    first = checkpointed(lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     repeats = lines.join(first, "digest").where(F.col("place") != F.col("first")).select("doc_id", "text_key", "line_no")
     return L.rebuilt(given, repeats, counts)
 

@@ -29,6 +29,7 @@ from kmerloom.llm.jaccard_join import ranges
 
 WINDOW, GRAM = 100, 24
 SPREAD = WINDOW - GRAM + 1
+LAST = (1 << 63) - 1  # the place of rows without a doc_id
 ANCHORS = "bucket int, hashes binary, rids binary"
 SEEDS = "rid long, hashes binary"
 RUNS = "bucket int, anchors binary, ids binary, rids binary, starts binary, lengths binary, runs binary, found boolean"
@@ -230,9 +231,9 @@ def deduped(docs: DataFrame) -> DataFrame:
     """
     parts = shuffle_partitions(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    last = F.lit((1 << 63) - 1)
-    firsts = given.select(F.md5(F.col("text").cast("binary")).alias("digest"), F.coalesce("doc_id", last).alias("rank"), "rid").groupBy("digest").agg(F.min(F.struct("rank", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
-    texts = given.join(firsts.withColumn("is_first", F.lit(True)), "rid", "left").select("rid", F.coalesce("doc_id", last).alias("rank"), "doc_id", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    firsts = given.select(F.md5(F.col("text").cast("binary")).alias("digest"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "rid").groupBy("digest").agg(F.min(F.struct("rank", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
+    # All uses read the same columns, so that the texts are dealt once.
+    texts = given.join(firsts.withColumn("is_first", F.lit(True)), "rid", "left").select("rid", "doc_id", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
@@ -242,13 +243,13 @@ def deduped(docs: DataFrame) -> DataFrame:
             hashes, rids = hashes[order], rids[order]
             yield batch_of([(k, hashes[a:b].tobytes(), rids[a:b].tobytes()) for k, a, b in cuts], ANCHORS)
 
-    seeds = texts.where("is_first").select("rid", "text").mapInArrow(deal, ANCHORS).repartition(parts, "bucket").mapInArrow(repeated, SEEDS).groupBy("rid").agg(F.collect_list("hashes").alias("seeds"))
+    seeds = texts.where("is_first").select("rid", "text", "doc_id").mapInArrow(deal, ANCHORS).repartition(parts, "bucket").mapInArrow(repeated, SEEDS).groupBy("rid").agg(F.collect_list("hashes").alias("seeds"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, 2 << 20):
             data, bounds = utf8_parts(batch.column(1))
             hashes, doc, start, stop = anchors(data, bounds)
-            rid, rank = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            rid, rank = batch.column(0).to_numpy(), batch.column(2).fill_null(LAST).to_numpy()
             wanted = [joined(x, np.uint64) for x in batch.column(3).to_pylist()]
             mine = np.zeros(len(hashes), bool)
             edge = np.searchsorted(doc, np.arange(len(bounds)))
@@ -272,7 +273,7 @@ def deduped(docs: DataFrame) -> DataFrame:
             yield batch_of(rows, RUNS)
 
     found = (
-        texts.where("is_first").join(seeds, "rid").select("rid", "text", "rank", "seeds").mapInArrow(runs, RUNS)
+        texts.where("is_first").join(seeds, "rid").select("rid", "text", "doc_id", "seeds").mapInArrow(runs, RUNS)
         .repartition(parts, "bucket").mapInArrow(refined, FOUND)
         .groupBy("rid").agg(F.collect_list(F.struct("starts", "ends")).alias("found"))
     )

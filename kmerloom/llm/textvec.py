@@ -28,7 +28,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n at least; sizes are rounded up so that batches share them."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    return _powers(-(-n // (1 << 18)) << 18)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -290,7 +290,7 @@ def test_signature_tree_keeps_all_links():
     for i, s in enumerate(sets):
         first = s[: rule.first(len(s))]
         for x in first.tolist():
-            maps[i, (x % 1024) // 64] |= np.uint64(1 << (x % 64))
+            maps[i, x % (64 * jaccard_join.WORDS64) // 64] |= np.uint64(1 << (x % 64))
         slack[i] = len(first) - int(np.bitwise_count(maps[i]).sum())
     tree = jaccard_join.SignatureTree(maps, sizes, slack, np.arange(len(sets)), rule)
     found = {tuple(sorted(p)) for c in tree.candidates(50) for p in c.tolist()}
