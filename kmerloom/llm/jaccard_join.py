@@ -29,7 +29,8 @@ FIRST = "doc_id long, n_shingles long, first binary"
 PACKED = "bucket int, hashes binary, ids binary, sizes binary, bitmaps binary"
 WORDS64 = 8  # a bitmap has 512 bits
 FANOUT = 8
-BLOCK = 4096
+#: A block of a candidate component has about so many sets and so many elements at most.
+BLOCK, ELEMENTS = 4096, 1 << 20
 
 
 class Rule:
@@ -259,25 +260,35 @@ def distinct_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def exact_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """Roots, as positions, of the sets of one block by exact links: common elements are counted through an inverted index."""
-    n = np.array([len(s) for s in sets])
-    union = Union(len(sets))
-    owner = np.repeat(np.arange(len(sets)), n)
-    every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    value, owner_of = every[order], owner[order]
-    first = np.searchsorted(value, every, "left")
-    last = np.searchsorted(value, every, "right")
-    begin = np.concatenate([[0], np.cumsum(n)])
-    for i in range(len(sets)):
-        own = slice(begin[i], begin[i + 1])
-        with_ = owner_of[ranges(first[own], last[own] - first[own])]
-        common = np.bincount(with_, minlength=len(sets))[: i]
-        linked = np.flatnonzero(rule.linked(common, n[:i], n[i]) & (common > 0))
-        if len(linked):
-            union.join(np.stack([np.full(len(linked), i), linked], 1))
-    return union.roots()
+def exact_links(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """The first set, as a position, of each one's component by exact links.
+
+    Breadth first: each set is expanded once, against the sets not reached yet, whose common elements are counted through
+    an inverted index. The index is built anew when half of its sets are reached, so groups of near copies take little
+    more than linear work.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    root, reached = np.full(len(sets), -1), 0
+    left = value = owner = None
+    for start in range(len(sets)):
+        if root[start] >= 0:
+            continue
+        root[start], frontier = start, [start]
+        reached += 1
+        while frontier and reached < len(sets):
+            if left is None or 2 * (len(sets) - reached) < len(left):
+                left = np.flatnonzero(root < 0)
+                value = np.concatenate([sets[i] for i in left])
+                order = np.argsort(value, kind="stable")
+                value, owner = value[order], np.repeat(np.arange(len(left), dtype=np.int32), n[left])[order]
+            p = frontier.pop()
+            first = np.searchsorted(value, sets[p], "left")
+            common = np.bincount(owner[ranges(first, np.searchsorted(value, sets[p], "right") - first)], minlength=len(left))
+            hits = left[(common > 0) & (root[left] < 0) & rule.linked(common, n[left], n[p])]
+            root[hits] = start
+            reached += len(hits)
+            frontier += hits.tolist()
+    return root
 
 
 def verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -288,7 +299,7 @@ def verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
         if len(ids) > 1:
             order = np.argsort(ids)
             own = np.array(ids)[order]
-            root = exact_links(own, [sets[i] for i in order], rule)
+            root = exact_links([sets[i] for i in order], rule)
             moved = np.flatnonzero(root != np.arange(len(own)))
             yield pa.RecordBatch.from_arrays([pa.array(own[moved], pa.int64()), pa.array(own[root[moved]], pa.int64())], names=["a", "b"])
 
@@ -372,7 +383,8 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     signed = remaining.mapInArrow(sign, PACKED).repartition(parts, "bucket")
     edges = signed.mapInArrow(lambda b: candidate_edges(b, rule, 4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(distinct_edges, "a long, b long")
     groups = checkpointed(components(edges))
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sized = groups.join(remaining.select("id", (F.length("hashes") / 8).alias("n")), "id")
+    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"))
     placed = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     # a component of several blocks is checked block pair by block pair
     units = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
