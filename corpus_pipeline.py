@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, and documents of which nothing else is left."""
-    left = line_dedup.deduped(docs, whole_rows=True).where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
+    """Lines of recurring templates and repeated long lines go, and documents of which nothing else is left."""
+    left = line_dedup.deduped(docs, whole_rows=True, long_tokens=line_dedup.LONG_TOKENS).where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     return left.select("row.*", "kept_text").withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
 
 

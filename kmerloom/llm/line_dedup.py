@@ -4,6 +4,7 @@ A line is parsed down the tree by its number of tokens, then by its leading toke
 templates that generalise its variable fields: tokens with a digit are fields; and one segment of the remaining tokens,
 each segment in turn, may be a field too. So lines of a leaf share a template if they differ in one segment only. A
 template that occurs in many documents recurs: the earliest document with it keeps its lines, the others lose theirs.
+Where asked, a long line that is the same token for token recurs from two documents on.
 
 A line has a fixed number of templates, so the work is linear in the lines, however full a leaf is; only 64-bit template
 hashes are shuffled, one a document and template, and they are counted on the map side first.
@@ -22,23 +23,28 @@ from kmerloom.llm import lines as L
 from kmerloom.llm import textvec as V
 from kmerloom.llm.common import WORD, checkpointed, in_chunks, utf8_parts
 
-TEMPLATES = "doc_id long, text_key long, line_no int, template long, fresh boolean"
+TEMPLATES = "doc_id long, text_key long, line_no int, template long, fresh boolean, exact boolean"
 
 #: Tree depth below the token count, segments of the rest that may be a field, least tokens of lines that have such a
 #: field, and the documents from which on a template recurs.
 LEADING, SEGMENTS, LEAST_TOKENS, LEAST_DOCS = 2, 3, 8, 10
+#: Least tokens of a long line, and the documents from which on it recurs as it stands.
+LONG_TOKENS, LONG_DOCS = 20, 2
 
 DIGIT = np.zeros(256, bool)
 DIGIT[48:58] = True
 
 
-def line_templates(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, template hash) of every line with a token of a batch of texts, one row for each of its templates."""
+def line_templates(data: np.ndarray, bounds: np.ndarray, long_tokens: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, template hash, whether exact) of every line with a token of a batch of texts, one row for each of its templates.
+
+    Lines of at least `long_tokens` tokens have one more, an exact one: the whole line without fields.
+    """
     w = V.words(data, bounds)
     feeds = np.flatnonzero(data == 10)
     m = len(w.start)
     if not m:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, V.U64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, V.U64), np.zeros(0, bool)
     feeds_before = np.searchsorted(feeds, w.start)
     line_no = feeds_before - np.searchsorted(feeds, bounds[:-1])[w.doc]
     opens = np.append(True, (w.doc[1:] != w.doc[:-1]) | (feeds_before[1:] != feeds_before[:-1]))
@@ -50,8 +56,9 @@ def line_templates(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     token = V.spans_hash(V.prefix_hash(data), w.start, w.end)
     digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
     field = digits[w.end] > digits[w.start]
-    token = np.where(field, V.U64(0x2A), token)
-    token = V.mix(token + V.mix(position.astype(V.U64) + V.U64(1)))
+    placed = V.mix(position.astype(V.U64) + V.U64(1))
+    verbatim = token
+    token = V.mix(np.where(field, V.U64(0x2A), token) + placed)
     whole = np.add.reduceat(token, first) + V.mix(count.astype(V.U64))
     doc, number = w.doc[first], line_no[first]
     rows = [(doc, number, V.mix(whole))]
@@ -61,12 +68,21 @@ def line_templates(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     for s in range(SEGMENTS):
         without = whole - np.add.reduceat(np.where(segment == s, token, V.U64(0)), first)
         rows.append((doc[long_], number[long_], V.mix(without[long_] + V.U64((s + 1) * V.BASE % (1 << 64)))))
-    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+    general = sum(len(x[0]) for x in rows)
+    if long_tokens is not None:
+        long_ = count >= long_tokens
+        exact = np.add.reduceat(V.mix(verbatim + placed), first) + V.mix(count.astype(V.U64))
+        rows.append((doc[long_], number[long_], V.mix(exact[long_] + V.U64((SEGMENTS + 1) * V.BASE % (1 << 64)))))
+    doc, number, template = (np.concatenate(x) for x in zip(*rows, strict=True))
+    return doc, number, template, np.arange(len(doc)) >= general
 
 
-def deduped(docs: DataFrame, least_docs: int = LEAST_DOCS, whole_rows: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, least_docs: int = LEAST_DOCS, whole_rows: bool = False, long_tokens: int | None = None) -> DataFrame:
     """`docs` (doc_id, text) without the lines whose template occurs in at least `least_docs` documents, but in the earliest of them; one row per row.
 
+    With `long_tokens`, lines of at least so many tokens also go where the same tokens stand as a line of an earlier
+    document, be it only one; without, as in SQL below, they need `least_docs` documents like all others.
+
     Tokens are runs of other characters than white space. Columns as of lines.rebuilt(): doc_id, n_lines (lines with a
     token), n_removed, chars_removed, removed_spans, kept_text; with `row`, the whole row, if whole_rows. Lines without
     tokens stay. A null text counts as empty. Rows that repeat a doc_id count each, and all rows of the earliest doc_id keep
@@ -76,20 +92,20 @@ def deduped(docs: DataFrame, least_docs: int = LEAST_DOCS, whole_rows: bool = Fa
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
-            doc, number, template = line_templates(*utf8_parts(batch.column(2)))
+            doc, number, template, exact = line_templates(*utf8_parts(batch.column(2)), long_tokens)
             order = np.lexsort((number, template, doc))
-            doc, number, template = doc[order], number[order], template[order]
+            doc, number, template, exact = doc[order], number[order], template[order], exact[order]
             fresh = np.append(True, (template[1:] != template[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
             at = pa.array(doc)
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(template.view(np.int64)), pa.array(fresh)]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)), pa.array(template.view(np.int64)), pa.array(fresh), pa.array(exact)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in TEMPLATES.split(", ")])
 
     parsed = given.select("doc_id", "text_key", "text").mapInArrow(parse, TEMPLATES)
     # `fresh` marks the first line of a document with a template: counting these counts documents.
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    counted = parsed.where("fresh").groupBy("template").agg(F.count("*").alias("n_docs"), F.min(rank).alias("first"))
+    counted = parsed.where("fresh").groupBy("template").agg(F.count("*").alias("n_docs"), F.min(rank).alias("first"), F.max("exact").alias("exact"))
     # Written out first: then both sides of the join are plain exchanges, and adaptive execution can split a hot template's.
-    recurring = checkpointed(counted.where(F.col("n_docs") >= least_docs).select("template", "first"))
+    recurring = checkpointed(counted.where(F.col("n_docs") >= F.when(F.col("exact"), min(LONG_DOCS, least_docs)).otherwise(least_docs)).select("template", "first"))
     gone = parsed.join(recurring, "template").where(rank != F.col("first")).select("doc_id", "text_key", "line_no")
     return L.rebuilt(given, gone, lambda line: bool(line.strip(" \t\n\v\f\r")), whole_rows)
 
