@@ -2,7 +2,8 @@
 
 Every five-word shingle whose hash lies below a fixed fraction of the hash space is retained. The rule looks at one hash
 at a time, so sketches of any two texts can be merged (set union) and compared without bias, however unequal their
-lengths. Texts are dealt by doc_id once; what a document needs of the next one, a quarter of its length and a sketch,
+lengths. Where asked, a text's least hash is retained too, whatever it is, so that short texts keep one: the least of a
+union is the least of the parts' least, so such sketches are merged like the others. Texts are dealt by doc_id once; what a document needs of the next one, a quarter of its length and a sketch,
 is sent on from there.
 """
 
@@ -22,8 +23,8 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
-def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """The sorted distinct retained hashes (their upper 32 bits) of a column of words.
+def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE, least: bool = False) -> Column:
+    """The sorted distinct retained hashes (their upper 32 bits) of a column of words; with `least`, the least hash is always one.
 
     Fewer words than a shingle are one shingle; no words, an empty sketch.
     """
@@ -32,7 +33,11 @@ def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE) -> Col
     n = f"size({words_column})"
     each = ", ".join(f"get({words_column}, i + {j})" for j in range(shingle))  # beyond the end null, which a hash passes over
     hashes = f"transform(sequence(0, greatest({n} - {shingle}, 0)), i -> xxhash64({each}))"
-    return F.expr(f"case when {n} = 0 then cast(array() as array<int>) else sort_array(array_distinct(transform(filter({hashes}, {below}), h -> cast(shiftright(h, 32) as int)))) end")
+    upper = "h -> cast(shiftright(h, 32) as int)"
+    kept = f"transform(filter({hashes}, {below}), {upper})"
+    if least:  # only if nothing lies below the limit all hashes are made again
+        kept = f"element_at(transform(array({kept}), f -> case when size(f) > 0 then f else transform(array(array_min({hashes})), {upper}) end), 1)"
+    return F.expr(f"case when {n} = 0 then cast(array() as array<int>) else sort_array(array_distinct({kept})) end")
 
 
 def fingerprint(sketch_column: Column) -> Column:
@@ -44,11 +49,11 @@ def common(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches; 0 if neither retained anything."""
+def likeness(a: Column, b: Column, empty: float = 0.0) -> Column:
+    """Estimated Jaccard similarity of two sketches; `empty` if neither retained anything."""
     both = common(a, b)
     union = F.size(a) + F.size(b) - both
-    return F.when(union > 0, both / union).otherwise(F.lit(0.0))
+    return F.when(union > 0, both / union).when(union == 0, F.lit(empty)).otherwise(F.lit(0.0))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -56,9 +61,11 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a) > 0, common(a, b) / F.size(a)).otherwise(F.lit(0.0))
 
 
-def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts together."""
-    return F.array_sort(F.array_union(a, b))
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of two texts together; of hashes above the limit only the least stays, and only if it is the least of all."""
+    union = F.array_sort(F.array_union(a, b))
+    last = -(1 << 31) + ((1 << 64) // scale - 1 >> 32)
+    return F.filter(union, lambda h, i: (h <= last) | (i == 0))
 
 
 def next_ids(needs: DataFrame, blocks: int = 256) -> DataFrame:
@@ -78,7 +85,7 @@ def next_ids(needs: DataFrame, blocks: int = 256) -> DataFrame:
     return ordered.join(F.broadcast(after), "block").select("doc_id", "need", F.coalesce("next_id", "block_next").alias("next_id"))
 
 
-def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least: bool = False) -> DataFrame:
     """Fingerprint every whole text of `docs` (doc_id, text), and its edited text; one row per row.
 
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
@@ -86,6 +93,9 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> Dat
     fingerprint, edited_fingerprint, near_edited, near_next (estimated Jaccard similarities of the fingerprint to that of
     the edited text and of the next document), in_next (estimated containment in the next document).
 
+    With `least`, each text's least hash is always retained and two empty fingerprints have a similarity of 1; without, a
+    short text often has the empty fingerprint, and a similarity of 0 to any other.
+
     A null text counts as empty. Of rows that repeat a doc_id, the one with the least text start stands for it as a next
     document, and each gets the same next. A row without doc_id is no document's next and has none: its end is only cut.
     Other columns are ignored.
@@ -99,7 +109,7 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> Dat
     heads = (
         given.join(asked, F.col("id") == F.col("next_id"))
         .select("for_id", F.substring("body", F.lit(1), F.col("need")).alias("head"), words(F.col("body")).alias("words"))
-        .select("for_id", "head", sketch("words", shingle, scale).alias("next_sketch"))
+        .select("for_id", "head", sketch("words", shingle, scale, least).alias("next_sketch"))
         .groupBy("for_id")
         .agg(F.min(F.struct("head", "next_sketch")).alias("next"))
     )
@@ -110,11 +120,11 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> Dat
         rows.withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("head", F.lit(1), cut)))
         .withColumns({"words": words(F.col("text")), "edited_words": words(F.col("edited")), "edited_sha256": F.sha2("edited", 256)})
-        .select("doc_id", "n_chars", "edited_sha256", "next_sketch", sketch("words", shingle, scale).alias("own"), sketch("edited_words", shingle, scale).alias("other"))
+        .select("doc_id", "n_chars", "edited_sha256", "next_sketch", sketch("words", shingle, scale, least).alias("own"), sketch("edited_words", shingle, scale, least).alias("other"))
         .select(
             "doc_id", "n_chars", "edited_sha256",
             fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
-            likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
+            likeness(F.col("own"), F.col("other"), float(least)).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch"), float(least)).alias("near_next"),
             containment(F.col("own"), F.col("next_sketch")).alias("in_next"),
         )
     )

@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(documents(spark, sf_dir))
+    return fingerprints.compared(documents(spark, sf_dir), least=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

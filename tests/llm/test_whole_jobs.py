@@ -1,7 +1,10 @@
 """Cases that the operators once cut short."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from kmerloom.llm import line_dedup
+from kmerloom.llm import fingerprints, line_dedup, queries
+from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +24,28 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert [got[i].n_removed for i in range(6)] == [0, 1, 0, 0, 0, 0] and got[1].kept_text == "second own"
     staged = {r.doc_id: r.text for r in corpus_pipeline.line_templates(spark, documents(spark, texts), "").collect()}
     assert staged == {0: texts[0], 1: "second own", **{i: texts[i] for i in range(2, 6)}}
+
+
+# fingerprints
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark, tmp_path):
+    texts = [f"{a} {b}" for a in ("one", "two", "three", "four") for b in ("red", "blue", "green", "white", "black") for _ in range(2)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 21
+    for i, t in enumerate(texts[:-2]):
+        all_ = brute.sketch(t, 5, 1)
+        assert got[i].fingerprint == f"{min(all_) + (1 << 31):08x}"
+        assert i % 2 or got[i].near_next == 1.0
+    assert got[40].near_edited == got[41].near_edited == got[40].near_next == 1.0 and got[39].near_next == got[41].near_next == 0.0
+
+
+def test_sketches_with_the_least_hash_merge(spark):
+    rows = [("a b c", "d e"), ("a b", " ".join(f"w{i}" for i in range(90))), ("", "x y"), ("", "")] + [(f"u{i}", f"v{i}") for i in range(30)]
+    of = lambda c: fingerprints.sketch(c, least=True)
+    given = spark.createDataFrame(rows, "a string, b string").select("a", "b", fingerprints.words(F.col("a")).alias("p"), fingerprints.words(F.col("b")).alias("q"))
+    got = given.select("a", "b", of("p").alias("p"), of("q").alias("q")).select("*", fingerprints.merged(F.col("p"), F.col("q")).alias("m"))
+    for r in got.collect():
+        every = brute.sketch(r.a, 5, 1) | brute.sketch(r.b, 5, 1)
+        assert r.m == sorted((brute.sketch(r.a, 5, 4) | brute.sketch(r.b, 5, 4)) or ({min(every)} if every else set()))
