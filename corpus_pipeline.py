@@ -32,7 +32,7 @@ def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of the least doc_id; five-word shingles, Jaccard of 0.8."""
-    groups = jaccard_join.linked(docs, words=5, percent=80)
+    groups = jaccard_join.linked(docs, words=5, percent=80, count_links=False)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -9,6 +9,8 @@
    of sizes of the sets below each node; a dual traversal drops node pairs whose greatest possible overlap is too small,
    and pairs that are connected already. A group gives at most one candidate edge a member, never pairs.
 4. Candidate components are checked exactly, in blocks of bounded size, and the links found are joined to components.
+   All links of a candidate component are evaluated and counted, each once; or, if only components are asked for, no more
+   than connect them.
 """
 
 from __future__ import annotations
@@ -313,8 +315,97 @@ def verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Recor
     yield from done()
 
 
-def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of `docs` (doc_id, text): links are Jaccard similarities of at least `percent` %.
+def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]]:
+    """(ids, sets, blocks, whether only sets of different blocks are compared) of each unit of rows (unit, id, hashes, own, cross) that stand together by unit; by id, each id's set once."""
+    unit, rows = None, {}
+
+    def done() -> tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]:
+        keys = sorted(rows)
+        return np.array([k[0] for k in keys]), [np.frombuffer(k[1], np.uint64) for k in keys], np.array([rows[k][0] for k in keys]), rows[keys[0]][1]
+
+    for batch in batches:
+        for u, i, s, own, cross in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if u != unit:
+                if len(rows) > 1:
+                    yield done()
+                unit, rows = u, {}
+            rows[i, s] = own, cross
+    if len(rows) > 1:
+        yield done()
+
+
+def links_of(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, cross: bool, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place of an id among the ascending distinct ids of a unit: the places of ids that it is linked with, and their common elements.
+
+    Each pair comes once, of a unit of one block at the lesser id. An id's sets are compared through an inverted index
+    of the unit, in memory that follows the elements; only counts of common elements are kept of pairs without a link.
+    """
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    node = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    if cross and own.min() == own.max():
+        return
+    at = np.flatnonzero(own == own.max()) if cross else np.arange(len(ids))
+    n = np.array([len(s) for s in sets], np.int64)
+    value = np.concatenate([sets[i] for i in at])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], np.repeat(np.arange(len(at), dtype=np.int32), n[at])[order]
+    for g, (a, b) in enumerate(zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True)):
+        if cross and own[a] != own.min():
+            continue
+        best = np.zeros(len(starts), np.int64)
+        for p in range(a, b):
+            first = np.searchsorted(value, sets[p], "left")
+            common = np.bincount(owner[ranges(first, np.searchsorted(value, sets[p], "right") - first)], minlength=len(at))
+            hit = np.flatnonzero((common > 0) & rule.linked(common, n[at], n[p]))
+            np.maximum.at(best, node[at[hit]], common[hit])
+        if not cross:
+            best[: g + 1] = 0
+        others = np.flatnonzero(best)
+        if len(others):
+            yield g, others, best[others]
+
+
+def counted(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(a, b, n): each id that has links in a unit, the least id that they reach there, and their number."""
+    for ids, sets, own, cross in units_of(batches):
+        names = np.unique(ids)
+        n, least = np.zeros(len(names), np.int64), np.arange(len(names))
+        for g, others, _ in links_of(ids, sets, own, cross, rule):
+            n[g] += len(others)
+            n[others] += 1
+            met = np.unique(np.append(least[others], least[g]))
+            if len(met) > 1:
+                least[np.isin(least, met)] = met[0]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int64()), pa.array(names[least[some]], pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
+
+
+def paired(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """(a, b, n_common): each link of these units once, the lesser id first."""
+    for ids, sets, own, cross in units_of(batches):
+        names = np.unique(ids)
+        for g, others, common in links_of(ids, sets, own, cross, rule):
+            a, b = np.minimum(names[g], names[others]), np.maximum(names[g], names[others])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common)], names=["a", "b", "n_common"])
+
+
+def links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """The join itself: (a, b, n_common), a < b, every linked pair of class representatives once.
+
+    A class is the documents with an equal set, its representative the least doc_id; so links within classes aren't
+    listed, and a link stands for all pairs of documents of its two classes. Rows as for linked().
+    """
+    rule = Rule(percent)
+    *_, checked = candidates(docs, words, percent)
+    return checked.mapInArrow(lambda b: paired(b, rule), "a long, b long, n_common long")
+
+
+def linked(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies, n_links) of each row of `docs` (doc_id, text): links are Jaccard similarities of at least `percent` %.
+
+    n_copies: the rows with an equal set, this one included. n_links: the links of their representative, which is the
+    least doc_id, with the representatives of other sets. Both are missing unless `count_links`: then only as many links
+    are evaluated as tell the components.
 
     A text's set: the distinct runs of `words` words, after A-Z are lower-cased; a text of fewer words is one run itself;
     a text without words, or null, is empty and linked with nothing. component_id is the least doc_id that links reach,
@@ -322,6 +413,29 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     without a doc_id get their n_shingles, and the component of the documents with an equal set or else null. Other
     columns are ignored. An empty table gives an empty result. Sets are compared by 64-bit hashes of their elements.
     """
+    rule = Rule(percent)
+    key = ["n_shingles", "key_a", "key_b"]
+    every, classes, checked = candidates(docs, words, percent)
+    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count_links:
+        found = checkpointed(checked.mapInArrow(lambda b: counted(b, rule), "a long, b long, n long"))
+        numbers = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+        reached = components(found)
+        named = classes.join(reached, "id", "left").join(numbers, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        own = F.col("n_shingles") > 0
+        columns += [F.when(own, F.col("n_copies")).otherwise(1).cast("long").alias("n_copies"), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links")]
+    else:
+        reached = components(checked.select("unit", "id", "hashes").mapInArrow(lambda b: verified(b, rule), "a long, b long"))
+        named = classes.join(reached, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"))
+    return every.join(named, key, "left").select(*columns)
+
+
+def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What linked() and links() start from: each row's set by its size and keys, the classes of equal sets, and the units to be checked exactly.
+
+    Rows of units are (unit, id, hashes, own, cross) and stand together by unit; own is the block of the set, and a
+    unit that is `cross` is of two blocks, whose sets are compared with those of the other one.
+    """
     rule, parts = Rule(percent), shuffle_partitions(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -342,7 +456,7 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
 
     key = ["n_shingles", "key_a", "key_b"]
     every = checkpointed(given.mapInArrow(sets, SETS))
-    classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")).where("id is not null"))
+    classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies")).where("id is not null"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,9 +501,6 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"))
     placed = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     # a component of several blocks is checked block pair by block pair
-    units = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
-    units = units.select("id", F.xxhash64("unit.component", "unit.i", "unit.j").alias("unit"))
-    checked = units.join(remaining, "id").select("unit", "id", "hashes").repartition(parts, "unit").sortWithinPartitions("unit")
-    links = components(checked.mapInArrow(lambda b: verified(b, rule), "a long, b long"))
-    named = classes.join(links, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"))
-    return every.join(named, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")).alias("component_id"))
+    units = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "own", F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
+    units = units.select("id", "own", (F.col("unit.i") != F.col("unit.j")).alias("cross"), F.xxhash64("unit.component", "unit.i", "unit.j").alias("unit"))
+    return every, classes, units.join(remaining, "id").select("unit", "id", "hashes", "own", "cross").repartition(parts, "unit").sortWithinPartitions("unit")

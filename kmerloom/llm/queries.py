@@ -60,7 +60,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.linked(documents(spark, sf_dir), words=3, percent=90)
+    return jaccard_join.linked(documents(spark, sf_dir), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Cases that the operators once cut short."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kmerloom.llm import fingerprints, line_dedup, queries
+from kmerloom.llm import fingerprints, jaccard_join, line_dedup, queries
 from tests.llm import brute
+from tests.llm.test_operators import near_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,3 +51,30 @@ def test_sketches_with_the_least_hash_merge(spark):
     for r in got.collect():
         every = brute.sketch(r.a, 5, 1) | brute.sketch(r.b, 5, 1)
         assert r.m == sorted((brute.sketch(r.a, 5, 4) | brute.sketch(r.b, 5, 4)) or ({min(every)} if every else set()))
+
+
+# Jaccard join
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_every_link_is_listed_and_counted_once(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_texts()
+    given = spark.createDataFrame([*rows, rows[9], (None, rows[9][1])], "doc_id long, text string")
+    classes = {}
+    for d, t in rows:
+        w = brute.WORD.findall((t or "").lower())
+        classes.setdefault(frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset(), []).append(d)
+    same = {s: min(ids) for s, ids in classes.items() if s}
+    want = {}
+    for s, a in same.items():
+        for o, b in same.items():
+            if a < b and 100 * len(s & o) >= 90 * len(s | o):
+                want[a, b] = len(s & o)
+    got = jaccard_join.links(given).collect()
+    assert len(got) == len(want) > 200 and {(r.a, r.b): r.n_common for r in got} == want
+    by_id = {r.doc_id: r for r in jaccard_join.linked(given).collect()}
+    for s, ids in classes.items():
+        for d in ids:
+            n = sum(min(ids) in pair for pair in want) if s else 0
+            assert (by_id[d].n_links, by_id[d].n_copies) == (n, len(ids) + 2 * (9 in ids) if s else 1)
