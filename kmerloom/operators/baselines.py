@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.operators.ranking import checkpointed, ranked
+from kmerloom.operators.ranking import ranked
+from kmerloom.storage import checkpointed
 
 
 def by_rank(kmers: DataFrame) -> DataFrame:

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators.minimizers import classified, colliding_kmers, with_class
-from kmerloom.operators.ranking import checkpointed, ranked, running_sum
+from kmerloom.operators.ranking import ranked, running_sum
 from kmerloom.operators.sequences import super_kmers
 from kmerloom.plans.config import Options
+from kmerloom.storage import checkpointed
 
 #: The order of the classes' sections in the partitioned layout.
 SECTIONS = ("MAXIMAL", "LEFT", "RIGHT", "NONE", "COLLISION")

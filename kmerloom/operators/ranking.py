@@ -6,13 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` in the shared checkpoint folder: the cluster's own, or one of ours where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/kmerloom-checkpoints")
-    return df.checkpoint(eager=True)
+from kmerloom.storage import checkpointed
 
 
 def _placed(df: DataFrame, order: list[str | Column]) -> DataFrame:

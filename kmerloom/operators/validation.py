@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.index import Index
 from kmerloom.operators.lookup import by_kmer, by_super_kmer
-from kmerloom.operators.ranking import checkpointed
+from kmerloom.storage import checkpointed
 from kmerloom.operators.sequences import kmers
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,9 @@ from pyspark.sql import functions as F
 from kmerloom.functions import dna
 from kmerloom.operators import baselines, lookup, minimizers, sequences, statistics, validation
 from kmerloom.operators.index import Index, build, relaid
-from kmerloom.operators.ranking import checkpointed
 from kmerloom.plans.config import Options
 from kmerloom.sources import sequences as files
+from kmerloom.storage import checkpointed, new_folder
 from kmerloom.streaming import lookup as streaming
 
 OPTIONS = Options(k=31, m=15)
@@ -44,12 +43,6 @@ def index(spark: SparkSession, sf_dir: str, layout: str = "partitioned") -> Inde
     return _built[key]
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors see."""
-    checkpointed(spark.range(1))  # so that the checkpoint folder is set
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def super_kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.super_kmers(contigs(spark, sf_dir), OPTIONS)
 
@@ -170,7 +163,7 @@ def lookup_strict(spark, d):
 
 def lookup_stream(spark, d):
     """The sequences as a stream of files."""
-    source, out, state = (own_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    source, out, state = (new_folder(spark, f"stream-{x}") for x in ("in", "out", "state"))
     given = contigs(spark, d).select("seq_id", "seq")
     given.write.parquet(source)
     query = streaming.written(spark.readStream.schema(given.schema).parquet(source), index(spark, d), out, state)
@@ -207,13 +200,13 @@ def bbhash(spark, d):
 
 
 def index_roundtrip(spark, d):
-    path = own_folder(spark, "index")
+    path = new_folder(spark, "index")
     index(spark, d).save(path)
     return lookup.by_super_kmer(contigs(spark, d), Index.load(spark, path))
 
 
 def fasta_roundtrip(spark, d):
-    path = own_folder(spark, "fasta")
+    path = new_folder(spark, "fasta")
     files.write_fasta(contigs(spark, d), path, "gzip")
     return files.read_fasta(spark, path).select("name", "seq")
 

@@ -27,12 +27,14 @@ def spark(tmp_path_factory):
 
 def same_rows(a, b) -> bool:
     """Whether two pandas frames have the same rows, whatever their order."""
+    import pandas as pd
+
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
 
     def rows(x):
         # whole numbers read as floats, where a column has nulls, count as whole numbers
-        plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+        plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
         return sorted(map(repr, [tuple(plain(getattr(v, "item", lambda v=v: v)()) for v in r) for r in x[columns].astype(object).values.tolist()]))
 
     return rows(a) == rows(b)
