@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from kmerloom.storage import checkpointed, discarded, staged  # noqa: F401
+
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,27 +25,6 @@ def shuffle_partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: keep the folder the cluster names, fall back to one of our own in local tests only."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/kmerloom-checkpoints")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet to a new place in the shared checkpoint folder, and read from there."""
-    shared_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so that later reads neither recompute it nor lose it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and each row's offsets into them (length n + 1). Nulls count as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -62,8 +43,8 @@ def in_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: s
     """The same rows in batches of about `limit` bytes of text, so that numpy work on a batch has a bounded size (one row at least)."""
     for batch in batches:
         sizes = np.zeros(len(batch) + 1, np.int64)
-        _, bounds = utf8_parts(batch.column(batch.schema.get_field_index(column)))
-        sizes[:] = bounds
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes[1:] = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
             end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, "right")) - 1)

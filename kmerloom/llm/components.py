@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import checkpointed
+from kmerloom.llm.common import checkpointed, discarded, staged
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in `links` (two long columns): the least id that it reaches.
 
     Each round, every node takes the least label among itself and its neighbours and then its label's label, so
-    components of small diameter, such as stars, end after two rounds. Labels are written to the checkpoint folder each
-    round. Links with a null end are ignored.
+    components of small diameter, such as stars, end after two rounds. Labels are written to the shared folder each round,
+    those of the round before are deleted. Links with a null end are ignored.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = checkpointed(pairs.union(pairs.select("v", "u")).distinct())
-    labels = checkpointed(edges.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("component")))
+    labels = staged(edges.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("id"), F.least("u", "least").alias("component"), F.lit(True).alias("changed")), "labels")
     while True:
         near = edges.join(labels, edges["v"] == labels["id"]).groupBy("u").agg(F.min("component").alias("near"))
         reached = labels.join(near, labels["id"] == near["u"]).select("id", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("at"), F.col("component").alias("onward"))
-        after = checkpointed(reached.join(jump, F.col("component") == F.col("at"), "left").select("id", "before", F.least("component", F.coalesce("onward", "component")).alias("component")))
-        changed = not after.where("component <> before").isEmpty()
-        labels = after.select("id", "component")
-        if not changed:
-            return labels
+        label = F.least("component", F.coalesce("onward", "component"))
+        after = staged(reached.join(jump, F.col("component") == F.col("at"), "left").select("id", label.alias("component"), (label != F.col("before")).alias("changed")), "labels")
+        discarded(labels)
+        labels = after
+        if labels.where("changed").isEmpty():
+            return labels.select("id", "component")

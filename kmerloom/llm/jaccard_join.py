@@ -2,20 +2,24 @@
 
 1. Each text becomes its set of distinct word shingles, as 64-bit hashes. Texts with equal sets are one class; its least
    doc_id stands for it from here on, so copies cost nothing more.
-2. Two sets with Jaccard >= t differ in few elements, so of the first hashes (in hash order) of either one a known number
-   are among the first hashes of the other. Classes that don't share that many with sets of a fitting size have no
-   link and leave. What goes through the shuffle are hashes, packed by bucket.
-3. The rest meets in groups of a common first hash. In a group, signature trees hold the OR of token bitmaps and the range
-   of sizes of the sets below each node; a dual traversal drops node pairs whose greatest possible overlap is too small,
-   and pairs that are connected already. A group gives at most one candidate edge a member, never pairs.
-4. Candidate components are checked exactly, in blocks of bounded size, and the links found are joined to components.
-   All links of a candidate component are evaluated and counted, each once; or, if only components are asked for, no more
-   than connect them.
+2. Two linked sets differ in at most d elements, a number that follows from the lesser size. The hash space is cut into more
+   than d parts, so linked sets agree in a whole part: they share a signature, the hash of the part's elements. Differences
+   that fall at random leave far more parts alone, so sets that share fewer signatures with all others than linked sets
+   do, but for a chance of RISK a pair, have no link and leave. Only signatures go through the shuffle, packed by bucket.
+   Those that stay form candidate components. Sets of a large one sign again, by larger parts and, where differences
+   may touch all of these, by several partitions; so mostly the groups of near copies themselves are left.
+3. A candidate component is joined in one unit, or, beyond a bounded size, in pairs of blocks. Then its sets are first
+   reduced to what differs from the component's pivot set, which is little for near copies, and only that is
+   repeated for each pair of blocks.
+4. In a unit, a signature tree holds the OR of token bitmaps and the range of sizes of the sets below each node; a dual
+   traversal drops node pairs whose greatest possible overlap is too small. Pairs of sets that survive are counted exactly.
+   All links are found, each once, and joined to components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +30,17 @@ from kmerloom.llm import textvec as V
 from kmerloom.llm.common import checkpointed, in_chunks, shuffle_partitions, utf8_parts
 from kmerloom.llm.components import components
 
-SETS = "doc_id long, n_shingles long, key_a long, key_b long"
-FIRST = "doc_id long, n_shingles long, first binary"
-PACKED = "bucket int, hashes binary, ids binary, sizes binary, bitmaps binary"
+SETS = "doc_id long, n_shingles long, key_a long, key_b long, signatures binary"
+PACKED = "bucket int, hashes binary, ids binary, sizes binary"
+WHOLE = "id long, component long, n long, hashes binary"
+DELTAS = "component long, id long, base long, missing long, n long, delta binary"
+UNIT = ["unit", "id", "own", "cross", "base", "missing", "n", "delta"]
 WORDS64 = 8  # a bitmap has 512 bits
 FANOUT = 8
+#: The chance that a linked pair's differences fall into more parts than is allowed for.
+RISK = 1e-15
+#: In large components, elements of a part, and the most partitions.
+PART, PARTITIONS = 8, 16
 #: A block of a candidate component has about so many sets and so many elements at most.
 BLOCK, ELEMENTS = 4096, 1 << 20
 
@@ -40,28 +50,87 @@ class Rule:
 
     def __init__(self, percent: int):
         self.percent = percent
-
-    def missing(self, n):
-        """At most so many elements of a set of n are missing in a linked set."""
-        return n * (100 - self.percent) // 100
-
-    def first(self, n):
-        """So many first elements are looked at; of them `common` at least are common to linked sets."""
-        return self.missing(n) + self.missing(n) // 2 + 1
-
-    def common(self, n):
-        return self.missing(n) // 2 + 1
+        self.edges = [1]  # least size of each class of sizes; linked sets are in one class or in neighbouring ones
+        self.plans: dict[bool, list[tuple[int, ...]]] = {False: [], True: []}
 
     def fits(self, less, more):
         """Whether sets of these sizes, the lesser first, can be linked."""
         return 100 * less >= self.percent * more
 
-    def least_partner(self, n):
-        return (n * self.percent + 99) // 100
+    def need(self, both):
+        """Linked sets of `both` elements in sum have so many in common at least."""
+        return -(-self.percent * both // (100 + self.percent))
 
     def linked(self, common, n, m):
         return 100 * common >= self.percent * (n + m - common)
 
+    def classes(self, largest: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Least sizes of the classes up to a size, and for each class as the lesser set's: greatest size of a partner, parts, partitions, spare parts, elements of a light part, signatures shared."""
+        while self.edges[-1] <= largest:
+            low = self.edges[-1]
+            high = low * 100 // self.percent
+            differ = high * (100 - self.percent) // self.percent
+            for kind, plan in self.plans.items():
+                plan.append((high * 100 // self.percent, *((larger_parts if kind else parts)(low, differ) if differ else (0, 0, 0, 0, 1))))
+            self.edges.append(high + 1)
+        return np.array(self.edges[:-1]), np.array(self.plans[fine])
+
+
+@lru_cache(maxsize=None)
+def parts(n: int, differ: int) -> tuple[int, int, int, int, int]:
+    """(parts, partitions, spare parts, elements of a light part, signatures shared) of sets of n elements that differ in as many as said.
+
+    A part with few elements says little. Linked sets agree in more parts than the spare ones, so such light parts
+    only matter to sets that have more of them than that.
+    """
+    spare, light = 0, 3
+    while light:
+        rate = n / (differ + 1 + spare)
+        below = np.exp(-rate) * sum(rate**i / np.prod(range(1, i + 1), initial=1.0) for i in range(light)) * (differ + 1 + spare)
+        if spare >= below + 2 * np.sqrt(below):
+            break
+        spare += 1 + differ // 100
+        if spare > differ // 2 + 2:
+            spare, light = 0, light - 1
+    return differ + 1 + spare, 1, spare, light, max(1, untouched(differ, differ + 1 + spare) - spare)
+
+
+@lru_cache(maxsize=None)
+def larger_parts(n: int, differ: int) -> tuple[int, int, int, int, int]:
+    """The same with parts of PART elements, or less if too many partitions were needed for one of them to have an untouched part."""
+    for size in range(PART, 1, -1):
+        n_parts = max(1, n // size)
+        touched = all_taken(differ, n_parts)
+        rounds = 1 if touched <= RISK else int(np.ceil(np.log(RISK) / np.log(touched))) if touched < 1 else PARTITIONS + 1
+        if rounds <= PARTITIONS:
+            return n_parts, rounds, 0, 0, 1
+    return parts(n, differ)
+
+
+def taken_bins(balls: int, bins: int) -> np.ndarray:
+    """The chance of each number of bins that balls fall into at random."""
+    taken = np.zeros(min(balls, bins) + 1)
+    taken[0], at = 1.0, np.arange(len(taken))
+    for _ in range(balls):
+        taken = taken * (at / bins) + np.append(0, (taken * (1 - at / bins))[:-1])
+    return taken
+
+
+def all_taken(balls: int, bins: int) -> float:
+    """The chance, or for many balls a bound of it, that no bin stays empty."""
+    if balls < bins:
+        return 0.0
+    return float(np.exp(-bins * np.exp(-balls / bins) / 2)) if balls > 300 else float(taken_bins(balls, bins)[bins])
+
+
+def untouched(balls: int, bins: int) -> int:
+    """So many of the bins stay empty at least when balls fall into them at random, but for a chance of RISK."""
+    if balls > 300:  # ten standard deviations below the mean
+        a = balls / bins
+        return int(bins * np.exp(-a) - 10 * np.sqrt(bins * (np.exp(-a) - (1 + a) * np.exp(-2 * a))))
+    beyond = np.cumsum(taken_bins(balls, bins)[::-1])[::-1]  # the chance of so many taken bins or more
+    return bins - int(np.flatnonzero(beyond > RISK)[-1])
+
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in ascending order, end to end, and where each text's begin (length n + 1)."""
@@ -75,70 +144,76 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     return hashes, np.searchsorted(doc, np.arange(len(bounds)))
 
 
+def signatures(hashes: np.ndarray, at: np.ndarray, rule: Rule, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets that begin at `at` in `hashes`, in order of sets, and the set of each one; `fine` ones are of larger parts.
+
+    A set signs its parts once as the lesser of two linked sets and once as the greater one, of which the class may be the
+    one above. Sets that can only be linked with equal ones sign nothing.
+    """
+    n = np.diff(at)
+    edges, plan = rule.classes(int(n.max(initial=1)), fine)
+    keys, owners = [], []
+    for up in (0, 1):
+        every = np.searchsorted(edges, n, "right") - 1 - up
+        most, _, partitions, *_ = plan[np.maximum(every, 0)].T
+        partitions = np.where((n > 0) & (every >= 0) & (n <= most), partitions, 0)
+        for partition in range(int(partitions.max(initial=0))):
+            own = np.flatnonzero(partitions > partition)
+            cls = every[own]
+            _, parts, _, spare, light, _ = plan[cls].T
+            begin = np.cumsum(parts) - parts
+            mine = np.repeat(np.arange(len(own)), n[own])
+            h = V.mix(hashes[ranges(at[:-1][own], n[own])] + V.U64(partition * V.BASE % (1 << 64)))
+            slot = begin[mine] + ((h >> V.U64(20)) % parts[mine].astype(V.U64)).astype(np.int64)
+            sums = np.zeros(int(parts.sum()), V.U64)
+            np.add.at(sums, slot, h)
+            of = np.repeat(np.arange(len(own)), parts)
+            few = np.bincount(slot, minlength=len(sums)) < light[of]
+            signed = ~few | (np.bincount(of[few], minlength=len(own)) > spare)[of]
+            place = V.mix((np.arange(len(sums)) - begin[of] + (cls[of] << 32) + (partition << 48)).astype(V.U64))
+            keys.append(V.mix(sums + place)[signed])
+            owners.append(own[of[signed]])
+    if not keys:
+        return np.zeros(0, V.U64), np.zeros(0, np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(keys)[order], owner[order]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + lengths[i] - 1, end to end."""
     total = np.cumsum(lengths)
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def packed(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """One row a bucket: its hashes with the id and size (and bitmap) of the set that each comes from."""
-    bucket = (hashes % V.U64(buckets)).astype(np.int32)
+def packed(bucket: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """One row a bucket: its hashes with the id and size of the set that each comes from."""
     order = np.argsort(bucket, kind="stable")
     bucket, hashes, ids, sizes = bucket[order], hashes[order], ids[order], sizes[order].astype(np.int32)
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
-    each = [(int(bucket[a]), hashes[a:b].tobytes(), ids[a:b].tobytes(), sizes[a:b].tobytes(), b"" if bitmaps is None else bitmaps[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return packed_rows(each)
-
+    rows = [(int(bucket[a]), hashes[a:b].tobytes(), ids[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 3, strict=True)], names=["bucket", "hashes", "ids", "sizes"])
 
-def by_slot(ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, slots: int) -> pa.RecordBatch:
-    """Like packed(), dealt by the ids themselves."""
-    slot = V.mix(ids.astype(V.U64)) % V.U64(slots)
-    order = np.argsort(slot, kind="stable")
-    cuts = np.append(np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])[: len(slot)]), len(slot))
-    return packed_rows([(int(slot[order[x]]), values[order[x:y]].tobytes(), ids[order[x:y]].tobytes(), sizes[order[x:y]].astype(np.int32).tobytes(), b"") for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
 
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, ids, sizes) of each bucket of packed rows that stand together by bucket; one bucket is in memory at a time."""
+    bucket, parts = None, ([], [], [])
 
-def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], names=["bucket", "hashes", "ids", "sizes", "bitmaps"])
+    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, ids, sizes = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32), strict=True))
+        return hashes, ids, sizes.astype(np.int64)
 
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All that packed() put into the buckets of this task."""
-    parts: list[list[bytes]] = [[], [], [], []]
     for batch in batches:
-        for part, column in zip(parts, batch.columns[1:], strict=True):
-            part.extend(column.to_pylist())
-    kinds = [np.uint64, np.int64, np.int32, np.uint64]
-    hashes, ids, sizes, bitmaps = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, kinds, strict=True))
-    return hashes, ids, sizes.astype(np.int64), bitmaps.reshape(-1, WORDS64)
-
-
-def sharing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
-    """Ids and sizes of the sets that share hashes of these buckets with another of a fitting size, each as often as it does so; packed by id."""
-    hashes, ids, sizes, _ = unpacked(batches)
-    order = np.lexsort((sizes, hashes))
-    hashes, ids, sizes = hashes[order], ids[order], sizes[order]
-    beside = (hashes[1:] == hashes[:-1]) & rule.fits(sizes[:-1], sizes[1:])
-    shared = np.zeros(len(hashes), bool)
-    shared[1:] |= beside
-    shared[:-1] |= beside
-    order = np.lexsort((sizes[shared], ids[shared]))
-    ids, sizes = ids[shared][order], sizes[shared][order]
-    found, first, n = np.unique(ids, return_index=True, return_counts=True)
-    yield by_slot(found, n.astype(np.uint64), sizes[first], slots)  # the count takes the place of a hash
-
-
-def enough(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """The ids of the sets that share as many hashes as a linked set must, whatever the size of the other."""
-    counts, ids, sizes, _ = unpacked(batches)
-    order = np.lexsort((sizes, ids))  # the least size of an id that has several
-    counts, ids, sizes = counts[order], ids[order], sizes[order]
-    found, first, which = np.unique(ids, return_index=True, return_inverse=True)
-    n = np.bincount(which, counts.astype(float), len(found))
-    stay = n >= rule.common(rule.least_partner(sizes[first]))
-    yield pa.RecordBatch.from_arrays([pa.array(found[stay], pa.int64())], names=["doc_id"])
+        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket:
+                if parts[0]:
+                    yield done()
+                bucket, parts = b, ([], [], [])
+            for part, x in zip(parts, row, strict=True):
+                part.append(x)
+    if parts[0]:
+        yield done()
 
 
 class Union:
@@ -169,35 +244,125 @@ class Union:
             self.parent = parent = up
 
 
+def sharing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
+    """Ids and sizes of the sets that share signatures of a bucket with another of a fitting size, and how often (in place of a hash); packed by id."""
+    for hashes, ids, sizes in buckets(batches):
+        order = np.lexsort((sizes, hashes))
+        hashes, ids, sizes = hashes[order], ids[order], sizes[order]
+        beside = (hashes[1:] == hashes[:-1]) & rule.fits(sizes[:-1], sizes[1:])
+        shared = np.zeros(len(hashes), bool)
+        shared[1:] |= beside
+        shared[:-1] |= beside
+        order = np.lexsort((sizes[shared], ids[shared]))
+        ids, sizes = ids[shared][order], sizes[shared][order]
+        found, first, n = np.unique(ids, return_index=True, return_counts=True)
+        yield packed((V.mix(found.astype(V.U64)) % V.U64(slots)).astype(np.int64), n.astype(np.uint64), found, sizes[first])
+
+
+def enough(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """The ids of the sets that share as many signatures as a linked set must."""
+    for counts, ids, sizes in buckets(batches):
+        order = np.lexsort((sizes, ids))  # the least size of an id that has several
+        counts, ids, sizes = counts[order], ids[order], sizes[order]
+        found, first, which = np.unique(ids, return_index=True, return_inverse=True)
+        n = np.bincount(which, counts.astype(float), len(found))
+        edges, plan = rule.classes(int(sizes.max(initial=1)))
+        cls = np.searchsorted(edges, sizes[first], "right") - 1
+        stay = n >= np.minimum(plan[cls, 5], plan[np.maximum(cls - 1, 0), 5])
+        yield pa.RecordBatch.from_arrays([pa.array(found[stay], pa.int64())], names=["doc_id"])
+
+
+def agreeing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
+    """For each set, the least of those that shared signatures of a bucket connect it with by fitting sizes; packed by id."""
+    for hashes, ids, sizes in buckets(batches):
+        order = np.lexsort((ids, sizes, hashes))
+        hashes, ids, sizes = hashes[order], ids[order], sizes[order]
+        beside = (hashes[1:] == hashes[:-1]) & rule.fits(sizes[:-1], sizes[1:])
+        opens = np.append(True, ~beside)[: len(hashes)]
+        alone = opens & np.append(~beside, True)[: len(hashes)]
+        opens, ids = opens[~alone], ids[~alone]
+        nodes, index = np.unique(ids, return_inverse=True)
+        first = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+        union = Union(len(nodes))
+        pairs = np.unique(index[first] * len(nodes) + index)
+        union.join(np.stack([pairs // max(1, len(nodes)), pairs % max(1, len(nodes))], 1))
+        root = union.roots()
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        slot = (V.mix(nodes[moved].astype(V.U64)) % V.U64(slots)).astype(np.int64)
+        yield packed(slot, nodes[root[moved]].astype(np.uint64), nodes[moved], np.zeros(len(moved), np.int32))
+
+
+def distinct_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the packed edges, each once."""
+    for other, ids, _ in buckets(batches):
+        pairs = np.unique(np.stack([ids, other.view(np.int64)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """One bitmap a set: each element sets a bit."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = np.empty((len(sets), WORDS64), np.uint64)
+    for s in range(0, len(sets), 4096):
+        part = n[s : s + 4096]
+        bits = np.zeros((len(part), 64 * WORDS64), bool)
+        elements = np.concatenate(sets[s : s + 4096])
+        bits[np.repeat(np.arange(len(part)), part), (V.mix(elements) % V.U64(64 * WORDS64)).astype(np.int64)] = True
+        out[s : s + 4096] = np.packbits(bits, axis=1).view(np.uint64)
+    return out
+
+
+class Unit:
+    """Sets that are joined together, each as its difference from one base set of `base` elements (0: as it is).
+
+    Two sets have base - (elements of the base that the one misses) - (those that the other misses) + (common elements of
+    the differences) in common. ids ascend, an id's sets stand together; `own` are the blocks of the sets.
+    """
+
+    def __init__(self, ids: np.ndarray, own: np.ndarray, cross: bool, base: int, missing: np.ndarray, n: np.ndarray, deltas: list[np.ndarray]):
+        self.ids, self.own, self.cross, self.base, self.missing, self.n, self.deltas = ids, own, cross, base, missing, n, deltas
+        if not base and len(deltas) > 2:  # a small component: the first set is the base
+            pivot = deltas[0]
+            self.base, self.deltas = len(pivot), [np.setxor1d(pivot, d, assume_unique=True) for d in deltas]
+            self.missing = (len(pivot) - n + np.array([len(d) for d in self.deltas])) // 2
+
+
 class SignatureTree:
-    """Sets in order of size, bundled FANOUT by FANOUT up to the top: OR of bitmaps, range of sizes, most slack.
+    """The sets of a unit in order of block and size, bundled FANOUT by FANOUT up to the top: OR of bitmaps, range of sizes, most slack, least missing.
 
     A set of k elements whose bitmap has c bits has slack k - c: so many of its elements at most can share bits. Two sets
     have at most (bits common to both bitmaps) + (the lesser slack) common elements, and so have any two sets below two
     nodes, with the nodes' ORs and greatest slacks.
     """
 
-    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, slack: np.ndarray, root: np.ndarray, rule: Rule):
-        self.rule, self.levels = rule, [(bitmaps, sizes, sizes, slack, root)]
+    def __init__(self, unit: Unit, rule: Rule):
+        self.unit, self.rule = unit, rule
+        self.order = np.lexsort((unit.n, unit.own))
+        maps = bitmaps([unit.deltas[i] for i in self.order])
+        slack = np.array([len(d) for d in unit.deltas], np.int64)[self.order] - np.bitwise_count(maps).sum(1, dtype=np.int64)
+        n, own = unit.n[self.order], unit.own[self.order]
+        self.levels = [(maps, n, n, slack, unit.missing[self.order], own, own)]
         while len(self.levels[-1][0]) > FANOUT:
-            ors, lo, hi, slk, one = self.levels[-1]
+            ors, lo, hi, slk, less, a, b = self.levels[-1]
             at = np.arange(0, len(ors), FANOUT)
-            same = np.minimum.reduceat(one, at) == np.maximum.reduceat(one, at)
-            self.levels.append((np.bitwise_or.reduceat(ors, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(slk, at), np.where(same, one[at], -1)))
+            least, most = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((np.bitwise_or.reduceat(ors, at), least(lo, at), most(hi, at), most(slk, at), least(less, at), least(a, at), most(b, at)))
 
     def possible(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Which node pairs of a level may have linked sets below them that aren't connected yet."""
-        ors, lo, hi, slack, root = self.levels[level]
+        """Which node pairs of a level may have linked sets below them, of different blocks if the unit is of two."""
+        ors, lo, hi, slack, missing, first, last = self.levels[level]
         least, most = np.maximum(lo[a], lo[b]), np.minimum(hi[a], hi[b])
-        keep = (self.rule.fits(most, least) | (most >= least)) & ((root[a] < 0) | (root[a] != root[b]))
+        keep = self.rule.fits(most, least) | (most >= least)
+        if self.unit.cross:
+            keep &= (first[a] != last[b]) | (first[b] != last[a])
         at = np.flatnonzero(keep)
-        need = self.rule.common(np.minimum(lo[a[at]], lo[b[at]]))
-        common = np.bitwise_count(ors[a[at]] & ors[b[at]]).sum(1, dtype=np.int64)
-        keep[at] = common + np.minimum(slack[a[at]], slack[b[at]]) >= need
+        x, y = a[at], b[at]
+        common = np.bitwise_count(ors[x] & ors[y]).sum(1, dtype=np.int64) + np.minimum(slack[x], slack[y])
+        keep[at] = self.unit.base - missing[x] - missing[y] + common >= self.rule.need(lo[x] + lo[y])
         return keep
 
     def candidates(self, chunk: int = 100_000) -> Iterator[np.ndarray]:
-        """Pairs of sets that survive the dual traversal, in chunks."""
+        """Pairs of sets (places in the unit) that survive the dual traversal, in chunks."""
         top = len(self.levels) - 1
         n = len(self.levels[top][0])
         a, b = np.triu_indices(n, 0 if top else 1)
@@ -211,7 +376,7 @@ class SignatureTree:
             a, b = a[keep], b[keep]
             if not level:
                 if len(a):
-                    yield np.stack([a, b], 1)
+                    yield np.stack([self.order[a], self.order[b]], 1)
                 continue
             below = len(self.levels[level - 1][0])
             i, j = (x.ravel() for x in np.meshgrid(np.arange(FANOUT), np.arange(FANOUT), indexing="ij"))
@@ -222,169 +387,96 @@ class SignatureTree:
                 stack.append((level - 1, x[inside], y[inside]))
 
 
-def candidate_edges(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
-    """For each set, the least of those it is connected with by candidates of these buckets; packed by id."""
-    hashes, ids, sizes, bitmaps = unpacked(batches)
-    order = np.lexsort((ids, sizes, hashes))
-    hashes, ids, sizes, bitmaps = hashes[order], ids[order], sizes[order], bitmaps[order]
-    nodes, index = np.unique(ids, return_inverse=True)
-    slack = rule.first(sizes) - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-    union, n = Union(len(nodes)), len(hashes)
-    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[:n])
-    lengths = np.diff(np.append(starts, n))
-
-    def near(x: np.ndarray, y: np.ndarray) -> None:
-        for s in range(0, len(x), 1 << 16):
-            a, b = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            common = np.bitwise_count(bitmaps[a] & bitmaps[b]).sum(1, dtype=np.int64) + np.minimum(slack[a], slack[b])
-            ok = (common >= rule.common(sizes[a])) & rule.fits(sizes[a], sizes[b])
-            union.join(np.unique(np.stack([index[a[ok]], index[b[ok]]], 1), axis=0))
-
-    at = np.arange(n)
-    for d in range(1, min(FANOUT, n)):  # sets that stand near each other in a group: all pairs of small groups, most of large ones
-        x = at[: n - d][hashes[d:] == hashes[: n - d]]
-        root = union.roots()
-        near(x[root[index[x]] != root[index[x + d]]], x[root[index[x]] != root[index[x + d]]] + d)
-    for s, m in zip(starts[lengths > FANOUT].tolist(), lengths[lengths > FANOUT].tolist(), strict=True):
-        own = slice(s, s + m)
-        tree = SignatureTree(bitmaps[own], sizes[own], slack[own], union.roots()[index[own]], rule)
-        for pairs in tree.candidates():
-            union.join(index[own][pairs])
-    root = union.roots()
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    yield by_slot(nodes[moved], nodes[root[moved]].astype(np.uint64), np.zeros(len(moved), np.int32), slots)
-
-
-def distinct_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the packed edges, each once."""
-    other, ids, _, _ = unpacked(batches)
-    pairs = np.unique(np.stack([ids, other.view(np.int64)], 1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
+def links_of(unit: Unit, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each place of an id among the distinct ids of a unit: the places of ids that it is linked with, and their common elements.
 
-def exact_links(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
-    """The first set, as a position, of each one's component by exact links.
-
-    Breadth first: each set is expanded once, against the sets not reached yet, whose common elements are counted through
-    an inverted index. The index is built anew when half of its sets are reached, so groups of near copies take little
-    more than linear work.
+    Each pair comes once: in a unit of one block at the lesser id, in one of two blocks at that of the lesser block. The
+    pairs that the tree leaves are counted exactly, those of a set at once through an index of the differences.
     """
-    n = np.array([len(s) for s in sets], np.int64)
-    root, reached = np.full(len(sets), -1), 0
-    left = value = owner = None
-    for start in range(len(sets)):
-        if root[start] >= 0:
+    starts = np.flatnonzero(np.append(True, unit.ids[1:] != unit.ids[:-1]))
+    node = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(unit.ids))))
+    count = len(unit.ids)
+    if unit.cross:
+        if unit.own.min() == unit.own.max():
+            return
+        left, right = np.flatnonzero(unit.own == unit.own.min()), np.flatnonzero(unit.own == unit.own.max())
+    else:
+        left = right = np.arange(count)
+    row, column = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    survive = np.zeros((len(left), len(right)), bool)
+    for pairs in SignatureTree(unit, rule).candidates():
+        a, b = pairs[:, 0], pairs[:, 1]
+        swap = unit.own[a] > unit.own[b] if unit.cross else node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        apart = node[a] != node[b]
+        survive[row[a[apart]], column[b[apart]]] = True
+    value = np.concatenate([unit.deltas[i] for i in right])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], np.repeat(np.arange(len(right), dtype=np.int32), [len(unit.deltas[i]) for i in right])[order]
+    best: dict[int, dict[int, int]] = {}
+    for p in left[survive.any(1)].tolist():
+        beside = np.flatnonzero(survive[row[p]])
+        first = np.searchsorted(value, unit.deltas[p], "left")
+        common = np.bincount(owner[ranges(first, np.searchsorted(value, unit.deltas[p], "right") - first)], minlength=len(right))[beside]
+        at = right[beside]
+        common = common + unit.base - unit.missing[p] - unit.missing[at]
+        hit = rule.linked(common, unit.n[at], unit.n[p])
+        if not hit.any():
             continue
-        root[start], frontier = start, [start]
-        reached += 1
-        while frontier and reached < len(sets):
-            if left is None or 2 * (len(sets) - reached) < len(left):
-                left = np.flatnonzero(root < 0)
-                value = np.concatenate([sets[i] for i in left])
-                order = np.argsort(value, kind="stable")
-                value, owner = value[order], np.repeat(np.arange(len(left), dtype=np.int32), n[left])[order]
-            p = frontier.pop()
-            first = np.searchsorted(value, sets[p], "left")
-            common = np.bincount(owner[ranges(first, np.searchsorted(value, sets[p], "right") - first)], minlength=len(left))
-            hits = left[(common > 0) & (root[left] < 0) & rule.linked(common, n[left], n[p])]
-            root[hits] = start
-            reached += len(hits)
-            frontier += hits.tolist()
-    return root
-
-
-def verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """(a, b) links between a set and the least one of its component, of rows (unit, id, hashes) that stand together by unit."""
-    unit, ids, sets = None, [], []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if len(ids) > 1:
-            order = np.argsort(ids)
-            own = np.array(ids)[order]
-            root = exact_links([sets[i] for i in order], rule)
-            moved = np.flatnonzero(root != np.arange(len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(own[moved], pa.int64()), pa.array(own[root[moved]], pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        for u, i, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if u != unit:
-                yield from done()
-                unit, ids, sets = u, [], []
-            ids.append(i)
-            sets.append(np.frombuffer(s, np.uint64))
-    yield from done()
-
-
-def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]]:
-    """(ids, sets, blocks, whether only sets of different blocks are compared) of each unit of rows (unit, id, hashes, own, cross) that stand together by unit; by id, each id's set once."""
+        g, others, common = int(node[p]), node[at[hit]], common[hit]
+        if g in best or len(np.unique(others)) < len(others):  # an id of several sets counts as linked by its best pair
+            own = best.setdefault(g, {})
+            for o, c in zip(others.tolist(), common.tolist(), strict=True):
+                own[o] = max(c, own.get(o, 0))
+        elif g + 1 < len(starts) and starts[g] + 1 == starts[g + 1] or g + 1 == len(starts) and starts[g] + 1 == count:
+            yield g, others, common
+        else:
+            best[g] = dict(zip(others.tolist(), common.tolist(), strict=True))
+    for g, own in best.items():
+        yield g, np.array(list(own)), np.array(list(own.values()))
+
+
+def units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Unit]:
+    """The units of rows (unit, id, own, cross, base, missing, n, delta) that stand together by unit; each id's equal sets once."""
     unit, rows = None, {}
 
-    def done() -> tuple[np.ndarray, list[np.ndarray], np.ndarray, bool]:
+    def done() -> Unit:
         keys = sorted(rows)
-        return np.array([k[0] for k in keys]), [np.frombuffer(k[1], np.uint64) for k in keys], np.array([rows[k][0] for k in keys]), rows[keys[0]][1]
+        own, missing, n = (np.array([rows[k][i] for k in keys], np.int64) for i in (0, 3, 4))
+        _, cross, base, _, _ = rows[keys[0]]
+        return Unit(np.array([k[0] for k in keys]), own, cross, base, missing, n, [np.frombuffer(k[1], np.uint64) for k in keys])
 
     for batch in batches:
-        for u, i, s, own, cross in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for u, i, own, cross, base, missing, n, delta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if u != unit:
                 if len(rows) > 1:
                     yield done()
                 unit, rows = u, {}
-            rows[i, s] = own, cross
+            rows[i, delta] = own, cross, base, missing, n
     if len(rows) > 1:
         yield done()
 
 
-def links_of(ids: np.ndarray, sets: list[np.ndarray], own: np.ndarray, cross: bool, rule: Rule) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each place of an id among the ascending distinct ids of a unit: the places of ids that it is linked with, and their common elements.
-
-    Each pair comes once, of a unit of one block at the lesser id. An id's sets are compared through an inverted index
-    of the unit, in memory that follows the elements; only counts of common elements are kept of pairs without a link.
-    """
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    node = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    if cross and own.min() == own.max():
-        return
-    at = np.flatnonzero(own == own.max()) if cross else np.arange(len(ids))
-    n = np.array([len(s) for s in sets], np.int64)
-    value = np.concatenate([sets[i] for i in at])
-    order = np.argsort(value, kind="stable")
-    value, owner = value[order], np.repeat(np.arange(len(at), dtype=np.int32), n[at])[order]
-    for g, (a, b) in enumerate(zip(starts.tolist(), np.append(starts[1:], len(ids)).tolist(), strict=True)):
-        if cross and own[a] != own.min():
-            continue
-        best = np.zeros(len(starts), np.int64)
-        for p in range(a, b):
-            first = np.searchsorted(value, sets[p], "left")
-            common = np.bincount(owner[ranges(first, np.searchsorted(value, sets[p], "right") - first)], minlength=len(at))
-            hit = np.flatnonzero((common > 0) & rule.linked(common, n[at], n[p]))
-            np.maximum.at(best, node[at[hit]], common[hit])
-        if not cross:
-            best[: g + 1] = 0
-        others = np.flatnonzero(best)
-        if len(others):
-            yield g, others, best[others]
-
-
 def counted(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(a, b, n): each id that has links in a unit, the least id that they reach there, and their number."""
-    for ids, sets, own, cross in units_of(batches):
-        names = np.unique(ids)
-        n, least = np.zeros(len(names), np.int64), np.arange(len(names))
-        for g, others, _ in links_of(ids, sets, own, cross, rule):
+    for unit in units_of(batches):
+        names = np.unique(unit.ids)
+        n, union = np.zeros(len(names), np.int64), Union(len(names))
+        for g, others, _ in links_of(unit, rule):
             n[g] += len(others)
             n[others] += 1
-            met = np.unique(np.append(least[others], least[g]))
-            if len(met) > 1:
-                least[np.isin(least, met)] = met[0]
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int64()), pa.array(names[least[some]], pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
+            apart = np.unique(union.parent[others])  # few once most are joined
+            union.join(np.stack([np.full(len(apart), g), apart], 1))
+        some, root = np.flatnonzero(n), union.roots()
+        yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.int64()), pa.array(names[root[some]], pa.int64()), pa.array(n[some])], names=["a", "b", "n"])
 
 
 def paired(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """(a, b, n_common): each link of these units once, the lesser id first."""
-    for ids, sets, own, cross in units_of(batches):
-        names = np.unique(ids)
-        for g, others, common in links_of(ids, sets, own, cross, rule):
+    for unit in units_of(batches):
+        names = np.unique(unit.ids)
+        for g, others, common in links_of(unit, rule):
             a, b = np.minimum(names[g], names[others]), np.maximum(names[g], names[others])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(common)], names=["a", "b", "n_common"])
 
@@ -396,16 +488,15 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     listed, and a link stands for all pairs of documents of its two classes. Rows as for linked().
     """
     rule = Rule(percent)
-    *_, checked = candidates(docs, words, percent)
-    return checked.mapInArrow(lambda b: paired(b, rule), "a long, b long, n_common long")
+    *_, units = candidates(docs, words, percent)
+    return units.mapInArrow(lambda b: paired(b, rule), "a long, b long, n_common long")
 
 
-def linked(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
+def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies, n_links) of each row of `docs` (doc_id, text): links are Jaccard similarities of at least `percent` %.
 
     n_copies: the rows with an equal set, this one included. n_links: the links of their representative, which is the
-    least doc_id, with the representatives of other sets. Both are missing unless `count_links`: then only as many links
-    are evaluated as tell the components.
+    least doc_id, with the representatives of other sets.
 
     A text's set: the distinct runs of `words` words, after A-Z are lower-cased; a text of fewer words is one run itself;
     a text without words, or null, is empty and linked with nothing. component_id is the least doc_id that links reach,
@@ -415,28 +506,25 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90, count_links: bool
     """
     rule = Rule(percent)
     key = ["n_shingles", "key_a", "key_b"]
-    every, classes, checked = candidates(docs, words, percent)
-    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")).alias("component_id")]
-    if count_links:
-        found = checkpointed(checked.mapInArrow(lambda b: counted(b, rule), "a long, b long, n long"))
-        numbers = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-        reached = components(found)
-        named = classes.join(reached, "id", "left").join(numbers, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        own = F.col("n_shingles") > 0
-        columns += [F.when(own, F.col("n_copies")).otherwise(1).cast("long").alias("n_copies"), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links")]
-    else:
-        reached = components(checked.select("unit", "id", "hashes").mapInArrow(lambda b: verified(b, rule), "a long, b long"))
-        named = classes.join(reached, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"))
-    return every.join(named, key, "left").select(*columns)
+    every, classes, units = candidates(docs, words, percent)
+    found = checkpointed(units.mapInArrow(lambda b: counted(b, rule), "a long, b long, n long"))
+    numbers = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    reached = components(found)
+    named = classes.join(reached, "id", "left").join(numbers, "id", "left").select(*key, F.coalesce("component", "id").alias("class_component"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = F.col("n_shingles") > 0
+    return every.join(named, key, "left").select(
+        "doc_id", "n_shingles", F.when(own, F.col("class_component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(own, F.col("n_copies")).otherwise(1).cast("long").alias("n_copies"), F.when(own, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+    )
 
 
 def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What linked() and links() start from: each row's set by its size and keys, the classes of equal sets, and the units to be checked exactly.
+    """What linked() and links() start from: each row's set by its size and keys, the classes of equal sets, and the units to be joined exactly.
 
-    Rows of units are (unit, id, hashes, own, cross) and stand together by unit; own is the block of the set, and a
-    unit that is `cross` is of two blocks, whose sets are compared with those of the other one.
+    Rows of units are (unit, id, own, cross, base, missing, n, delta) and stand together by unit; own is the block of the
+    set, and a unit that is `cross` is of two blocks, whose sets are compared with those of the other one.
     """
-    rule, parts = Rule(percent), shuffle_partitions(docs)
+    rule, n_tasks = Rule(percent), shuffle_partitions(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,62 +533,74 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             n = np.diff(at)
             sums = np.concatenate([np.zeros((2, 1), V.U64), np.cumsum(np.stack([V.mix(hashes), V.mix(hashes ^ V.U64(V.BASE))]), axis=1)], axis=1)
             keys = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1])], names=["doc_id", "n_shingles", "key_a", "key_b"])
-
-    def first_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches):
-            hashes, at = shingle_sets(*utf8_parts(batch.column(1)), words)
-            n = np.diff(at)
-            first = [hashes[a : a + rule.first(int(m))].tobytes() if m else b"" for a, m in zip(at[:-1].tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.binary())], names=["doc_id", "n_shingles", "first"])
+            signed, owner = signatures(hashes, at, rule)
+            cut = np.searchsorted(owner, np.arange(len(n) + 1)).tolist()
+            signed = pa.array([signed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), signed], names=["doc_id", "n_shingles", "key_a", "key_b", "signatures"])
 
     key = ["n_shingles", "key_a", "key_b"]
-    every = checkpointed(given.mapInArrow(sets, SETS))
+    signed = checkpointed(given.mapInArrow(sets, SETS))
+    every = signed.drop("signatures")
     classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies")).where("id is not null"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            m = rule.first(n)
-            hashes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            yield packed(hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(n, m), None, 4 * parts)
-
-    heads = given.mapInArrow(first_hashes, FIRST).where("n_shingles > 0").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    dealt = heads.mapInArrow(deal, PACKED).repartition(parts, "bucket")
-    shared = dealt.mapInArrow(lambda b: sharing(b, rule, 4 * parts), PACKED).repartition(parts, "bucket")
-    staying = shared.mapInArrow(lambda b: enough(b, rule), "doc_id long")
+            signs = batch.column(2).to_pylist()
+            m = np.array([len(x) // 8 for x in signs], np.int64)
+            hashes = np.frombuffer(b"".join(signs), np.uint64)
+            yield packed((hashes % V.U64(4 * n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m))
+
+    by_bucket = lambda df: df.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    signing = signed.where("length(signatures) > 0")
+    representatives = signing.join(classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "signatures")
+    shared = by_bucket(representatives.mapInArrow(deal, PACKED)).mapInArrow(lambda b: sharing(b, rule, 4 * n_tasks), PACKED)
+    staying = checkpointed(by_bucket(shared).mapInArrow(lambda b: enough(b, rule), "doc_id long"))
+    near = signing.join(staying, "doc_id", "left_semi").select("doc_id", "n_shingles", "signatures").mapInArrow(deal, PACKED)
+    edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(distinct_edges, "a long, b long")
+    groups = checkpointed(components(edges))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
-            hashes, at = shingle_sets(*utf8_parts(batch.column(1)), words)
+            hashes, at = shingle_sets(*utf8_parts(batch.column(2)), words)
             own = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(own, pa.binary())], names=["id", "component", "n", "hashes"])
 
-    remaining = checkpointed(given.join(staying, "doc_id", "left_semi").mapInArrow(whole, "id long, hashes binary").where("length(hashes) > 0"))
+    remaining = checkpointed(given.join(groups, given["doc_id"] == groups["id"]).select("id", "component", "text").mapInArrow(whole, WHOLE).where("n > 0"))
+    beyond = (F.col("n_sets") > BLOCK) | (F.col("n_elements") > ELEMENTS)
+    sized = lambda df: checkpointed(df.groupBy("component").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_elements"), F.min("id").alias("pivot")).where(beyond).select("component", "pivot"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, column="hashes"):
+            n = batch.column(1).to_numpy()
+            signed, owner = signatures(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.cumsum(np.append(0, n)), rule, fine=True)
+            yield packed((signed % V.U64(4 * n_tasks)).astype(np.int64), signed, batch.column(0).to_numpy()[owner], n[owner])
+
+    chained = sized(remaining).select("component")
+    loose = remaining.join(chained, "component").select("id", "n", "hashes")
+    edges = by_bucket(by_bucket(loose.mapInArrow(sign_again, PACKED)).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(distinct_edges, "a long, b long")
+    regrouped = checkpointed(loose.join(components(edges), "id").select("id", "component", "n", "hashes"))
+    remaining = remaining.join(chained, "component", "left_anti").select("id", "component", "n", "hashes").unionByName(regrouped)
+    large = sized(remaining)
+    small = remaining.join(large, "component", "left_anti").select(
+        F.xxhash64("component").alias("unit"), "id", F.lit(0).cast("long").alias("own"), F.lit(False).alias("cross"),
+        F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("missing"), "n", F.col("hashes").alias("delta"),
+    )
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, len(batch), 1000):
-                part = batch.slice(s, 1000)
-                own = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
-                n = np.array([len(x) for x in own], np.int64)
-                m = rule.first(n)
-                first = np.concatenate([x[:k] for x, k in zip(own, m.tolist(), strict=True)]) if len(own) else np.zeros(0, np.uint64)
-                bits = (V.mix(first) & V.U64(64 * WORDS64 - 1)).astype(np.int64)
-                maps = np.zeros((len(own), WORDS64), np.uint64)
-                np.bitwise_or.at(maps, (np.repeat(np.arange(len(own)), m), bits >> 6), V.U64(1) << (bits & 63).astype(V.U64))
-                meet = rule.missing(n) + 1  # linked sets have one of so many first hashes in common
-                at = np.repeat(np.arange(len(own)), meet)
-                keys = first[ranges(np.cumsum(m) - m, meet)]
-                yield packed(keys, part.column(0).to_numpy()[at], n[at], maps[at], 4 * parts)
-
-    signed = remaining.mapInArrow(sign, PACKED).repartition(parts, "bucket")
-    edges = signed.mapInArrow(lambda b: candidate_edges(b, rule, 4 * parts), PACKED).repartition(parts, "bucket").mapInArrow(distinct_edges, "a long, b long")
-    groups = checkpointed(components(edges))
-    sized = groups.join(remaining.select("id", (F.length("hashes") / 8).alias("n")), "id")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).alias("blocks"))
-    placed = groups.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    # a component of several blocks is checked block pair by block pair
-    units = placed.select("id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "own", F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("unit"))
-    units = units.select("id", "own", (F.col("unit.i") != F.col("unit.j")).alias("cross"), F.xxhash64("unit.component", "unit.i", "unit.j").alias("unit"))
-    return every, classes, units.join(remaining, "id").select("unit", "id", "hashes", "own", "cross").repartition(parts, "unit").sortWithinPartitions("unit")
+            rows = []
+            for component, i, s, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, pivot = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
+                delta = np.setxor1d(own, pivot, assume_unique=True)
+                rows.append((component, i, len(pivot), (len(pivot) - len(own) + len(delta)) // 2, len(own), delta.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=[x.split()[0] for x in DELTAS.split(", ")])
+
+    pivots = remaining.join(large.withColumnRenamed("pivot", "id"), ["component", "id"]).groupBy("component").agg(F.min("hashes").alias("pivot"))
+    differing = checkpointed(remaining.join(pivots, "component").select("component", "id", "hashes", "pivot").mapInArrow(differences, DELTAS))
+    blocks = differing.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("delta")) / (8 * ELEMENTS))).alias("blocks"))
+    placed = differing.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    # a component of several blocks is joined block pair by block pair
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    pairs = pairs.select(F.xxhash64("component", "i", "j").alias("unit"), "id", "own", (F.col("i") != F.col("j")).alias("cross"), "base", "missing", "n", "delta")
+    return every, classes, small.select(*UNIT).unionByName(pairs.select(*UNIT)).repartition(n_tasks, "unit").sortWithinPartitions("unit")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.llm import bilstm_crf, fingerprints, jaccard_join, langid, mixing, packing, pii, quality, queries, suffix_dedup
+from kmerloom.llm import textvec as V
 from kmerloom.llm.common import utf8_parts
 from tests.conftest import same_rows
 from tests.llm import brute
@@ -280,22 +281,46 @@ def test_jaccard_join_on_the_corpus(corpus, texts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(corpus).collect()} == brute.components(texts, 3, 90)
 
 
-def test_signature_tree_keeps_all_links():
-    rule, rng = jaccard_join.Rule(80), np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 400, rng.integers(20, 60))) for _ in range(30)]
-    sets += [np.unique(np.append(s[:-1], rng.integers(0, 400))) for s in sets for _ in range(6)]
-    sets.sort(key=len)
-    sizes = np.array([len(s) for s in sets])
-    maps, slack = np.zeros((len(sets), jaccard_join.WORDS64), np.uint64), np.zeros(len(sets), np.int64)
-    for i, s in enumerate(sets):
-        first = s[: rule.first(len(s))]
-        for x in first.tolist():
-            maps[i, x % (64 * jaccard_join.WORDS64) // 64] |= np.uint64(1 << (x % 64))
-        slack[i] = len(first) - int(np.bitwise_count(maps[i]).sum())
-    tree = jaccard_join.SignatureTree(maps, sizes, slack, np.arange(len(sets)), rule)
-    found = {tuple(sorted(p)) for c in tree.candidates(50) for p in c.tolist()}
-    want = {(i, j) for j in range(len(sets)) for i in range(j) if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
-    assert len(want) > 50 and want <= found and len(found) < len(sets) * (len(sets) - 1) / 2
+def near_sets(rng, base, copies):
+    sets = [np.unique(V.mix(rng.integers(0, 4000, rng.integers(20, 60)).astype(np.uint64))) for _ in range(base)]
+    return sets + [np.unique(np.append(np.delete(s, rng.integers(0, len(s))), V.mix(rng.integers(0, 4000, 1).astype(np.uint64)))) for s in sets for _ in range(copies)]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+@pytest.mark.parametrize("cross", [False, True])
+def test_signature_tree_keeps_all_links(percent, cross):
+    """Of a unit of near and of unlike sets, reduced to a base or not, the tree keeps every linked pair, and links_of() finds just these."""
+    rule, rng = jaccard_join.Rule(percent), np.random.default_rng(2)
+    sets = near_sets(rng, 30, 6)
+    n, own = np.array([len(s) for s in sets]), rng.integers(0, 2, len(sets)) if cross else np.zeros(len(sets), np.int64)
+    unit = jaccard_join.Unit(np.arange(len(sets)), own, cross, 0, np.zeros(len(sets), np.int64), n, sets)
+    want = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j) if (not cross or own[i] != own[j])}
+    want = {p: c for p, c in want.items() if rule.linked(c, n[p[0]], n[p[1]])}
+    kept = {tuple(sorted(p)) for c in jaccard_join.SignatureTree(unit, rule).candidates(50) for p in c.tolist()}
+    assert len(want) > 50 and set(want) <= kept and len(kept) < len(sets) * (len(sets) - 1) / 8
+    assert {tuple(sorted((g, o))): c for g, others, common in jaccard_join.links_of(unit, rule) for o, c in zip(others.tolist(), common.tolist())} == want
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Sets that differ as much as linked ones may, of all sizes, share a signature; at 90 % and more, sets that share half of their elements don't."""
+    rule, rng = jaccard_join.Rule(percent), np.random.default_rng(percent)
+    checked = apart = 0
+    for size in [*range(1, 120), *rng.integers(120, 3000, 60).tolist()]:
+        own = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)
+        for _ in range(4):
+            most = size * (100 - percent) // percent
+            gone = int(rng.integers(0, most + 1))
+            other = np.append(own[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, most - gone + 1)), dtype=np.int64).astype(np.uint64))
+            half = np.append(own[: size // 2], rng.integers(0, 1 << 63, size - size // 2, dtype=np.int64).astype(np.uint64))
+            a, b, c = (np.unique(x) for x in (own, other, half))
+            keys, owner = jaccard_join.signatures(np.concatenate([a, b, c]), np.cumsum([0, len(a), len(b), len(c)]), rule)
+            common = len(np.intersect1d(a, b))
+            if common < max(len(a), len(b)) and rule.linked(common, len(a), len(b)):
+                checked += 1
+                assert np.isin(keys[owner == 0], keys[owner == 1]).any(), (size, len(b), common)
+            apart += size > 200 and not np.isin(keys[owner == 0], keys[owner == 2]).any()
+    assert checked > 100 and (percent < 90 or apart > 100)
 
 
 def passages():
