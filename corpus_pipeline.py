@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import jaccard_join, langid, line_dedup, mixing, packing
@@ -18,21 +18,29 @@ LEAST_SHARE = 0.4
 TOKEN_SHARE = 0.8
 
 
+def replaced(rows: DataFrame, docs: DataFrame, **columns: Column) -> DataFrame:
+    """The columns of `docs` from the struct `row`, some of them replaced where `docs` has them; other columns of `rows` may have their names."""
+    return rows.select(*(columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go; the others get it where they name none."""
     kept = langid.identified(docs, whole_rows=True).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return kept.select("row.*", "lang_pred").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return replaced(kept, docs, lang=F.coalesce(F.col("row.lang").cast("string"), F.col("lang_pred")))
 
 
 def line_templates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates and repeated long lines go, and documents of which nothing else is left."""
     left = line_dedup.deduped(docs, whole_rows=True, long_tokens=line_dedup.LONG_TOKENS).where((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    return left.select("row.*", "kept_text").withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+    return replaced(left, docs, text=F.col("kept_text"), n_chars=F.length("kept_text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the least doc_id; five-word shingles, Jaccard of 0.8."""
-    groups = jaccard_join.linked(docs, words=5, percent=80, count_links=False)
+    """One document of each group of near duplicates stays, the one of the least doc_id; five-word shingles, Jaccard of 0.8.
+
+    Rows that repeat the doc_id of one that stays do so too, and so do all rows without a doc_id: nothing names them.
+    """
+    groups = jaccard_join.linked(docs, words=5, percent=80)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
