@@ -67,10 +67,40 @@ class Tagger:
         return dx @ self.p[f"x{d}"].T
 
     def scores(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Emission scores (sequence, position, tag)."""
-        e = self.p["emb"][ids]
-        h = np.concatenate([self._run(d, e, mask, False)[0] for d in "fb"], 2)
-        return h @ self.p["out"] + self.p["bias"]
+        """Emission scores (sequence, position, tag); masked positions come last and have none that mean anything.
+
+        The same network as in training, for speed with a table of each character's gate inputs, all gates by one tanh,
+        and sequences reversed by themselves so that neither direction meets masked steps first.
+        """
+        n, t = ids.shape
+        k, last = self.hidden, mask.sum(1).astype(np.int64) - 1
+        back = np.maximum(last[:, None] - np.arange(t), 0)
+        emit = np.broadcast_to(self.p["bias"], (n, t, len(self.p["bias"]))).copy()
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), k)  # sigmoid(x) is (tanh(x / 2) + 1) / 2
+        for d, order in (("f", None), ("b", back)):
+            table, wh = (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, self.p[f"h{d}"] * half
+            x = table[(ids if order is None else np.take_along_axis(ids, order, 1)).T]
+            h, c, out = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((t, n, k), np.float32)
+            for i in range(t):
+                z = x[i]
+                z += h @ wh
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * k]
+                gates += 1
+                gates *= 0.5
+                c *= z[:, k : 2 * k]
+                c += z[:, :k] * z[:, 3 * k :]
+                h = np.multiply(z[:, 2 * k : 3 * k], np.tanh(c), out=out[i])
+            side = out.reshape(-1, k) @ self.p["out"][:k] if d == "f" else out.reshape(-1, k) @ self.p["out"][k:]
+            side = side.reshape(t, n, -1).transpose(1, 0, 2)
+            emit += side if order is None else np.take_along_axis(side, order[:, :, None], 1)
+        return emit
+
+    def quiet(self, emit: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Which sequences surely have tag 0 throughout as their best tags: at no position can another tag make up for its transitions."""
+        trans, first = self.transitions()
+        gain = max(0.0, float((trans - trans[0, 0]).max()), float((first - first[0]).max()))
+        return ((emit[:, :, 1:].max(2) - emit[:, :, 0] + 2 * gain < 0) | (mask == 0)).all(1)
 
     def transitions(self) -> tuple[np.ndarray, np.ndarray]:
         return np.where(self.allowed, self.p["trans"], BLOCKED), np.where(self.first, 0, BLOCKED).astype(np.float32)
@@ -141,13 +171,14 @@ class Tagger:
         return float((total - score).mean()), grads
 
     def train(self, ids: np.ndarray, mask: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> list[float]:
-        """Adam with clipped gradients; the mean loss of each epoch."""
+        """Adam with clipped gradients; the mean loss of each epoch. A batch has sequences of about one length."""
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in self.p.items()}
         step, losses = 0, []
         for epoch in range(epochs):
             order, found = rng.permutation(len(ids)), []
-            for s in range(0, len(order), batch):
+            order = np.concatenate([x[np.argsort(mask[x].sum(1), kind="stable")] for x in np.array_split(order, max(1, len(order) // (16 * batch)))])
+            for s in rng.permutation(np.arange(0, len(order), batch)).tolist():
                 own = order[s : s + batch]
                 longest = int(mask[own].sum(1).max())
                 value, grads = self.loss(ids[own, :longest], mask[own, :longest], tags[own, :longest])

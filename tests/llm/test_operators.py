@@ -203,15 +203,62 @@ def test_tagger_gradients():
             assert abs((up - down) / 2e-4 - grads[name].reshape(-1)[i]) < 1e-3
 
 
-def test_tagger_on_held_out_spans_and_clean_text():
-    tagger, held = pii.trained(), pii.training(300, 99)
-    found = pii.decoded(tagger, pii.emissions(tagger, [pii.char_ids(t) for t, _ in held]))
-    right = sum(len({s[:3] for s in d} & set(spans)) for d, (_, spans) in zip(found, held))
-    assert right / sum(map(len, found)) > 0.85 and right / sum(len(s) for _, s in held) > 0.85
-    clean = ["On 2024-01-02 at 10:30, v1.2.33 cost $12.50.", "License, Version 2.0.", "token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "7,000 of 12 men"]
-    assert pii.added_spans(tagger, clean, [[] for _ in clean]) == [[] for _ in clean]
-    extra = ["please call (415) 555-1234 today"]
-    assert pii.added_spans(tagger, extra, [[]]) == [[(12, 26, "phone")]]
+def test_fast_scores_are_the_network_s():
+    rng = np.random.default_rng(4)
+    t = pii.trained()
+    sizes = np.array([1, 7, 40, 40, 23])
+    ids, mask = rng.integers(0, pii.N_CHARS, (5, 40)).astype(np.int32), (np.arange(40) < sizes[:, None]).astype(np.float32)
+    e = t.p["emb"][ids]
+    want = np.concatenate([t._run(d, e, mask, False)[0] for d in "fb"], 2) @ t.p["out"] + t.p["bias"]
+    assert np.abs(t.scores(ids, mask) - want)[mask > 0].max() < 1e-3
+    emit = rng.normal(0, 3, (300, 12, len(pii.TAGS)))
+    emit[:, :, 0] += rng.choice([0, 12, 20], 300)[:, None]
+    mask = np.ones((300, 12))
+    quiet, spoken = t.quiet(emit, mask), t.viterbi(emit, mask).any(1)
+    assert quiet.any() and spoken.any() and not (quiet & spoken).any()
+
+
+def test_windows_are_reconciled():
+    """Overlapping windows over a long text show the spans that one window over all of it shows; the heaviest ones without overlap stay."""
+    tagger, parts = pii.trained(), pii.training(150, 5)
+    text = "\n".join(t for t, _ in parts)
+    ids = [pii.char_ids(text)]
+    one = {s[:3] for s in pii.reconciled(pii.window_spans(tagger, ids, window=len(text), stride=len(text))[0])}
+    many = {s[:3] for s in pii.reconciled(pii.window_spans(tagger, ids)[0])}
+    assert len(one) > 80 and len(one ^ many) <= 0.05 * len(one)
+    rng = random.Random(6)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6), rng.choice(pii.KINDS), rng.randint(1, 9) / 1.0) for a in rng.choices(range(12), k=rng.randint(0, 7))]
+        apart = lambda sub: all(x[1] <= y[0] or y[1] <= x[0] for i, x in enumerate(sub) for y in sub[:i])
+        most = max(sum(x[3] for x in sub) for m in range(1 << len(spans)) if apart(sub := [x for i, x in enumerate(spans) if m >> i & 1]))
+        got = pii.reconciled(spans)
+        assert apart(got) and sum(max(x[3] for x in spans if x[:3] == g) for g in got) == most
+
+
+@needs_data
+def test_disguised_spans_in_documents_are_found(texts):
+    """Spans of unseen spellings, written into documents, are found whole; documents without any stay clean."""
+    tagger, rng = pii.trained(), random.Random(12)
+    clean = [t for _, t in texts if t]
+    planted, want = [], []
+    for held, spans in pii.training(400, 99):
+        for a, b, kind in spans:
+            host = rng.choice(clean)
+            at = host.find(" ", rng.randrange(len(host)))
+            if at >= 0 and not pii.base_spans(f" {held[a:b]} "):
+                planted.append(f"{host[:at]} {held[a:b]} {host[at + 1:]}")
+                want.append((at + 1, at + 1 + b - a, kind))
+    got = pii.added_spans(tagger, planted, [[] for _ in planted])
+    assert len(want) > 120 and sum(w in g for w, g in zip(want, got)) / len(want) >= 0.85
+    spelled = [
+        "contact bob.jones at mail dot com for more", "mail anna.b [at] site.org now", "phone 00 49 151 1234567 today", "please call (415) 555-1234 today", "reach me: jane_doe (at) company (dot) com",
+        "the server at 10 dot 0 dot 0 dot 1 is down", "call five five five one two three four zero now", "john42 [at] host [dot] net", "dial 415.555.1234 or 0151 / 123 4567",
+    ]
+    assert sum(bool(x) for x in pii.added_spans(tagger, spelled, [[] for _ in spelled])) >= 7
+    odd = ["On 2024-01-02 at 10:30, v1.2.33 cost $12.50.", "License, Version 2.0.", "token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "7,000 of 12 men", "Meet at one dot of the three."]
+    assert pii.added_spans(tagger, odd, [[] for _ in odd]) == [[] for _ in odd]
+    added = pii.added_spans(tagger, clean, [pii.base_spans(t) for t in clean])
+    assert sum(map(bool, added)) <= 0.03 * len(clean)
 
 
 @needs_data
