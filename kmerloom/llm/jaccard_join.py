@@ -292,11 +292,15 @@ def agreeing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Itera
         yield packed(slot, nodes[root[moved]].astype(np.uint64), nodes[moved], np.zeros(len(moved), np.int32))
 
 
-def distinct_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the packed edges, each once."""
+def joined_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the packed edges of each bucket, no more than an edge a node, so that edges stay few in groups that share many signatures."""
     for other, ids, _ in buckets(batches):
-        pairs = np.unique(np.stack([ids, other.view(np.int64)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        nodes, index = np.unique(np.concatenate([ids, other.view(np.int64)]), return_inverse=True)
+        union = Union(len(nodes))
+        union.join(np.unique(index.reshape(2, -1).T, axis=0))
+        root = union.roots()
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved], pa.int64()), pa.array(nodes[root[moved]], pa.int64())], names=["a", "b"])
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -550,13 +554,13 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             hashes = np.frombuffer(b"".join(signs), np.uint64)
             yield packed((hashes % V.U64(4 * n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m))
 
-    by_bucket = lambda df: df.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     signing = signed.where("length(signatures) > 0")
     representatives = signing.join(classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "signatures")
     shared = by_bucket(representatives.mapInArrow(deal, PACKED)).mapInArrow(lambda b: sharing(b, rule, 4 * n_tasks), PACKED)
     staying = checkpointed(by_bucket(shared).mapInArrow(lambda b: enough(b, rule), "doc_id long"))
     near = signing.join(staying, "doc_id", "left_semi").select("doc_id", "n_shingles", "signatures").mapInArrow(deal, PACKED)
-    edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(distinct_edges, "a long, b long")
+    edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
     groups = checkpointed(components(edges))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -577,7 +581,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
 
     chained = sized(remaining).select("component")
     loose = remaining.join(chained, "component").select("id", "n", "hashes")
-    edges = by_bucket(by_bucket(loose.mapInArrow(sign_again, PACKED)).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(distinct_edges, "a long, b long")
+    edges = by_bucket(by_bucket(loose.mapInArrow(sign_again, PACKED)).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
     regrouped = checkpointed(loose.join(components(edges), "id").select("id", "component", "n", "hashes"))
     remaining = remaining.join(chained, "component", "left_anti").select("id", "component", "n", "hashes").unionByName(regrouped)
     large = sized(remaining)
@@ -603,4 +607,4 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     # a component of several blocks is joined block pair by block pair
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     pairs = pairs.select(F.xxhash64("component", "i", "j").alias("unit"), "id", "own", (F.col("i") != F.col("j")).alias("cross"), "base", "missing", "n", "delta")
-    return every, classes, small.select(*UNIT).unionByName(pairs.select(*UNIT)).repartition(n_tasks, "unit").sortWithinPartitions("unit")
+    return every, classes, small.select(*UNIT).unionByName(pairs.select(*UNIT)).repartition("unit").sortWithinPartitions("unit")

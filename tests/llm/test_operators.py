@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kmerloom.llm import bilstm_crf, fingerprints, jaccard_join, langid, mixing, packing, pii, quality, queries, suffix_dedup
 from kmerloom.llm import textvec as V
 from kmerloom.llm.common import utf8_parts
+from kmerloom.llm.components import components
 from tests.conftest import same_rows
 from tests.llm import brute
 
@@ -405,3 +406,24 @@ def test_bucket_refinement_in_small_steps():
         assert {i: len(c) for i, c in cover.items()} == {i: x[1] for i, x in brute.suffix_dedup([(i, t) for i, (_, t) in enumerate(rows)]).items()}
 
 
+
+
+def test_components(spark):
+    """Chains, stars, loose pairs, loops and nulls; each id's component is the least id it reaches."""
+    rng = random.Random(11)
+    ids = rng.sample(range(-500, 100_000), 1500)
+    links = [(ids[i], ids[i + 1]) for i in range(700)] + [(ids[701], x) for x in ids[702:900]] + [(rng.choice(ids[900:]), rng.choice(ids[900:])) for _ in range(250)]
+    parent = {x: x for p in links for x in p}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for p in links if p[0] != p[1] for x in p}
+    got = components(docs(spark, [*links, links[0], (None, 5), (7, None)], "a long, b long")).collect()
+    assert len(got) == len(want) and {r.id: r.component for r in got} == want
+    assert components(docs(spark, [], "a long, b long")).count() == 0
