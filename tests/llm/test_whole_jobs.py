@@ -1,10 +1,14 @@
 """Cases that the operators once cut short."""
 
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kmerloom.llm import fingerprints, jaccard_join, line_dedup, queries
+from tests.conftest import same_rows
 from tests.llm import brute
 from tests.llm.test_operators import near_texts
 
@@ -22,12 +26,31 @@ def test_long_lines_recur_from_two_documents_on(spark):
     """An exact long line goes from the second document on; a short one, or one with another number, stays."""
     long_ = " ".join(f"word{chr(97 + i)}" for i in range(19))
     texts = [f"{long_} end\nfirst own", f"second own\n{long_}  end", f"{long_}\nthird own", f"{long_}\nfourth own", f"{long_} 7\nfifth own", f"{long_} 8\nsixth own"]
-    got = {r.doc_id: r for r in line_dedup.deduped(documents(spark, texts), long_tokens=20).collect()}
+    got = {r.doc_id: r for r in line_dedup.deduped(documents(spark, texts)).collect()}
     assert [got[i].n_removed for i in range(6)] == [0, 1, 0, 0, 0, 0] and got[1].kept_text == "second own"
     staged = {r.doc_id: r.text for r in corpus_pipeline.line_templates(spark, documents(spark, texts), "").collect()}
     assert staged == {0: texts[0], 1: "second own", **{i: texts[i] for i in range(2, 6)}}
 
 
+def test_variable_words_are_fields(spark, tmp_path):
+    """Log-like lines whose fields are words: short ones, several fields, fields with a few frequent values; ties of documents. The SQL agrees."""
+    rng = random.Random(3)
+    own = lambda: "".join(rng.choices("bcdfghklmnprst", k=9))
+    texts = []
+    for i in range(60):
+        lines = [f"Posted by {own()}", f"Posted by {own()} on the board {rng.choice(['sports', 'news', own()])} for all readers", f"{own()} {own()} {own()} {own()}", f"The {own()} {own()} {own()} {own()} the {own()}", f"Seen 1{i} times"]
+        texts.append("\n".join(lines if i else lines + lines[:1]))
+    texts += ["Posted by anyone of us", "Posted with care", "Posted by"]
+    folder = tmp_path / "t"
+    documents(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_line_dedup(spark, str(folder)).collect()}
+    assert got[0].n_removed == 0 and all(got[i].kept_text.split("\n") == texts[i].split("\n")[2:4] for i in range(1, 60))
+    assert all(got[i].n_removed == 0 for i in range(60, 63))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    assert same_rows(queries.op7_line_dedup(spark, str(folder)).toPandas(), con.sql(queries.SQL["op7_line_dedup"]).df())
+
+
 # fingerprints
 
 
