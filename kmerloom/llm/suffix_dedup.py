@@ -8,9 +8,9 @@ every 39 bytes or so, with a run of windows.
 2. Anchor hashes are dealt by bucket (16 bytes each). Those that occur once have no repeated window and leave.
 3. For the others the bytes of their runs of windows are dealt by anchor. Equal runs are settled within the sending task
    and again on arrival, which keeps passages that very many documents share small.
-4. What remains are the initial buckets of suffixes: the suffixes of an anchor's runs are ranked by their first 8 bytes
-   and refined to 16, 32, 64 and 100 bytes by sorting on the pair of their own bucket and the bucket at the later offset.
-   Windows in one bucket of depth 100 are equal; the earliest stays.
+4. What remains is sorted by bucket-pointer refinement: suffixes of an anchor's runs begin in buckets of their first bytes;
+   a bucket is refined by sorting on the pointers to the buckets at the offset that its suffixes have in common, its parts' pointers are
+   written at once, and refinement goes on into the parts. Of equal windows, neighbours in the end, the earliest stays.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from kmerloom.llm import textvec as V
 from kmerloom.llm.common import in_chunks, shuffle_partitions, utf8_parts
 from kmerloom.llm.jaccard_join import ranges
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM, QGRAM = 100, 24, 7
 SPREAD = WINDOW - GRAM + 1
 LAST = (1 << 63) - 1  # the place of rows without a doc_id
 ANCHORS = "bucket int, hashes binary, rids binary"
@@ -124,37 +124,79 @@ def settled(ids: np.ndarray, starts: np.ndarray, rids: np.ndarray, keys: np.ndar
     return earliest, later
 
 
-def ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(V.U64)
+def suffix_buckets(text: np.ndarray, begin: np.ndarray, length: np.ndarray, group: np.ndarray, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes in order of buckets, bucket pointer of each position): suffixes of the runs of `text` (begin, length), each run for itself, in groups.
+
+    Bucket-pointer refinement. Initial buckets have a group and the first QGRAM bytes in common; a bucket's pointer is its
+    first place, so pointers are in the order of the suffixes. A bucket whose suffixes have d bytes in common is sorted by the pointers at
+    offset d. The parts that this leaves have as many more bytes in common as the buckets pointed at, and their pointers are
+    written back at once: buckets refined later, those of the recursion into the parts first, go by the finer ones. Buckets of
+    WINDOW bytes, or with less than two suffixes that are so long, aren't refined further. `chunk` suffixes are sorted at a time.
+    """
+    n = len(text)
+    owner = np.repeat(np.arange(len(begin)), length)
+    left = np.repeat(begin + length, length) - np.arange(n)  # bytes from here to the run's end
+    symbols = np.append(text.astype(np.uint64) + V.U64(1), np.zeros(QGRAM, V.U64))
+    gram = np.zeros(n, V.U64)
+    for j in range(QGRAM):
+        gram = gram * V.U64(257) + np.where(left > j, symbols[j : j + n], V.U64(0))
+    order = np.lexsort((gram, group[owner]))
+    fresh = np.append(True, (gram[order][1:] != gram[order][:-1]) | (group[owner[order]][1:] != group[owner[order]][:-1]))[:n]
+    starts = np.flatnonzero(fresh)
+    pointer = np.empty(n, np.int64)
+    pointer[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+    depth = np.full(n, QGRAM, np.int64)  # common bytes of the bucket that begins at a place
+    window = left >= WINDOW
+
+    def unfinished(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = (sizes > 1) & (depth[starts] < WINDOW)
+        starts, sizes = starts[some], sizes[some]
+        if len(starts):
+            several = np.add.reduceat(window[order[ranges(starts, sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64) > 1
+            starts, sizes = starts[several], sizes[several]
+        return starts, sizes
+
+    stack = [unfinished(starts, np.diff(np.append(starts, n)))]
+    while stack:
+        starts, sizes = stack.pop()
+        if not len(starts):
+            continue
+        total = np.cumsum(sizes)
+        k = max(1, int(np.searchsorted(total, chunk, "right")))
+        if k < len(starts):
+            stack.append((starts[k:], sizes[k:]))
+            starts, sizes = starts[:k], sizes[:k]
+        places, bucket = ranges(starts, sizes), np.repeat(starts, sizes)
+        member, common = order[places], np.repeat(depth[starts], sizes)
+        target = np.where(left[member] > common, pointer[np.minimum(member + common, n - 1)], -1)
+        sort = np.lexsort((target, bucket))
+        member, target = member[sort], target[sort]
+        first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (target[1:] != target[:-1])))
+        more = np.where(target[first] < 0, WINDOW, depth[np.maximum(target[first], 0)])
+        parts, part_sizes = places[first], np.diff(np.append(first, len(places)))
+        order[places] = member
+        pointer[member] = np.repeat(parts, part_sizes)
+        depth[parts] = common[first] + more
+        stack.append(unfinished(parts, part_sizes))
+    return order, pointer
 
 
 def repeated_windows(text: np.ndarray, begin: np.ndarray, length: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run, window in it) of every 100-byte window that an earlier run of its group has. Runs come in order of document and start.
 
-    Ranks of depth d are kept for the positions whose next d bytes lie in their run; depth 2d pairs the rank of a
-    position with the rank d further on.
+    Windows that are equal stand together in the order of suffixes: in a bucket, or in neighbouring ones that differ
+    beyond the window.
     """
     owner = np.repeat(np.arange(len(begin)), length)
-    left = np.repeat(begin + length, length) - np.arange(len(text))  # bytes from here to the run's end
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(V.U64)
-    word = np.zeros(len(text), V.U64)
-    for j in range(8):
-        word = (word << V.U64(8)) | padded[j : j + len(text)]
-    depth = 8
-    rank = np.zeros(len(text), V.U64)
-    valid = np.flatnonzero(left >= depth)
-    # suffixes of one anchor's runs make an initial bucket
-    first = ranks(word[valid])
-    rank[valid] = ranks((group[owner[valid]].astype(V.U64) << V.U64(32)) | first)
-    for step in (8, 16, 32, 36):
-        valid = np.flatnonzero(left >= depth + step)
-        rank[valid] = ranks((rank[valid] << V.U64(32)) | rank[valid + step])
-        depth += step
-    windows = np.flatnonzero(left >= WINDOW)
-    order = np.argsort(rank[windows], kind="stable")
-    again = np.zeros(len(windows), bool)
-    again[order[1:]] = rank[windows][order][1:] == rank[windows][order][:-1]
-    at = windows[again]
+    order, pointer = suffix_buckets(text, begin, length, group)
+    at = order[(np.repeat(begin + length, length) - np.arange(len(text)))[order] >= WINDOW]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = V.spans_hash(V.prefix_hash(text), at, at + WINDOW)
+    same = (group[owner[at]][1:] == group[owner[at]][:-1]) & ((pointer[at][1:] == pointer[at][:-1]) | (hashes[1:] == hashes[:-1]))
+    first = np.flatnonzero(np.append(True, ~same))
+    earliest = np.repeat(np.minimum.reduceat(at, first), np.diff(np.append(first, len(at))))
+    at = np.sort(at[at != earliest])
     return owner[at], at - begin[owner[at]]
 
 

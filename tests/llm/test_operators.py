@@ -389,6 +389,38 @@ def test_suffix_dedup_on_the_corpus(corpus, texts):
     assert {r.doc_id: tuple(r[1:]) for r in suffix_dedup.deduped(corpus).collect()} == brute.suffix_dedup(texts)
 
 
+@pytest.mark.parametrize("chunk", [1, 500, 1 << 20])
+def test_bucket_pointers_are_those_of_a_naive_suffix_array(chunk):
+    """Suffixes stand in the order of a plain sort by group and rest of the run, but for those of a bucket, which share 100 bytes or are the only long one."""
+    rng = random.Random(8)
+    for letters, many in (("ab", 6), ("a", 3), ("abcdefgh", 12), ("\x00\xff", 5)):
+        seed = "".join(rng.choices(letters, k=260))
+        runs = [(seed[rng.randrange(90) :] if rng.random() < 0.7 else "".join(rng.choices(letters, k=300)))[: rng.randint(100, 250)].encode("latin-1") for _ in range(many)]
+        group = np.sort(np.array([rng.randrange(3) for _ in runs]))
+        length = np.array([len(r) for r in runs])
+        begin, text = np.cumsum(length) - length, np.frombuffer(b"".join(runs), np.uint8)
+        order, pointer = suffix_dedup.suffix_buckets(text, begin, length, group, chunk)
+        rest = [(int(group[i]), r[j:]) for i, r in enumerate(runs) for j in range(len(r))]
+        assert sorted(order.tolist()) == list(range(len(text)))
+        cut = lambda p: (rest[p][0], rest[p][1][:100])
+        members = {}
+        for p in order.tolist():
+            members.setdefault(int(pointer[p]), []).append(p)
+        for own in members.values():
+            long_ = [p for p in own if len(rest[p][1]) >= 100]
+            assert len({cut(p) for p in long_}) <= 1 and (len(long_) < 2 or len({rest[p][0] for p in own}) == 1)
+        windows = [p for p in order.tolist() if len(rest[p][1]) >= 100]
+        assert [cut(p) for p in windows] == sorted(cut(p) for p in windows)
+        seen, want = set(), set()
+        for i, r in enumerate(runs):
+            for j in range(len(r) - 99):
+                key = (int(group[i]), r[j : j + 100])
+                want |= {(i, j)} if key in seen else set()
+                seen.add(key)
+        run, window = suffix_dedup.repeated_windows(text, begin, length, group)
+        assert set(zip(run.tolist(), window.tolist())) == want
+
+
 def test_bucket_refinement_in_small_steps():
     """Whole groups at a time, however small the limit."""
     rows = passages()[:80]
