@@ -552,15 +552,15 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             signs = batch.column(2).to_pylist()
             m = np.array([len(x) // 8 for x in signs], np.int64)
             hashes = np.frombuffer(b"".join(signs), np.uint64)
-            yield packed((hashes % V.U64(4 * n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m))
+            yield packed((hashes % V.U64(n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m))
 
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
     signing = signed.where("length(signatures) > 0")
     representatives = signing.join(classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "signatures")
-    shared = by_bucket(representatives.mapInArrow(deal, PACKED)).mapInArrow(lambda b: sharing(b, rule, 4 * n_tasks), PACKED)
+    shared = by_bucket(representatives.mapInArrow(deal, PACKED)).mapInArrow(lambda b: sharing(b, rule, n_tasks), PACKED)
     staying = checkpointed(by_bucket(shared).mapInArrow(lambda b: enough(b, rule), "doc_id long"))
     near = signing.join(staying, "doc_id", "left_semi").select("doc_id", "n_shingles", "signatures").mapInArrow(deal, PACKED)
-    edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
+    edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
     groups = checkpointed(components(edges))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -577,11 +577,11 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
         for batch in in_chunks(batches, column="hashes"):
             n = batch.column(1).to_numpy()
             signed, owner = signatures(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.cumsum(np.append(0, n)), rule, fine=True)
-            yield packed((signed % V.U64(4 * n_tasks)).astype(np.int64), signed, batch.column(0).to_numpy()[owner], n[owner])
+            yield packed((signed % V.U64(n_tasks)).astype(np.int64), signed, batch.column(0).to_numpy()[owner], n[owner])
 
     chained = sized(remaining).select("component")
     loose = remaining.join(chained, "component").select("id", "n", "hashes")
-    edges = by_bucket(by_bucket(loose.mapInArrow(sign_again, PACKED)).mapInArrow(lambda b: agreeing(b, rule, 4 * n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
+    edges = by_bucket(by_bucket(loose.mapInArrow(sign_again, PACKED)).mapInArrow(lambda b: agreeing(b, rule, n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
     regrouped = checkpointed(loose.join(components(edges), "id").select("id", "component", "n", "hashes"))
     remaining = remaining.join(chained, "component", "left_anti").select("id", "component", "n", "hashes").unionByName(regrouped)
     large = sized(remaining)
