@@ -1,4 +1,4 @@
-"""Taking lines out of documents: rows with a key, and the texts rebuilt from the lines that stay."""
+"""Taking lines, or parts of lines, out of documents: rows with a key, and the texts rebuilt from what stays."""
 
 from __future__ import annotations
 
@@ -24,10 +24,16 @@ def place():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "line_no")
 
 
-def rebuilt(given: DataFrame, gone: DataFrame, counts: Callable[[str], bool], whole_rows: bool = False) -> DataFrame:
-    """Each row of `given` (from keyed()) without the lines that `gone` (doc_id, text_key, line_no) lists.
+def whole_line(line: str) -> list[str]:
+    return [line]
 
-    Returned: doc_id, n_lines (lines that `counts`), n_removed, chars_removed, removed_spans (start:end in code points
+
+def rebuilt(given: DataFrame, gone: DataFrame, counts: Callable[[str], bool], whole_rows: bool = False, units: Callable[[str], list[str]] = whole_line) -> DataFrame:
+    """Each row of `given` (from keyed()) without the lines, or `units` of lines, that `gone` (doc_id, text_key, line_no) lists by their number in the text.
+
+    A line without any unit left goes with its line feed.
+
+    Returned: doc_id, n_lines (units that `counts`), n_removed, chars_removed, removed_spans (start:end in code points
     of the original text, without the line feed, comma-joined), kept_text; and `row` if whole_rows.
     """
     listed = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines_gone"))
@@ -40,13 +46,21 @@ def rebuilt(given: DataFrame, gone: DataFrame, counts: Callable[[str], bool], wh
         for batch in batches:
             rows = []
             for text, lines_gone in zip(batch.column(1), batch.column(2), strict=True):
-                parts, out = text.as_py().split("\n"), set(lines_gone.as_py() or ())
-                spans, at = [], 0
-                for j, line in enumerate(parts):
-                    if j in out:
-                        spans.append((at, at + len(line)))
-                    at += len(line) + 1
-                rows.append((sum(map(counts, parts)), len(out), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), "\n".join(x for j, x in enumerate(parts) if j not in out)))
+                out, spans, kept, at, j, n = set(lines_gone.as_py() or ()), [], [], 0, 0, 0
+                for line in text.as_py().split("\n"):
+                    left = []
+                    for unit in units(line):
+                        n += counts(unit)
+                        if j in out:
+                            spans.append((at, at + len(unit)))
+                        else:
+                            left.append(unit)
+                        at += len(unit)
+                        j += 1
+                    at += 1
+                    if left:
+                        kept.append("".join(left))
+                rows.append((n, len(out), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), "\n".join(kept)))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns + ([batch.column(3)] if whole_rows else []), names=schema.names)

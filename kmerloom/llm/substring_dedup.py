@@ -1,6 +1,9 @@
-"""Substring dedup by line hashing: lines are normalised and digested, digests are grouped globally, the earliest stays.
+"""Substring dedup by line hashing: units are normalised and digested, digests are grouped globally, the earliest stays.
 
-Only digests and places are shuffled for the grouping, pre-aggregated on the map side, so a line that a third of all
+A unit is a sentence of a line, or a line without sentence ends, so that a passage is found also where it begins in the middle
+of a line. Units of a few words recur by chance and stay.
+
+Only digests and places are shuffled for the grouping, pre-aggregated on the map side, so a unit that a third of all
 documents share costs one row a task there; the join that finds its later occurrences is a plain equi-join, which
 adaptive execution splits where a digest is hot. Texts move once, to meet the list of their repeated lines.
 """
@@ -8,6 +11,7 @@ adaptive execution splits where a digest is hot. Texts move once, to meet the li
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm import lines as L
-from kmerloom.llm.common import checkpointed
+from kmerloom.llm.common import staged
 
+#: Least words of a unit that is compared.
+LEAST_WORDS = 9
 DIGESTS = "doc_id long, text_key long, line_no int, digest binary"
 
 
@@ -28,53 +34,66 @@ def normalised(line: str) -> str:
     return " ".join(x for x in line.split(" ") if x)
 
 
-def without_repeats(docs: DataFrame, least_chars: int = 1) -> DataFrame:
-    """`docs` (doc_id, text) with every line removed that occurs earlier, by (doc_id, line); one row per row.
+def sentences(line: str) -> list[str]:
+    """A line cut after each full stop, exclamation or question mark that a space follows, the space included; end to end they are the line."""
+    return re.split(r"(?<=[.!?] )", line)
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """`docs` (doc_id, text) with every sentence of a line removed that occurs earlier, by (doc_id, place in the text); one row per row.
 
-    Lines stand between line feeds and are equal if they are so once normalised. Lines of fewer than `least_chars`
-    normalised characters, blank ones among them, always stay. Returned: doc_id, n_lines (lines of that length),
-    n_removed, chars_removed, removed_spans (start:end in code points of the original text, without the line feed,
-    comma-joined), kept_text (the lines that stay, joined by line feeds).
+    Lines stand between line feeds; see sentences() for their units, which are equal if they are so once normalised. Units of
+    fewer than `least_words` words, blank ones among them, always stay. Returned: doc_id, n_lines (units of that
+    length), n_removed, chars_removed, removed_spans (start:end in code points of the original text, comma-joined), kept_text
+    (what stays; a line of which nothing stays goes with its line feed).
 
     A null text counts as empty. Rows that repeat a doc_id are ordered by a hash of their text; wholly equal rows count
     as one and are each returned. Rows without a doc_id come after all others. Other columns are ignored. An empty table
     gives an empty result.
     """
-    counts = lambda line: len(normalised(line)) >= least_chars
+    counts = lambda unit: len(normalised(unit).split(" ")) >= least_words if unit.strip() else least_words <= 0
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, line_no, digest = [], [], []
             for i, text in enumerate(batch.column(2)):
-                for j, line in enumerate(text.as_py().split("\n")):
-                    if len(unit := normalised(line)) >= least_chars:
+                for j, part in enumerate(u for line in text.as_py().split("\n") for u in sentences(line)):
+                    if counts(part):
                         row.append(i)
                         line_no.append(j)
-                        digest.append(hashlib.md5(unit.encode()).digest())
+                        digest.append(hashlib.md5(normalised(part).encode()).digest())
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line_no, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "text_key", "line_no", "digest"])
 
     given = L.keyed(docs)
     lines = given.select("doc_id", "text_key", "text").mapInArrow(digests, DIGESTS).withColumn("place", L.place())
-    # Written out first: then both sides of the join are plain exchanges, and adaptive execution can split a hot digest's.
-    first = checkpointed(lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    # Written out: its size is known, so that it is broadcast only if small, and else adaptive execution can split a hot digest's join.
+    first = staged(lines.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "digests")
     repeats = lines.join(first, "digest").where(F.col("place") != F.col("first")).select("doc_id", "text_key", "line_no")
-    return L.rebuilt(given, repeats, counts)
+    return L.rebuilt(given, repeats, counts, units=sentences)
 
 
 #: The same rows in SQL.
-SQL = r"""
+SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents
+), cut AS (
+  SELECT *, string_split(regexp_replace(line, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1)) AS parts FROM lines
 ), units AS (
-  SELECT *, trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')) AS unit,
-    sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS line_start FROM lines
+  SELECT doc_id, line_no, len(parts) AS n, unnest(parts) AS unit, unnest(range(len(parts))) AS k FROM cut
+), said AS (
+  SELECT *, trim(regexp_replace(lower(unit), '[ \t-\r]+', ' ', 'g')) AS words,
+    sum(length(unit) + CASE WHEN k = n - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no, k) - length(unit) - CASE WHEN k = n - 1 THEN 1 ELSE 0 END AS unit_start FROM units
+), counted AS (
+  SELECT *, words <> '' AND len(string_split(words, ' ')) >= {LEAST_WORDS} AS counts FROM said
 ), marked AS (
-  SELECT *, length(unit) >= 1 AND row_number() OVER (PARTITION BY md5(unit) ORDER BY doc_id, line_no) > 1 AS gone FROM units
+  SELECT *, counts AND row_number() OVER (PARTITION BY md5(words) ORDER BY doc_id, line_no, k) > 1 AS gone FROM counted
+), by_line AS (
+  SELECT doc_id, line_no, sum(CASE WHEN counts THEN 1 ELSE 0 END) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed, sum(CASE WHEN gone THEN length(unit) ELSE 0 END) AS chars_removed,
+    string_agg(unit_start || ':' || (unit_start + length(unit)), ',' ORDER BY k) FILTER (WHERE gone) AS spans, string_agg(unit, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY doc_id, line_no
 )
-SELECT doc_id, sum(CASE WHEN length(unit) >= 1 THEN 1 ELSE 0 END)::BIGINT AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_removed,
-  sum(CASE WHEN gone THEN length(line) ELSE 0 END)::BIGINT AS chars_removed,
-  coalesce(string_agg(line_start || ':' || (line_start + length(line)), ',' ORDER BY line_no) FILTER (WHERE gone), '') AS removed_spans,
-  coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS kept_text
-FROM marked GROUP BY doc_id
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, sum(n_removed)::BIGINT AS n_removed, sum(chars_removed)::BIGINT AS chars_removed,
+  coalesce(string_agg(spans, ',' ORDER BY line_no) FILTER (WHERE spans IS NOT NULL), '') AS removed_spans,
+  coalesce(string_agg(kept, chr(10) ORDER BY line_no) FILTER (WHERE kept IS NOT NULL), '') AS kept_text
+FROM by_line GROUP BY doc_id
 """

@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, name):
 
 def odd_lines():
     rng = random.Random(4)
-    lines = ["", "  ", "A b", "a  B ", "Page 1 of 9", "Page 2 of 9", "one two three four five six seven eight nine", "one two three four five x seven eight nine", "tab\there"]
+    lines = ["", "  ", "A b", "a  B ", "No. Yes! A line of nine words and some more here. Why? ", "Other.  a Line of nine words and  some more HERE.", "Two of a line. a line of nine words and some more here. And one! of a line that ends in other words", "Page 1 of 9", "Page 2 of 9", "one two three four five six seven eight nine", "one two three four five x seven eight nine", "tab\there"]
     return [(i, "\n".join(rng.choices(lines, k=rng.randint(1, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "\n\n")]
 
 
@@ -82,9 +82,12 @@ def test_packing_is_a_round_trip(spark, corpus, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = texts + [(-1, None), (-2, ""), (-3, "<|endoftext|> x"), (-4, "é" * 5000)]
-    got = packing.packed(docs(spark, rows), queries.vocabulary("byte_bpe_50k.tiktoken"), group_docs=50).toPandas()
+    special = ["<|endoftext|> x", "end of page <|endoftext|> next page", "<|endoftext|><|endoftext|>\n", "a<|endoftext|>b <|endoftext |> <|endoftex", "<|startoftext|>"]
+    rows = texts + [(-1, None), (-2, ""), (-4, "é" * 5000)] + [(-10 - i, t) for i, t in enumerate(special)]
+    files = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken")
+    got = packing.packed(docs(spark, rows), *files, group_docs=50).toPandas()
+    assert 50256 in tokenizer.encode(special[1], add_special_tokens=False).ids
+    assert [packing.encoder(files[0])(t) for t in special] == [packing.encoder(*files)(t) for t in special]
     for d, t in rows:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         pieces = got[got.doc_id == d].sort_values("start")
