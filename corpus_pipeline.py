@@ -52,7 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of token sequences."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_templates), ("n-gram Jaccard join", near_duplicates), ("mixing to target weights", mixture), ("packing", sequences)]
