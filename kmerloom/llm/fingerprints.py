@@ -2,7 +2,7 @@
 
 Every five-word shingle whose hash lies below a fixed fraction of the hash space is retained. The rule looks at one hash
 at a time, so sketches of any two texts can be merged (set union) and compared without bias, however unequal their
-lengths. Where asked, a text's least hash is retained too, whatever it is, so that short texts keep one: the least of a
+lengths. Unless that is turned off, a text's least hash is retained too, whatever it is, so that short texts keep one: the least of a
 union is the least of the parts' least, so such sketches are merged like the others. Texts are dealt by doc_id once; what a document needs of the next one, a quarter of its length and a sketch,
 is sent on from there.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kmerloom.llm.common import checkpointed
+
 SHINGLE = 5
 #: One shingle in so many is retained.
 SCALE = 4
@@ -23,7 +25,7 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
 
 
-def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE, least: bool = False) -> Column:
+def sketch(words_column: str, shingle: int = SHINGLE, scale: int = SCALE, least: bool = True) -> Column:
     """The sorted distinct retained hashes (their upper 32 bits) of a column of words; with `least`, the least hash is always one.
 
     Fewer words than a shingle are one shingle; no words, an empty sketch.
@@ -49,7 +51,7 @@ def common(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double")
 
 
-def likeness(a: Column, b: Column, empty: float = 0.0) -> Column:
+def likeness(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Estimated Jaccard similarity of two sketches; `empty` if neither retained anything."""
     both = common(a, b)
     union = F.size(a) + F.size(b) - both
@@ -68,16 +70,13 @@ def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.filter(union, lambda h, i: (h <= last) | (i == 0))
 
 
-def next_ids(needs: DataFrame, blocks: int = 256) -> DataFrame:
+def next_ids(needs: DataFrame) -> DataFrame:
     """`needs` (distinct doc_id, need) with next_id: the next doc_id in ascending order, after the last one the first.
 
-    Ids are cut at `blocks` quantiles, a bounded list; each block orders its own ids, and only each block's first id
+    Ids are dealt by ranges, as many as the session has shuffle partitions; each orders its own ids, and only each one's first id
     meets the others in one task.
     """
-    cuts = needs.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
-    cuts = sorted({int(x) for x in cuts})
-    block = F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c <= doc_id))") if cuts else F.lit(0)
-    needs = needs.withColumn("block", block)
+    needs = checkpointed(needs.repartitionByRange("doc_id").withColumn("block", F.spark_partition_id()))
     ordered = needs.withColumn("next_id", F.lead("doc_id").over(W.partitionBy("block").orderBy("doc_id")))
     firsts = needs.groupBy("block").agg(F.min("doc_id").alias("first_id"))
     everything = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -85,7 +84,7 @@ def next_ids(needs: DataFrame, blocks: int = 256) -> DataFrame:
     return ordered.join(F.broadcast(after), "block").select("doc_id", "need", F.coalesce("next_id", "block_next").alias("next_id"))
 
 
-def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least: bool = False) -> DataFrame:
+def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least: bool = True) -> DataFrame:
     """Fingerprint every whole text of `docs` (doc_id, text), and its edited text; one row per row.
 
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
@@ -93,8 +92,8 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least:
     fingerprint, edited_fingerprint, near_edited, near_next (estimated Jaccard similarities of the fingerprint to that of
     the edited text and of the next document), in_next (estimated containment in the next document).
 
-    With `least`, each text's least hash is always retained and two empty fingerprints have a similarity of 1; without, a
-    short text often has the empty fingerprint, and a similarity of 0 to any other.
+    With `least`, each text's least hash is always retained and two empty fingerprints, those of texts without a word, have a
+    similarity of 1; without, a short text often has the empty fingerprint, and a similarity of 0 to any other.
 
     A null text counts as empty. Of rows that repeat a doc_id, the one with the least text start stands for it as a next
     document, and each gets the same next. A row without doc_id is no document's next and has none: its end is only cut.

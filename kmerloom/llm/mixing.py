@@ -5,8 +5,9 @@ to its siblings by weight, and only what no sibling can supply is left to the si
 capacity is all that its leaves can give. A leaf supplies whole seeded epochs of its documents, then the longest
 token-prefix of one more epoch's order that fits.
 
-Leaves may hold a third of all rows: their order is a hash, cut into ranges of about `block_docs` documents, and only
-range sums are cumulated in a leaf; the one range that the prefix ends in is cumulated by document.
+Leaves may hold a third of all rows: the order of an epoch is a hash seeded by its number, cut into ranges of about
+`block_docs` documents, and only range sums are cumulated in a leaf; the one range that the prefix ends in is cumulated by
+document, and no other row moves.
 """
 
 from __future__ import annotations
@@ -70,7 +71,6 @@ def mixed(
     An empty table selects nothing.
     """
     names = list(levels)
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("long")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *(F.coalesce(v.cast("string"), F.lit("")).alias(k) for k, v in levels.items()),
@@ -81,22 +81,25 @@ def mixed(
     total = leaves.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0))).first()[0]  # one number
     plan = budgeted(leaves, names, min(math.floor(share * total), total * max_epochs), max_epochs, weight)
     whole = F.when(F.col("leaf_tokens") > 0, F.floor(F.col("leaf_budget") / F.col("leaf_tokens"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", whole).select(
+    plan = checkpointed(plan.withColumn("whole", whole).select(
         *names, "whole", (F.col("leaf_budget") - F.col("whole") * F.col("leaf_tokens")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("leaf_docs") / block_docs)).alias("blocks")
-    )
+    ))
     few = leaves.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    placed = rows.join(F.broadcast(plan) if few else plan, names)
-    # each epoch has an order of its own: the same keys, rotated by a step for each whole epoch before
-    placed = placed.withColumn("place", F.pmod(order + F.col("whole") * F.lit(2654435769), F.lit(1 << 32))).withColumn("block", F.floor(F.col("place") * F.col("blocks") / F.lit(float(1 << 32))).cast("long"))
-    in_leaf = W.partitionBy(*names).orderBy("block")
-    blocks = placed.groupBy(*names, "block").agg(F.sum("n_tokens").alias("block_tokens")).withColumn("block_before", F.coalesce(F.sum("block_tokens").over(in_leaf.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(blocks, [*names, "block"])
-    inside = F.col("block_before") + F.col("block_tokens") <= F.col("rest")
-    ends_here = ~inside & (F.col("block_before") <= F.col("rest"))
-    cumulated = W.partitionBy(*names, "block").orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    extra = F.when(inside & (F.col("rest") > 0), 1).when(ends_here & (F.col("rest") > 0) & (F.col("block_before") + F.sum(F.when(ends_here, F.col("n_tokens")).otherwise(0)).over(cumulated) <= F.col("rest")), 1).otherwise(0)
-    return placed.withColumn("copies", (F.col("whole") + extra).cast("long")).where("copies > 0").select("doc_id", *names, "n_tokens", "copies", *(["kept"] if keep else []))
-
+    small = F.broadcast if few else lambda df: df
+    # the place in the epoch that the leaf ends in, which has an order of its own as every epoch has
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    placed = rows.join(small(plan), names).withColumn("place", F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long"))
+    placed = placed.withColumn("block", F.floor(F.col("place") * F.col("blocks") / F.lit(float(1 << 32))).cast("long"))
+    upto = F.sum("block_tokens").over(W.partitionBy(*names).orderBy("block"))
+    sums = placed.groupBy(*names, "block").agg(F.sum("n_tokens").alias("block_tokens"), F.first("rest").alias("rest")).withColumn("upto", upto)
+    # the first block that doesn't fit whole, and the tokens before it
+    ends = sums.where("upto > rest").groupBy(*names).agg(F.min(F.struct("block", (F.col("upto") - F.col("block_tokens")).alias("before"))).alias("end"))
+    placed = placed.join(small(ends), names, "left").withColumns({"end_block": F.coalesce("end.block", "blocks"), "before": F.coalesce("end.before", F.lit(0))})
+    columns = ["doc_id", *names, "n_tokens", "copies", *(["kept"] if keep else [])]
+    apart = placed.where("block <> end_block").withColumn("copies", F.col("whole") + F.when((F.col("block") < F.col("end_block")) & (F.col("rest") > 0), 1).otherwise(0))
+    cumulated = F.col("before") + F.sum("n_tokens").over(W.partitionBy(*names).orderBy("place", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
+    at_end = placed.where("block = end_block").withColumn("copies", F.col("whole") + F.when((F.col("rest") > 0) & (cumulated <= F.col("rest")), 1).otherwise(0))
+    return apart.select(*columns).unionByName(at_end.select(*columns)).where("copies > 0").withColumn("copies", F.col("copies").cast("long"))
 
 
 def sql(levels: dict[str, str], weights: list[str], share: float, max_epochs: int = 4, seed: int = 11) -> str:
@@ -105,8 +108,7 @@ def sql(levels: dict[str, str], weights: list[str], share: float, max_epochs: in
     every = ", ".join(names)
     parts = [
         f"""rows_ AS (SELECT doc_id, {", ".join(f"coalesce({v}, '') AS {k}" for k, v in levels.items())},
-  len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens,
-  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS key FROM documents)""",
+  len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents)""",
         f"leaves AS (SELECT {every}, sum(n_tokens)::BIGINT AS leaf_tokens FROM rows_ GROUP BY {every})",
         f"n0 AS (SELECT least(floor({share} * sum(leaf_tokens)::DOUBLE), sum(leaf_tokens)::DOUBLE * {max_epochs}) AS node_budget FROM leaves)",
     ]
@@ -129,7 +131,7 @@ def sql(levels: dict[str, str], weights: list[str], share: float, max_epochs: in
     parts += [
         f"""p AS (SELECT *, node_budget::BIGINT - whole * leaf_tokens AS rest FROM (SELECT *, CASE WHEN leaf_tokens > 0
   THEN node_budget::BIGINT // leaf_tokens ELSE 0 END AS whole FROM leaves JOIN n{len(names)} USING ({every})))""",
-        "d AS (SELECT *, (key + whole * 2654435769) % 4294967296 AS place FROM rows_ JOIN p USING (" + every + "))",
+        f"d AS (SELECT *, ('0x' || substr(md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place FROM rows_ JOIN p USING ({every}))",
         f"e AS (SELECT *, sum(n_tokens) OVER (PARTITION BY {every} ORDER BY place, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d)",
     ]
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {every}, n_tokens, copies FROM (SELECT *, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM e) WHERE copies > 0"

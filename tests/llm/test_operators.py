@@ -126,7 +126,7 @@ def test_epochs_and_prefixes(spark):
 def test_fingerprints(spark, texts):
     rows = texts[:60] + [(9001, None), (9002, ""), (9003, "one two"), (9004, "same text of a few words here"), (9005, "same text of a few words here")]
     rows = sorted(rows)
-    got = {r.doc_id: r for r in fingerprints.compared(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in fingerprints.compared(docs(spark, rows), least=False).collect()}
     assert len(got) == len(rows)
     written = lambda s: "".join(f"{h + (1 << 31):08x}" for h in sorted(s))
     for i, (d, t) in enumerate(rows):
@@ -146,7 +146,7 @@ def test_sketches_estimate_and_merge(spark):
     rng = random.Random(8)
     words = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(20000)]
     part, whole = " ".join(words[:4000]), " ".join(words)
-    given = docs(spark, [(1, part), (2, whole), (3, " ".join(words[4000:]))]).select("doc_id", fingerprints.words(F.col("text")).alias("w")).select("doc_id", fingerprints.sketch("w").alias("s"))
+    given = docs(spark, [(1, part), (2, whole), (3, " ".join(words[4000:]))]).select("doc_id", fingerprints.words(F.col("text")).alias("w")).select("doc_id", fingerprints.sketch("w", least=False).alias("s"))
     s = {r.doc_id: set(r.s) for r in given.collect()}
     a, b = given.where("doc_id = 1").select(F.col("s").alias("a")), given.where("doc_id = 2").select(F.col("s").alias("b"))
     row = a.join(b).select(fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).first()
