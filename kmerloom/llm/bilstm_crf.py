@@ -73,34 +73,57 @@ class Tagger:
         and sequences reversed by themselves so that neither direction meets masked steps first.
         """
         n, t = ids.shape
-        k, last = self.hidden, mask.sum(1).astype(np.int64) - 1
+        k, tags, last = self.hidden, len(self.p["bias"]), mask.sum(1).astype(np.int64) - 1
         back = np.maximum(last[:, None] - np.arange(t), 0)
-        emit = np.broadcast_to(self.p["bias"], (n, t, len(self.p["bias"]))).copy()
+        emit = np.empty((t, n, tags), np.float32)
         half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), k)  # sigmoid(x) is (tanh(x / 2) + 1) / 2
-        for d, order in (("f", None), ("b", back)):
+        z, rise = np.empty((n, 4 * k), np.float32), np.empty((n, 4 * k), np.float32)
+        gates, enter, forget, leave, new = z[:, : 3 * k], z[:, :k], z[:, k : 2 * k], z[:, 2 * k : 3 * k], z[:, 3 * k :]
+        for d, order in (("b", back), ("f", None)):
             table, wh = (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, self.p[f"h{d}"] * half
-            x = table[(ids if order is None else np.take_along_axis(ids, order, 1)).T]
-            h, c, out = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((t, n, k), np.float32)
+            steps = np.ascontiguousarray((ids if order is None else np.take_along_axis(ids, order, 1)).T)
+            out = np.ascontiguousarray(self.p["out"][:k] if d == "f" else self.p["out"][k:])
+            h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
             for i in range(t):
-                z = x[i]
-                z += h @ wh
+                np.take(table, steps[i], axis=0, out=z, mode="clip")
+                z += np.matmul(h, wh, out=rise)
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * k]
                 gates += 1
                 gates *= 0.5
-                c *= z[:, k : 2 * k]
-                c += z[:, :k] * z[:, 3 * k :]
-                h = np.multiply(z[:, 2 * k : 3 * k], np.tanh(c), out=out[i])
-            side = out.reshape(-1, k) @ self.p["out"][:k] if d == "f" else out.reshape(-1, k) @ self.p["out"][k:]
-            side = side.reshape(t, n, -1).transpose(1, 0, 2)
-            emit += side if order is None else np.take_along_axis(side, order[:, :, None], 1)
-        return emit
-
-    def quiet(self, emit: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Which sequences surely have tag 0 throughout as their best tags: at no position can another tag make up for its transitions."""
-        trans, first = self.transitions()
-        gain = max(0.0, float((trans - trans[0, 0]).max()), float((first - first[0]).max()))
-        return ((emit[:, :, 1:].max(2) - emit[:, :, 0] + 2 * gain < 0) | (mask == 0)).all(1)
+                c *= forget
+                c += np.multiply(enter, new, out=new)
+                np.multiply(leave, np.tanh(c, out=h), out=h)
+                if order is None:
+                    emit[i] += h @ out
+                else:
+                    emit[i] = h @ out
+            if order is not None:
+                emit = np.ascontiguousarray(np.take_along_axis(emit, order.T[:, :, None], 0)) + self.p["bias"]
+        return emit.transpose(1, 0, 2)
+
+    def quiet(self, emit: np.ndarray) -> np.ndarray:
+        """Which sequences surely have tag 0 throughout as their best tags, for tags in pairs (begin, inside) after tag 0, an inside one only after its own pair.
+
+        The greatest gain over tag 0 of a run of other tags that ends in a pair is followed over the positions, with the
+        best transition of all wherever a pair follows another one; no run gains if it is never more than the end takes. Masked
+        positions count like others.
+        """
+        trans, first = (x.astype(np.float32) for x in self.transitions())
+        enter = np.maximum(trans[0, 1::2] - trans[0, 0], first[1::2] - first[0])
+        switch = trans[1:, 1::2].max(0) - trans[0, 0]
+        stay = np.array([max(trans[i, i + 1], trans[i + 1, i + 1]) for i in range(1, len(trans), 2)], np.float32) - trans[0, 0]
+        leave = np.maximum(np.array([max(trans[i, 0], trans[i + 1, 0]) for i in range(1, len(trans), 2)], np.float32) - trans[0, 0], 0)
+        run = np.full((len(emit), len(enter)), -1e9, np.float32)
+        most = run.copy()
+        for e in emit.transpose(1, 0, 2):
+            fresh = np.maximum(run.max(1, keepdims=True) + switch, enter)
+            fresh += e[:, 1::2]
+            run += stay
+            run += e[:, 2::2]
+            np.maximum(run, fresh, out=run)
+            run -= e[:, :1]
+            np.maximum(most, run, out=most)
+        return ((most + leave) < -1e-3).all(1)
 
     def transitions(self) -> tuple[np.ndarray, np.ndarray]:
         return np.where(self.allowed, self.p["trans"], BLOCKED), np.where(self.first, 0, BLOCKED).astype(np.float32)

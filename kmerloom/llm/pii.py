@@ -82,14 +82,17 @@ CHARS = {c: i + 2 for i, c in enumerate(string.ascii_lowercase + string.ascii_up
 N_CHARS = len(CHARS) + 3
 OTHER_LETTER = N_CHARS - 1
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-TRAINING, EPOCHS, HIDDEN = 4800, 17, 18
+TRAINING, EPOCHS, HIDDEN = 4800, 20, 10
 #: A window's characters, and where the next one begins: every span of up to WINDOW - STRIDE characters stands whole in a window.
-WINDOW, STRIDE, CONFIDENT = 288, 192, 0.75
+WINDOW, STRIDE, CONFIDENT = 768, 672, 0.75
 NUMBERS = "zero one two three four five six seven eight nine".split()
 #: Words that stand around personal data and that are none themselves.
 PLAIN = "the of and at on dot in to is a for mail me please call phone write or by meet look point server card number contact us now today from with see page visit home comma".split()
 
 
+NAMES = "info sales admin support office team web shop cloud data home world north river green maria peter thomas laura brown martin garcia weber dubois store online music travel health studio group service global central".split()
+
+
 @lru_cache(maxsize=1)
 def char_table() -> np.ndarray:
     """The id of every code point."""
@@ -107,7 +110,7 @@ def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(str(int(x)) for x in rng.integers(0, 10, k))
-    name = lambda: "".join(pick("aeioubcdfghlmnprstvwyz") for _ in range(int(rng.integers(2, 10))))
+    name = lambda: pick(NAMES) if rng.random() < 0.3 else "".join(pick("aeioubcdfghlmnprstvwyz") for _ in range(int(rng.integers(2, 10))))
 
     def word() -> str:
         made = pick(PLAIN) if rng.random() < 0.3 else "".join(pick(["th", "er", "an", "en", "ch", "ou", "re", "st", "ß", "ü", "é", "ó", "ie", "un", "a", "o", "e", "ly", "qu", "on", "in", "ing", "tion", "ent", "or", "ea", "he", "nd", "nt", "ti", "ha", "of", "de", "ó", "ci", "ei", "ver"]) for _ in range(int(rng.integers(1, 5))))
@@ -178,7 +181,7 @@ def trained() -> Tagger:
     return tagger
 
 
-def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, stride: int = STRIDE, batch: int = 512) -> list[list[tuple[int, int, str, float]]]:
+def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, stride: int = STRIDE, batch: int = 384) -> list[list[tuple[int, int, str, float]]]:
     """For each text all spans (start, end, kind, weight) that one of its overlapping windows shows.
 
     A span weighs its length times the least marginal probability of its tags, half of it if it touches an end of the window that
@@ -187,6 +190,19 @@ def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, st
     out: list[list] = [[] for _ in ids]
     windows = [(i, s) for i, x in enumerate(ids) for s in range(0, max(1, len(x) - (window - stride)), stride) if len(x)]
     windows.sort(key=lambda w: min(window, len(ids[w[0]]) - w[1]))
+
+    def shown(rows: np.ndarray, tags: np.ndarray, sure: np.ndarray) -> None:
+        for r, row, p in zip(rows.tolist(), tags, sure, strict=True):
+            (i, s), n = own[r], int(sizes[r])
+            for a in np.flatnonzero(row % 2 == 1).tolist():
+                b = a + 1
+                while b < n and row[b] == row[a] + 1:
+                    b += 1
+                least = float(p[a:b].min())
+                if least >= CONFIDENT:
+                    cut = (a == 0 and s > 0) or (b == n and s + n < len(ids[i]))
+                    out[i].append((s + a, s + b, TAGS[row[a]][2:], least * (b - a) * (0.5 if cut else 1.0)))
+
     for k in range(0, len(windows), batch):
         own = windows[k : k + batch]
         sizes = np.array([min(window, len(ids[i]) - s) for i, s in own])
@@ -194,27 +210,14 @@ def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, st
         for r, (i, s) in enumerate(own):
             x[r, : sizes[r]] = ids[i][s : s + window]
         emit = tagger.scores(x, mask)
-        rows = np.flatnonzero(~tagger.quiet(emit, mask))
-        if not len(rows):
-            continue
-        emit, mask = emit[rows].astype(np.float64), mask[rows]
-        tags = tagger.viterbi(emit, mask)
-        spoken = tags.any(1)
-        rows, tags, emit, mask = rows[spoken], tags[spoken], emit[spoken], mask[spoken]
-        if not len(rows):
-            continue
-        sure = np.take_along_axis(tagger.marginals(emit, mask), tags[:, :, None], 2)[:, :, 0]
-        for r, row, p in zip(rows.tolist(), tags, sure, strict=True):
-            i, s = own[r]
-            n = int(sizes[r])
-            for begin in np.flatnonzero(row % 2 == 1).tolist():
-                end = begin + 1
-                while end < n and row[end] == row[begin] + 1:
-                    end += 1
-                least = float(p[begin:end].min())
-                if least >= CONFIDENT:
-                    cut = (begin == 0 and s > 0) or (end == n and s + n < len(ids[i]))
-                    out[i].append((s + begin, s + end, TAGS[row[begin]][2:], least * (end - begin) * (0.5 if cut else 1.0)))
+        rows = np.flatnonzero(~tagger.quiet(emit))
+        if len(rows):
+            tags = tagger.viterbi(emit[rows], mask[rows])
+            named = tags.any(1)
+            rows, tags = rows[named], tags[named]
+        if len(rows):
+            sure = np.take_along_axis(tagger.marginals(emit[rows].astype(np.float64), mask[rows]), tags[:, :, None], 2)[:, :, 0]
+            shown(rows, tags, sure)
     return out
 
 
