@@ -1,12 +1,16 @@
 """FASTA and FASTQ files as DataFrames (seq_id, name, seq), and back.
 
-Records are cut by Spark's own text source with the mark between two records as the line separator, so plain files are
+FASTA records are cut by Spark's own text source with the mark between two records as the line separator, so plain files are
 read in splits, from any file system that Spark reads, gzip included. seq_id is unique and the same on every read of
 unchanged files; it ascends in a file but isn't dense.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,49 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Records of four lines. The cut is made at the line of a plus sign alone: before it stand a header and a sequence."""
-    records = spark.read.option("lineSep", "\n+\n").text(path)
-    lines = records.select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l")).where(F.size("l") >= 2)
-    header, seq = F.element_at("l", -2), F.element_at("l", -1)
-    return _numbered(lines.where(header.startswith("@") & (F.length(seq) > 0)), F.split(F.substring(header, F.lit(2), F.length(header)), "[ \t]")[0], seq)
+    """Records of a header '@name', a sequence of one or more lines, '+' with or without the name again, and as many quality characters.
+
+    Line ends may be CRLF. A file is read whole by one task, since qualities may begin with any mark, and streamed line by line;
+    many files are read side by side. A record that breaks these rules fails the job: none is dropped.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length").sort("path")
+    names = [r["path"] for r in files.collect()]  # names of files, not their contents
+    parts = [_fastq_records(spark.read.option("lineSep", "\n").text(name, wholetext=False).coalesce(1)) for name in names]
+    empty = spark.createDataFrame([], "name string, seq string")
+    records = reduce(DataFrame.unionByName, parts) if parts else empty
+    return _numbered(records, F.col("name"), F.col("seq"))
+
+
+def _fastq_records(lines: DataFrame) -> DataFrame:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seqs = [], []
+        name, seq, quality = None, [], -1  # quality: characters still to come, -1 before the plus line
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                line = line.rstrip("\r")
+                if quality > 0 or quality == 0 and name is not None and not line:
+                    quality -= len(line)
+                    if quality < 0:
+                        raise ValueError(f"FASTQ record {name!r} has more quality characters than bases")
+                elif quality < 0 and name is not None:
+                    if line.startswith("+"):
+                        quality = sum(map(len, seq))
+                    else:
+                        seq.append(line.strip())
+                elif line.startswith("@"):
+                    name, seq, quality = (line[1:].split() or [""])[0], [], -1
+                elif line.strip():
+                    raise ValueError(f"a FASTQ record begins with {line[:40]!r}")
+                if quality == 0:
+                    names.append(name)
+                    seqs.append("".join(seq))
+                    name, seq, quality = None, [], -1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string())], names=["name", "seq"])
+            names, seqs = [], []
+        if name is not None:
+            raise ValueError(f"FASTQ record {name!r} ends too early")
+
+    return lines.mapInArrow(records, "name string, seq string")
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

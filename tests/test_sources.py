@@ -1,5 +1,7 @@
 import gzip
 
+import pytest
+
 from kmerloom.operators import lookup
 from kmerloom.operators.index import build
 from kmerloom.plans.config import Options
@@ -37,6 +39,27 @@ def test_fastq_with_marks_in_qualities(spark, tmp_path):
     assert rows(files.read_sequences(spark, str(tmp_path / "x.fastq"))) == [("r1", "ACGT"), ("r2", "GGG"), ("r3", "TT")]
 
 
+def test_fastq_forms(spark, tmp_path):
+    """A named plus line, CRLF, sequences and qualities of several lines, blank lines between records, no line end at the end; gzip; several files."""
+    given = "@r1 first\r\nACGT\r\n+r1 first\r\nIIII\r\n@r2\nAC\nGTT\n+\n@+\n+@I\n\n@r3\n\n+\n\n@r4\nGG\n+r4\n@@"
+    want = [("r1", "ACGT"), ("r2", "ACGTT"), ("r3", ""), ("r4", "GG")]
+    (tmp_path / "x.fastq").write_bytes(given.encode())
+    assert rows(files.read_sequences(spark, str(tmp_path / "x.fastq"))) == want
+    folder = tmp_path / "more"
+    folder.mkdir()
+    (folder / "a.fq.gz").write_bytes(gzip.compress(given.encode()))
+    (folder / "b.fq").write_text("".join(f"@s{i}\n{'ACGT' * (i % 9 + 1)}\n+\n{'@+>I' * (i % 9 + 1)}\n" for i in range(3000)))
+    got = files.read_fastq(spark, str(folder))
+    assert rows(got) == sorted(want + [(f"s{i}", "ACGT" * (i % 9 + 1)) for i in range(3000)]) and len({r.seq_id for r in got.collect()}) == 3004
+
+
+@pytest.mark.parametrize("broken", ["@r1\nACGT\n+\nII\n", "r1\nACGT\n+\nIIII\n", "@r1\nAC\n+\nIIII\n@r2\nA\n+\nI\n", "@r1\nACGT\n"])
+def test_broken_fastq_is_refused(spark, tmp_path, broken):
+    (tmp_path / "x.fq").write_text(broken)
+    with pytest.raises(Exception, match="FASTQ"):
+        files.read_fastq(spark, str(tmp_path / "x.fq")).collect()
+
+
 def test_round_trip(spark, tmp_path):
     given = spark.createDataFrame([(1, "x", "ACGT"), (2, "y", ""), (3, None, "GG")], "seq_id long, name string, seq string")
     files.write_fasta(given, str(tmp_path / "out"), "gzip")
