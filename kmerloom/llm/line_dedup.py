@@ -28,7 +28,7 @@ from kmerloom.llm.common import WORD, in_chunks, staged, utf8_parts
 from kmerloom.llm.jaccard_join import ranges
 
 COUNTS = "item long, n_docs long"
-LINES = "doc_id long, text_key long, leaf long, n int, numbers binary, tokens binary"
+LINES = "doc_id long, text_key long, leaf long, n int, numbers binary, tokens binary"  # and n_docs of the leaf
 LONG = "doc_id long, text_key long, line_no int, template long"
 PLACES = "doc_id long, text_key long, line_no int, item long, n int, leading int, fields int"
 
@@ -100,8 +100,21 @@ def items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return row, line[some], item, kinds
 
 
+def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, line_no, template) of rows of LINES: each line with no other fields than tokens with a digit."""
+    for batch in in_chunks(batches, column="tokens"):
+        n = batch.column(3).to_numpy().astype(np.int64)
+        token, number = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in ((5, np.uint32), (4, np.int32)))
+        row = np.repeat(np.arange(len(batch)), [len(x) // 4 for x in batch.column(4).to_pylist()])
+        first = np.cumsum(n[row]) - n[row]
+        position = np.arange(len(token)) - np.repeat(first, n[row])
+        whole = V.mix(np.add.reduceat(V.mix(token.astype(V.U64) + V.mix(position.astype(V.U64) + V.U64(7))), first) + batch.column(2).to_numpy().view(np.uint64)[row])
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number), pa.array(whole.view(np.int64))], names=[x.split()[0] for x in LONG.split(", ")])
+
+
 def templates(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, template, least_docs) of `lines`, a row for each template of a line."""
+    """(doc_id, text_key, line_no, template) of `lines`, a row for each template of a line that has words as fields."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, column="tokens"):
@@ -120,8 +133,8 @@ def templates(lines: DataFrame, frequent: DataFrame) -> DataFrame:
         *(x for i, least in enumerate(LEVELS) for x in (F.bit_xor(at(least)).alias(f"template_{i}"), (F.count(at(least)) - 1).alias(f"constant_{i}"))),
     )
     level = lambda i: F.struct(F.col(f"template_{i}").alias("template"), (F.col(f"constant_{i}") + F.col("leading")).cast("int").alias("constant"))
-    each = counted.select("doc_id", "text_key", "line_no", "n", "fields", F.explode(F.array_distinct(F.array(*map(level, range(len(LEVELS)))))).alias("t")).where("2 * (t.constant + least(fields, n - t.constant)) >= n and t.constant >= least(n - fields, 2)")
-    return each.select("doc_id", "text_key", "line_no", "t.template", F.when(F.col("t.constant") + F.col("fields") < F.col("n"), FIELD_DOCS).otherwise(LEAST_DOCS).alias("least_docs"))
+    each = counted.select("doc_id", "text_key", "line_no", "n", "fields", F.explode(F.array_distinct(F.array(*map(level, range(len(LEVELS)))))).alias("t"))
+    return each.where("2 * (t.constant + fields) >= n and t.constant >= 2 and t.constant + fields < n").select("doc_id", "text_key", "line_no", "t.template")
 
 
 def deduped(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
@@ -174,9 +187,13 @@ def deduped(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     often = lambda counts: counts.groupBy("item").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= LEAST_DOCS)
     live = staged(often(texts.mapInArrow(leaves, COUNTS)), "leaves")
     # A leaf's lines of a document are one row, so that documents are counted without another shuffle.
-    lines = staged(texts.mapInArrow(of_leaves, LINES).join(live.select(F.col("item").alias("leaf")), "leaf", "left_semi").select("doc_id", "text_key", "leaf", "n", "numbers", "tokens"), "lines")
-    frequent = staged(often(lines.mapInArrow(of_items, COUNTS)).unionByName(live.select("item", F.lit(ALWAYS).alias("n_docs"))), "tokens")
-    placed = staged(templates(lines, frequent).unionByName(texts.mapInArrow(long_lines, LONG).withColumn("least_docs", F.lit(LONG_DOCS))), "templates")
+    found = texts.mapInArrow(of_leaves, LINES).join(live.withColumnRenamed("item", "leaf"), "leaf")
+    lines = staged(found.select("doc_id", "text_key", "leaf", "n", "numbers", "tokens", "n_docs"), "lines")
+    # Leaves of fewer documents can't have a template with words as fields.
+    full = lines.where(F.col("n_docs") >= FIELD_DOCS)
+    frequent = staged(often(full.mapInArrow(of_items, COUNTS)).unionByName(live.where(F.col("n_docs") >= FIELD_DOCS).select("item", F.lit(ALWAYS).alias("n_docs"))), "tokens")
+    least = lambda df, n: df.withColumn("least_docs", F.lit(n))
+    placed = staged(least(templates(full, frequent), FIELD_DOCS).unionByName(least(lines.mapInArrow(masked, LONG), LEAST_DOCS)).unionByName(least(texts.mapInArrow(long_lines, LONG), LONG_DOCS)), "templates")
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     once = placed.groupBy("template", rank.alias("rank"), "text_key").agg(F.max("least_docs").alias("least_docs"))
     counted = once.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("rank").alias("first"), F.max("least_docs").alias("least_docs"))
