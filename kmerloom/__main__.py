@@ -1,4 +1,4 @@
-"""Command line: python -m kmerloom build | query | baseline."""
+"""Command line: python -m kmerloom build | query | baseline | baseline-query."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def run_build(args: argparse.Namespace) -> int:
         for r in statistics.parameters(index).collect() + statistics.class_counts(index).collect() + statistics.space_model(index).collect():
             say(**r.asDict())
     if args.check:
-        found = validation.report(given, index).first().asDict()
+        found = validation.report(given, index, args.tile).first().asDict()
         say(ok=not sum(found.values()), **found)
         return int(bool(sum(found.values())))
     return 0
@@ -72,10 +72,15 @@ def run_query(args: argparse.Namespace) -> int:
     except Exception as error:  # a path that can't be read
         print(str(error).splitlines()[0], file=sys.stderr)
         return BAD_INPUT
-    codes = lookup.by_super_kmer(given, index)
+    began = time.time()
+    codes = lookup.by_super_kmer(given, index, tile=args.tile)
+    made = time.time() - began  # the runs are written when the lookup is asked for
     n, stepped = timed(codes)
-    _, single = timed(lookup.by_kmer(given, index))
-    say(query=args.query, index=args.index, n_kmers=n, ns_per_kmer_streaming=1e9 * stepped / max(1, n), ns_per_kmer_random=1e9 * single / max(1, n))
+    _, single = timed(lookup.by_kmer(given, index, args.tile))
+    figures = {"query": args.query, "index": args.index, "n_kmers": n, "ns_per_kmer_streaming": 1e9 * (made + stepped) / max(1, n), "ns_per_kmer_random": 1e9 * single / max(1, n)}
+    say(**figures)
+    if args.csv:
+        write_statistics(spark.createDataFrame([figures]).select(*figures), args.csv)
     if args.output:
         codes.write.mode("overwrite").parquet(args.output)
     return 0
@@ -84,11 +89,36 @@ def run_query(args: argparse.Namespace) -> int:
 def run_baseline(args: argparse.Namespace) -> int:
     spark = session()
     kmers = sequences.kmers(read_sequences(spark, args.input), args.k)
+    wrong = 0
     for name, make in (("rank", lambda: baselines.by_rank(kmers)), ("levels", lambda: baselines.by_levels(kmers, args.gamma))):
+        if args.method not in (name, "both"):
+            continue
         began = time.time()
         made = make()
         n, distinct, top = made.selectExpr("count(*)", "count(distinct hval)", "coalesce(max(hval) + 1, 0)").first()
-        say(baseline=name, k=args.k, n_kmers=n, seconds=round(time.time() - began, 3), ok=n == distinct == top)
+        figures = {"baseline": name, "k": args.k, "n_kmers": n, "seconds": round(time.time() - began, 3), "ok": n == distinct == top}
+        wrong += not figures["ok"]
+        say(**figures)
+        if args.csv:
+            write_statistics(spark.createDataFrame([figures]).select(*figures), args.csv)
+        if args.output:
+            made.select("kmer", "hval", F.lit(args.k).alias("k")).write.mode("overwrite").parquet(f"{args.output}/{name}")
+    return int(bool(args.check and wrong))
+
+
+def run_baseline_query(args: argparse.Namespace) -> int:
+    spark = session()
+    try:
+        table, given = spark.read.parquet(args.index), read_sequences(spark, args.query)
+    except Exception as error:  # a path that can't be read
+        print(str(error).splitlines()[0], file=sys.stderr)
+        return BAD_INPUT
+    first = table.select("k").first()
+    n, seconds = timed(baselines.looked_up(sequences.kmers(given, first["k"]), table)) if first else (0, 0.0)
+    figures = {"query": args.query, "baseline": args.index, "n_kmers": n, "ns_per_kmer": 1e9 * seconds / max(1, n)}
+    say(**figures)
+    if args.csv:
+        write_statistics(spark.createDataFrame([figures]).select(*figures), args.csv)
     return 0
 
 
@@ -113,12 +143,23 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("-i", "--index", required=True)
     q.add_argument("-q", "--query", required=True)
     q.add_argument("-o", "--output")
+    q.add_argument("--tile", type=int, help="cut sequences into tiles of so many k-mers")
+    q.add_argument("--csv", help="a folder of CSV files that the figures are added to")
     q.set_defaults(run=run_query)
     w = tools.add_parser("baseline", help="hash the whole k-mer set of a file by rank and by levels")
     w.add_argument("-i", "--input", required=True)
     w.add_argument("-k", type=int, required=True)
     w.add_argument("-g", "--gamma", type=float, default=1.0)
+    w.add_argument("--method", choices=["rank", "levels", "both"], default="both")
+    w.add_argument("-o", "--output", help="a folder to save the tables in, by method")
+    w.add_argument("--check", action="store_true", help="fail if codes aren't those from 0 on, each once")
+    w.add_argument("--csv", help="a folder of CSV files that the figures are added to")
     w.set_defaults(run=run_baseline)
+    x = tools.add_parser("baseline-query", help="look up the k-mers of a file in a saved baseline")
+    x.add_argument("-i", "--index", required=True, help="a folder that baseline -o wrote for a method")
+    x.add_argument("-q", "--query", required=True)
+    x.add_argument("--csv", help="a folder of CSV files that the figures are added to")
+    x.set_defaults(run=run_baseline_query)
     args = parser.parse_args(argv)
     return args.run(args)
 

@@ -16,6 +16,11 @@ def by_rank(kmers: DataFrame) -> DataFrame:
     return ranked(kmers.select("kmer").distinct(), ["kmer"], "hval")
 
 
+def looked_up(kmers: DataFrame, table: DataFrame) -> DataFrame:
+    """`kmers` with the hval that a baseline's `table` (kmer, hval) gives each, null for k-mers outside it."""
+    return kmers.join(table.select("kmer", "hval"), "kmer", "left")
+
+
 def slot_of(level: int, slots: int):
     """The slot of a k-mer on a level, of `slots`: 60 bits of a digest."""
     digest = F.md5(F.concat(F.lit(f"{level}:"), F.col("kmer")).cast("binary"))

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from kmerloom.operators.index import Index
 from kmerloom.operators.minimizers import kmers_of
 from kmerloom.operators.sequences import super_kmers
+from kmerloom.storage import staged
 
 
-def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False) -> DataFrame:
+def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, tile: int | None = None) -> DataFrame:
     """(seq_id, seg_id, pos, hval) of every k-mer: the join is made once a super-k-mer, its k-mers step from there.
 
     K-mers that are surely not in the index (an unknown minimizer, or a colliding one and an unknown k-mer) have a null
-    code; other k-mers outside it may get any code, as the index holds no keys.
+    code; other k-mers outside it may get any code, as the index holds no keys. `tile` cuts very long sequences, so that
+    they spread over tasks.
     """
     k = index.options.k
     table = index.minimizers.select("minimizer", "cls", "base", "sign")
-    runs = super_kmers(contigs, index.options).join(table, "minimizer", "left")
+    runs = super_kmers(contigs, index.options, tile).join(table, "minimizer", "left")
+    if not keep_kmer:
+        runs = runs.withColumn("bases", F.when(F.col("cls") == "COLLISION", F.col("bases")))
+    if not contigs.isStreaming:  # both ways below read them: written once, they aren't made twice
+        runs = staged(runs, "runs")
     each = runs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     collides = F.col("cls") == "COLLISION"
     kmer = F.substring("bases", F.col("j") + 1, F.lit(k))
@@ -34,10 +40,10 @@ def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False) ->
     return stepped.select(*names).unionByName(probed.select(*names))
 
 
-def by_kmer(contigs: DataFrame, index: Index) -> DataFrame:
+def by_kmer(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFrame:
     """The same codes, each k-mer looked up for itself: its minimizer's row by one join, its own by another."""
     k = index.options.k
-    runs = super_kmers(contigs, index.options)
+    runs = super_kmers(contigs, index.options, tile)
     each = kmers_of(runs, k, "seq_id", "seg_id", "start", "minimizer", "p1").withColumn("p", F.col("p1") - F.col("j"))
     found = each.join(index.minimizers.select("minimizer", "base", "sign"), "minimizer", "left").join(index.fallback, "kmer", "left")
     hval = F.coalesce(F.col("base") + F.col("sign") * F.col("p"), F.col("fb_rank") + index.n_main)

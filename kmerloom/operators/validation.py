@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.index import Index
 from kmerloom.operators.lookup import by_kmer, by_super_kmer
-from kmerloom.storage import checkpointed
 from kmerloom.operators.sequences import kmers
+from kmerloom.storage import checkpointed
 
 
 def out_of_bounds(codes: DataFrame, n: int) -> DataFrame:
@@ -32,15 +32,15 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def report(contigs: DataFrame, index: Index) -> DataFrame:
+def report(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFrame:
     """One row: how many violations of each kind the sequences that the index was built from show. All 0 for a sound index."""
     n = index.n_kmers
-    stepped = checkpointed(by_super_kmer(contigs, index, keep_kmer=True))
+    stepped = checkpointed(by_super_kmer(contigs, index, True, tile))
     parts = {
         "out_of_bounds": out_of_bounds(stepped, n),
         "duplicate_codes": duplicates(stepped),
         "uncovered_codes": uncovered(stepped, n),
-        "stream_differs": differences(stepped.drop("kmer"), by_kmer(contigs, index)),
+        "stream_differs": differences(stepped.drop("kmer"), by_kmer(contigs, index, tile)),
         "missing_kmers": kmers(contigs, index.options.k).select("kmer").distinct().join(stepped.select("kmer").distinct(), "kmer", "left_anti"),
     }
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items()]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions import dna
 from kmerloom.operators import baselines, lookup, minimizers, sequences, statistics, validation
 from kmerloom.operators.index import Index, build, relaid
+from kmerloom.operators.ranking import ranked
 from kmerloom.plans.config import Options
 from kmerloom.sources import sequences as files
 from kmerloom.storage import checkpointed, new_folder
@@ -19,8 +20,8 @@ OPTIONS = Options(k=31, m=15)
 K, M, W = OPTIONS.k, OPTIONS.m, OPTIONS.window
 GAMMA, LEVELS = 2.0, 6
 
-#: Indexes built in this session, by application, input and layout: most queries ask for the same one.
-_built: dict[tuple[str, str, str], Index] = {}
+#: Indexes built in this session, by application, files and layout: most queries ask for the same one.
+_built: dict[tuple, Index] = {}
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +32,14 @@ def aliens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.from_text(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files of `documents` with their sizes and times, so that an index of other files isn't taken for theirs."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet").select("path", "length", "modificationTime")
+    return tuple(sorted(map(tuple, listed.collect())))
+
+
 def index(spark: SparkSession, sf_dir: str, layout: str = "partitioned") -> Index:
-    key = (spark.sparkContext.applicationId, sf_dir, layout)
+    key = (spark.sparkContext.applicationId, _files(spark, sf_dir), layout)
     if key not in _built:
         if layout == "partitioned":
             _built[key] = build(contigs(spark, sf_dir), OPTIONS)
@@ -115,10 +122,10 @@ def fallback_rank(spark, d):
 
 
 def rank_in_class(spark, d):
-    """Each minimizer's place among those of its class."""
-    from pyspark.sql import Window
-
-    return index(spark, d).minimizers.select("minimizer", "cls", (F.row_number().over(Window.partitionBy("cls").orderBy("mm_rank")) - 1).cast("long").alias("rank"))
+    """Each minimizer's place among those of its class: the global place less that of the class's first."""
+    placed = ranked(index(spark, d).minimizers.select("minimizer", "cls", "mm_rank"), ["cls", "mm_rank"], "at")
+    first = placed.groupBy("cls").agg(F.min("at").alias("first"))  # a row a class
+    return placed.join(F.broadcast(first), "cls").select("minimizer", "cls", (F.col("at") - F.col("first")).alias("rank"))
 
 
 def index_partitioned(spark, d):
@@ -195,6 +202,13 @@ def whole_set_mphf(spark, d):
     return baselines.by_rank(sequences.kmers(contigs(spark, d), K))
 
 
+def baseline_lookup(spark, d):
+    """The alien k-mers in a saved whole-set baseline."""
+    path = new_folder(spark, "baseline")
+    whole_set_mphf(spark, d).write.parquet(path)
+    return baselines.looked_up(sequences.kmers(aliens(spark, d), K), spark.read.parquet(path)).select("seq_id", "seg_id", "pos", "hval")
+
+
 def bbhash(spark, d):
     return baselines.by_levels(sequences.kmers(contigs(spark, d), K), GAMMA, LEVELS)
 
@@ -217,7 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         segments, kmer_explode, kmer_count, kmer_distinct_count, revcomp, canonical_kmers, packed_mmers, kmer_minimizer, super_kmers, super_kmer_histogram,
         minimizer_classify, colliding_minimizers, colliding_kmers, class_counts, minimizer_rank, fallback_rank, rank_in_class, index_partitioned, index_unpartitioned,
         lookup_streaming_p, lookup_streaming_u, lookup_random_p, lookup_random_u, lookup_count, lookup_count_random, lookup_alien, lookup_strict, lookup_stream,
-        check_index, check_index_unpartitioned, build_stats, space_model, locality, whole_set_mphf, bbhash, index_roundtrip, fasta_roundtrip,
+        check_index, check_index_unpartitioned, build_stats, space_model, locality, whole_set_mphf, baseline_lookup, bbhash, index_roundtrip, fasta_roundtrip,
     )
 }
 
@@ -280,7 +294,9 @@ def _sql(*ctes: str, select: str) -> str:
 SEQS, RUNS = _sequences(), _runs()
 ALIENS = _sequences("benchmark", "item_id").replace("contigs", "q_contigs").replace("parts", "q_parts").replace("segs", "q_segs").replace("kms", "q_kms")
 CODES = "SELECT seq_id, seg_id, pos, hval FROM codes"
-SOUND = "SELECT 0::BIGINT AS out_of_bounds, 0::BIGINT AS duplicate_codes, 0::BIGINT AS uncovered_codes, 0::BIGINT AS stream_differs, 0::BIGINT AS missing_kmers"
+SOUND = """SELECT (SELECT count(*) FROM codes WHERE hval IS NULL OR hval < 0 OR hval >= d) AS out_of_bounds, (SELECT count(*) FROM (SELECT hval FROM codes GROUP BY hval HAVING count(DISTINCT kmer) > 1)) AS duplicate_codes,
+  d - (SELECT count(DISTINCT hval) FROM codes WHERE hval BETWEEN 0 AND d - 1) AS uncovered_codes, (SELECT count(*) FROM (SELECT seq_id, seg_id, pos FROM kms EXCEPT SELECT seq_id, seg_id, pos FROM codes)) AS stream_differs,
+  (SELECT count(*) FROM (SELECT kmer FROM kms EXCEPT SELECT kmer FROM codes)) AS missing_kmers FROM (SELECT count(DISTINCT kmer) AS d FROM kms)"""
 
 
 def _bbhash() -> str:
@@ -300,7 +316,7 @@ def _elias_fano(n: str, u: str) -> str:
 
 _LOOKUP = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select=CODES)
 _LOOKUP_U = _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, _codes(), select=CODES)
-_COUNT = _sql(SEQS, select="SELECT count(*) AS n_kmers, count(*) AS n_found FROM kms")
+_COUNT = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_kmers, count(hval) AS n_found FROM codes")
 
 SQL: dict[str, str] = {
     "segments": _sql(SEQS, select="SELECT seq_id, seg_id, seg FROM segs"),
@@ -327,7 +343,7 @@ SQL: dict[str, str] = {
     "lookup_count": _COUNT, "lookup_count_random": _COUNT,
     "lookup_alien": _sql(SEQS, RUNS, CLASSES, PARTITIONED, ALIENS, _runs("q_"), _codes("q_each"), select=CODES),
     "lookup_strict": _sql(SEQS, RUNS, CLASSES, PARTITIONED, ALIENS, _runs("q_"), _codes("q_each"), select="SELECT seq_id, seg_id, pos, CASE WHEN kmer IN (SELECT kmer FROM each) THEN hval END AS hval FROM codes"),
-    "check_index": SOUND, "check_index_unpartitioned": SOUND,
+    "check_index": _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select=SOUND), "check_index_unpartitioned": _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, _codes(), select=SOUND),
     "build_stats": _sql(SEQS, RUNS, CLASSES, select=f"""SELECT (SELECT count(*) FROM contigs) AS n_contigs, (SELECT count(*) FROM each) AS n_kmers, (SELECT count(*) FROM sk) AS n_super_kmers, (SELECT count(*) FROM mins) AS n_minimizers,
   (SELECT sum(n) FROM mins WHERE n > 1)::DOUBLE / (SELECT count(*) FROM mins) AS frac_nonunique, 2.0::DOUBLE / {W + 1} AS eps_theory, (SELECT count(*) FROM sk)::DOUBLE / (SELECT count(*) FROM each) AS eps_true,
   ((SELECT count(*) FROM contigs) - 1)::DOUBLE / (SELECT count(*) FROM each) AS alpha"""),
@@ -336,6 +352,7 @@ SQL: dict[str, str] = {
   UNION ALL SELECT 'classes', d * 2.5::DOUBLE FROM o UNION ALL SELECT 'sizes_and_positions', ({_elias_fano("l", "u")})::DOUBLE FROM o UNION ALL SELECT 'fallback', f * {OPTIONS.bits_per_key}::DOUBLE FROM o)"""),
     "locality": _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_pairs, sum(CASE WHEN abs(next - hval) = 1 THEN 1 ELSE 0 END)::BIGINT AS n_adjacent FROM (SELECT hval, lead(hval) OVER (PARTITION BY seq_id, seg_id ORDER BY pos) AS next FROM codes) WHERE next IS NOT NULL"),
     "whole_set_mphf": _sql(SEQS, select="SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)"),
+    "baseline_lookup": _sql(SEQS, ALIENS, select="SELECT q.seq_id, q.seg_id, q.pos, r.hval FROM q_kms q LEFT JOIN (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)) r USING (kmer)"),
     "bbhash": _bbhash(),
     "fasta_roundtrip": _sql(SEQS, select="SELECT seq_id::VARCHAR AS name, seq FROM contigs"),
 }
