@@ -35,4 +35,8 @@ def test_command_line(tmp_path):
     asked = run("query", "-i", tmp_path / "i", "-q", tmp_path / "x.fa", "-o", tmp_path / "codes")
     assert asked.returncode == 0 and '"n_kmers": 29' in asked.stdout, asked.stdout + asked.stderr[-2000:]
     assert run("build", "-i", tmp_path / "x.fa", "-k", 7, "-m", 9).returncode == 3
+    based = run("baseline", "-i", tmp_path / "x.fa", "-k", 7, "--method", "rank", "-o", tmp_path / "b", "--check", "--csv", tmp_path / "csv2")
+    assert based.returncode == 0 and '"ok": true' in based.stdout, based.stderr[-2000:]
+    found = run("baseline-query", "-i", tmp_path / "b" / "rank", "-q", tmp_path / "x.fa", "--csv", tmp_path / "csv3")
+    assert found.returncode == 0 and '"n_kmers": 29' in found.stdout and any(x.suffix == ".csv" for x in (tmp_path / "csv3").iterdir()), found.stderr[-2000:]
     assert run("query", "-i", tmp_path / "none", "-q", tmp_path / "x.fa").returncode == 2
