@@ -1,6 +1,7 @@
 """A training-data pipeline of five corpus operators: from `documents` to packed token sequences.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever
+they are. Null texts count as empty, repeated rows as rows of their own; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language_id), ("line dedup", line_templates), ("n-gram Jaccard join", near_duplicates), ("mixing to target weights", mixture), ("packing", sequences)]
 
-#: The stages can't all be expressed in SQL; tests hold each against a brute-force version.
+#: Not all stages can be expressed in SQL. Tests hold near_duplicates against brute force and line_templates' operator against SQL,
+#: and the effect of the others.
 ORACLE_SQL = None
 
 
