@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import fingerprints, jaccard_join, langid, line_dedup, mixing, packing, pii, quality, substring_dedup, suffix_dedup
+from kmerloom.llm import filter_audit, fingerprints, jaccard_join, langid, line_dedup, mixing, packing, periodic_runs, pii, quality, substring_dedup, suffix_dedup, topk_search
 from kmerloom.llm.common import documents
 
 
@@ -67,7 +67,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduped(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op5_language_id, op6_pii, op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapsed(documents(spark, sf_dir), planted=True)
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_mixing, op4_fingerprints, op5_language_id, op6_pii, op7_line_dedup, op8_quality_rules, op9_jaccard_join, op10_suffix_dedup, op11_periodic_runs, op12_topk_search, op13_filter_audit)}
 
 #: DuckDB SQL for the rows of the queries above; the others are tested against brute force.
-SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE), "op7_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.sql(MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE), "op7_line_dedup": line_dedup.SQL, "op12_topk_search": topk_search.SQL, "op13_filter_audit": filter_audit.SQL}

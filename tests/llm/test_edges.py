@@ -9,7 +9,7 @@ import corpus_pipeline
 from kmerloom.llm import queries
 from tests.llm import brute
 
-CLASHING = ["row", "text_key", "bucket", "id", "rid", "place", "block", "kept", "lang_pred", "n_tokens", "copies", "words", "domain", "score", "component_id", "kept_text", "held_out", "batch"]
+CLASHING = ["row", "text_key", "bucket", "id", "rid", "place", "block", "kept", "lang_pred", "n_tokens", "copies", "words", "domain", "score", "component_id", "kept_text", "held_out", "batch", "digest", "part", "fails", "again"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 OPERATORS = sorted(n for n in queries.QUERIES if n.startswith("op"))
 
@@ -34,6 +34,13 @@ def folders(spark, tmp_path_factory):
     given.write.parquet(f"{base}/odd/documents.parquet")
     given.limit(0).write.parquet(f"{base}/empty/documents.parquet")
     given.where("doc_id = 50").write.parquet(f"{base}/null/documents.parquet")
+    labels = spark.createDataFrame([(1, 1, 0), (50, None, 1), (50, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    vectors = spark.createDataFrame([(i, [i % 7 - 3.0, 0.5, i / 9]) for i in range(45)] + [(60, None), (None, [1.0]), (20, [0.0])], "vec_id long, embedding array<float>")
+    extra = {c: F.lit(7) for c in ("part", "at", "first", "rank", "before", "filter", "lang", "digest", "nth")}
+    for name in ("odd", "empty", "null", "wide"):
+        few = (lambda df, c: df.limit(0) if name == "empty" else df.where(f"{c} = 50") if name == "null" else df.withColumns(extra) if name == "wide" else df)  # noqa: B023
+        few(labels, "doc_id").write.parquet(f"{base}/{name}/labels.parquet")
+        few(vectors, "vec_id").write.parquet(f"{base}/{name}/embeddings.parquet")
     more = given.withColumns({c: F.lit(7) for c in CLASHING if c != "batch"}).withColumn("batch", F.lit("z"))
     more.write.parquet(f"{base}/wide/documents.parquet")
     return base
@@ -45,6 +52,13 @@ def test_odd_tables(spark, folders, name):
     odd = query(spark, f"{folders}/odd").collect()
     wide = query(spark, f"{folders}/wide").collect()
     assert sorted(map(repr, odd)) == sorted(map(repr, wide))
+    if name == "op12_topk_search":
+        assert len(odd) == 4 * 20 and query(spark, f"{folders}/empty").count() == query(spark, f"{folders}/null").count() == 0
+        return
+    if name == "op13_filter_audit":
+        assert len(odd) == 600 * len({r.part for r in odd}) and {r.part for r in odd} == {"", "de", "en", "fr"}
+        assert query(spark, f"{folders}/empty").count() == 0 and query(spark, f"{folders}/null").count() == 600
+        return
     ids = [r.doc_id for r in odd]
     if name == "op1_packing":
         assert sum(r.length for r in odd if r.doc_id == 50) == 1 and sum(r.start == 0 for r in odd) == len(rows())

@@ -41,7 +41,8 @@ def texts(corpus):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings", "labels"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     assert same_rows(queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.SQL[name]).df())
 
 
