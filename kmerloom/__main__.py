@@ -46,7 +46,7 @@ def run_build(args: argparse.Namespace) -> int:
     given = read_sequences(spark, args.input)
     began = time.time()
     index = build(given, options, args.tile)
-    figures = statistics.build_statistics(given, sequences.super_kmers(given, options, args.tile), options)
+    figures = statistics.build_statistics(given, sequences.packed_super_kmers(given, options, args.tile), options)
     row = figures.first().asDict()
     row["bits_per_kmer"] = sum(r.bits_per_kmer for r in statistics.space_model(index).collect())
     say(input=args.input, k=args.k, m=args.m, layout=args.layout, seconds=round(time.time() - began, 3), fallback_share=statistics.fallback_share(index), **row)

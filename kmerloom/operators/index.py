@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.minimizers import classified, colliding_kmers, with_class
 from kmerloom.operators.ranking import ranked, running_sum
-from kmerloom.operators.sequences import super_kmers
+from kmerloom.operators.sequences import packed_super_kmers
 from kmerloom.plans.config import Options
 from kmerloom.storage import checkpointed
 
@@ -25,7 +25,7 @@ SECTIONS = ("MAXIMAL", "LEFT", "RIGHT", "NONE", "COLLISION")
 
 @dataclass
 class Index:
-    """minimizers: (minimizer, mm_rank, n, cls, p1, size, base, sign); fallback: (kmer, fb_rank), whose codes are n_main + fb_rank."""
+    """minimizers: (minimizer, mm_rank, n, cls, p1, size, base, sign); fallback: (kmer, fb_rank), whose codes are n_main + fb_rank. Minimizers and k-mers are numbers, see functions.packed."""
 
     options: Options
     minimizers: DataFrame
@@ -70,7 +70,7 @@ def fallback_table(super_kmer_table: DataFrame, minimizers: DataFrame, k: int) -
 
 def build(contigs: DataFrame, options: Options, tile: int | None = None) -> Index:
     """The index of all distinct k-mers of `contigs` (seq_id, seq). Repeated k-mers, breaks and short or null sequences are fine; `tile` as in super_kmers()."""
-    runs = checkpointed(super_kmers(contigs, options, tile))
+    runs = checkpointed(packed_super_kmers(contigs, options, tile))
     minimizers = checkpointed(classified(runs))
     table, fallback = checkpointed(minimizer_table(minimizers, options)), checkpointed(fallback_table(runs, minimizers, options.k))
     n_main = table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions import packed
 from kmerloom.operators.index import Index
 from kmerloom.operators.minimizers import kmers_of
-from kmerloom.operators.sequences import super_kmers
-from kmerloom.storage import staged
+from kmerloom.operators.sequences import packed_super_kmers
+
+#: Bits of a run's header below its size: the place of the minimizer in its first k-mer.
+PLACE_BITS = 32
 
 
 def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, tile: int | None = None) -> DataFrame:
@@ -16,44 +19,41 @@ def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, til
 
     K-mers that are surely not in the index (an unknown minimizer, or a colliding one and an unknown k-mer) have a null
     code; other k-mers outside it may get any code, as the index holds no keys. `tile` cuts very long sequences, so that
-    they spread over tasks.
+    they spread over tasks. With keep_kmer the k-mers are returned too, as numbers.
+
+    Runs whose minimizer is unique or unknown, and runs of colliding ones, are two joins of one shuffle of all runs: both take
+    the same columns of it, a run's header (its size, and the place of its minimizer) being the first of its words.
     """
     k = index.options.k
-    table = index.minimizers.select("minimizer", "cls", "base", "sign")
-    runs = super_kmers(contigs, index.options, tile).join(table, "minimizer", "left")
-    if not keep_kmer:
-        runs = runs.withColumn("bases", F.when(F.col("cls") == "COLLISION", F.col("bases")))
-    if not contigs.isStreaming:  # both ways below read them: written once, they aren't made twice
-        runs = staged(runs, "runs")
-    each = runs.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    collides = F.col("cls") == "COLLISION"
-    kmer = F.substring("bases", F.col("j") + 1, F.lit(k))
-    each = each.select(
-        "seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), (F.col("base") + F.col("sign") * (F.col("p1") - F.col("j"))).alias("stepped"),
-        F.when(collides, kmer).alias("probe"), *([kmer.alias("kmer")] if keep_kmer else []),
-    )
-    # Only k-mers of colliding minimizers carry their text and probe; null probes are kept out of the join's shuffle.
-    stepped = each.where("probe is null").withColumn("hval", F.col("stepped"))
-    probed = each.where("probe is not null").join(index.fallback.withColumnRenamed("kmer", "probe"), "probe", "left")
-    probed = probed.withColumn("hval", F.col("fb_rank") + index.n_main)
-    names = ["seq_id", "seg_id", "pos", "hval", *(["kmer"] if keep_kmer else [])]
-    return stepped.select(*names).unionByName(probed.select(*names))
+    header = F.shiftleft(F.col("size").cast("long"), PLACE_BITS).bitwiseOR(F.col("p1").cast("long"))
+    runs = packed_super_kmers(contigs, index.options, tile).where("minimizer is not null").select("seq_id", "seg_id", "start", "minimizer", F.concat(F.array(header), "words").alias("run"))
+    joined = runs.join(index.minimizers.select("minimizer", "cls", "base", "sign"), "minimizer", "left")
+    each = F.explode(F.sequence(F.lit(0), F.shiftright(F.col("run")[0], PLACE_BITS).cast("int") - 1)).alias("j")
+    place = F.col("run")[0].bitwiseAND((1 << PLACE_BITS) - 1)
+    kmer = packed.kmer_of("run", f"(j + {packed.WORD})", k)
+    kept = [kmer.alias("kmer")] if keep_kmer else []
+    pos = (F.col("start") + F.col("j")).alias("pos")
+    collides = F.coalesce(F.col("cls") == "COLLISION", F.lit(False))
+    stepped = joined.where(~collides).select("*", each).select("seq_id", "seg_id", pos, (F.col("base") + F.col("sign") * (place - F.col("j"))).alias("hval"), *kept)
+    probes = joined.where("cls = 'COLLISION'").select("*", each).select("seq_id", "seg_id", pos, kmer.alias("probe"))
+    probed = probes.join(index.fallback.withColumnRenamed("kmer", "probe"), "probe", "left")
+    return stepped.unionByName(probed.select("seq_id", "seg_id", "pos", (F.col("fb_rank") + index.n_main).alias("hval"), *([F.col("probe").alias("kmer")] if keep_kmer else [])))
 
 
 def by_kmer(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFrame:
     """The same codes, each k-mer looked up for itself: its minimizer's row by one join, its own by another."""
-    k = index.options.k
-    runs = super_kmers(contigs, index.options, tile)
-    each = kmers_of(runs, k, "seq_id", "seg_id", "start", "minimizer", "p1").withColumn("p", F.col("p1") - F.col("j"))
+    runs = packed_super_kmers(contigs, index.options, tile)
+    each = kmers_of(runs, index.options.k, "seq_id", "seg_id", "start", "minimizer", "p1").withColumn("p", F.col("p1") - F.col("j"))
     found = each.join(index.minimizers.select("minimizer", "base", "sign"), "minimizer", "left").join(index.fallback, "kmer", "left")
     hval = F.coalesce(F.col("base") + F.col("sign") * F.col("p"), F.col("fb_rank") + index.n_main)
     return found.select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), hval.alias("hval"))
 
 
-def strict(contigs: DataFrame, index: Index, keys: DataFrame) -> DataFrame:
-    """by_super_kmer() with a null code for every k-mer that isn't among `keys` (kmer), the index's own k-mers."""
-    known = keys.select(F.col("kmer").alias("known")).distinct()
-    found = by_super_kmer(contigs, index, keep_kmer=True).join(known, F.col("kmer") == F.col("known"), "left")
+def strict(contigs: DataFrame, index: Index, keys: DataFrame, tile: int | None = None) -> DataFrame:
+    """by_super_kmer() with a null code for every k-mer that isn't among `keys` (kmer, as text or numbers), the index's own k-mers."""
+    kmer = packed.from_text(F.col("kmer"), index.options.k) if dict(keys.dtypes)["kmer"] == "string" else F.col("kmer")
+    known = keys.select(kmer.alias("known")).distinct()
+    found = by_super_kmer(contigs, index, keep_kmer=True, tile=tile).join(known, F.col("kmer") == F.col("known"), "left")
     return found.select("seq_id", "seg_id", "pos", F.when(F.col("known").isNotNull(), F.col("hval")).alias("hval"))
 
 

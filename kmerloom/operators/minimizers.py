@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions import packed
 from kmerloom.plans.config import Options
 
 
@@ -24,9 +25,11 @@ def with_class(minimizers: DataFrame, options: Options) -> DataFrame:
 
 
 def kmers_of(super_kmers: DataFrame, k: int, *keep: str) -> DataFrame:
-    """The k-mers of super-k-mers: the columns of `keep`, j (0 .. size - 1) and kmer."""
-    at = super_kmers.select(*keep, "bases", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
-    return at.select(*keep, "j", F.substring("bases", F.col("j") + 1, F.lit(k)).alias("kmer"))
+    """The k-mers of super-k-mers: the columns of `keep`, j (0 .. size - 1) and kmer, as numbers if the super-k-mers are packed."""
+    bases = "words" if "words" in super_kmers.columns else "bases"
+    at = super_kmers.select(*keep, bases, F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("j"))
+    kmer = packed.kmer_of("words", "j", k) if bases == "words" else F.substring("bases", F.col("j") + 1, F.lit(k))
+    return at.select(*keep, "j", kmer.alias("kmer"))
 
 
 def colliding(super_kmers: DataFrame, minimizers: DataFrame) -> DataFrame:

@@ -36,3 +36,19 @@ def running_sum(df: DataFrame, order: list[str | Column], value: str, into: str)
     before = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum(value).over(before), F.lit(0)))
     return summed.join(F.broadcast(offsets), "part").withColumn(into, (F.col("offset") + F.col("inside")).cast("long")).drop("part", "place", "offset", "inside")
+
+
+def order_violations(df: DataFrame, order: list[str | Column], value: str) -> DataFrame:
+    """One row, (n, n_descents, n_repeats): rows, and those whose `value` is less than, or equal to, that of the row before in the global order of `order`.
+
+    Inside a range partition rows meet their neighbour; from partition to partition the last value meets the next first one. Nulls
+    in `value` are passed over.
+    """
+    placed = _placed(df.where(F.col(value).isNotNull()).select(*order, value), order)
+    inside = placed.withColumn("last_", F.lag(value).over(W.partitionBy("part").orderBy("place")))
+    counts = lambda d: [F.count("*").alias("n"), *(F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(c) for c, x in (("n_descents", F.col(value) < F.col("last_")), ("n_repeats", F.col(value) == F.col("last_"))))]
+    by_part = inside.groupBy("part").agg(*counts(inside), F.min_by(value, "place").alias("first_"), F.max_by(value, "place").alias("end_"))  # a row a partition
+    edges = by_part.withColumn("last_", F.lag("end_").over(W.orderBy("part")))
+    met = lambda x: F.coalesce(x.cast("long"), F.lit(0))
+    edges = edges.select("n", (F.col("n_descents") + met(F.col("first_") < F.col("last_"))).alias("n_descents"), (F.col("n_repeats") + met(F.col("first_") == F.col("last_"))).alias("n_repeats"))
+    return edges.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "n_descents", "n_repeats")))

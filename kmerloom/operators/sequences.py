@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.functions import dna
+from kmerloom.functions import dna, packed
 from kmerloom.plans.config import Options
 
 SUPER_KMERS = "seq_id long, seg_id long, start long, ap long, minimizer string, p1 int, size int, bases string"
+PACKED_SUPER_KMERS = "seq_id long, seg_id long, start long, ap long, minimizer long, p1 int, size int, words array<long>"
 KMERS = "seq_id long, seg_id long, pos long, kmer string"
 TILES = "seq_id long, seg_id long, tile_start long, n_kmers long, seg string"
 SEGMENTS = "seq_id long, seg_id long, seg_start long, seg string"
+#: K-mers and bases that are made at a time, however long a sequence is.
+PIECE = 1 << 18
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -61,9 +64,26 @@ class _Batch:
 
     def text(self, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
         """Substrings as an Arrow column."""
-        total = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        at = np.arange(total[-1]) - np.repeat(total[:-1], lengths) + np.repeat(starts, lengths)
-        return pa.StringArray.from_buffers(len(starts), pa.py_buffer(total), pa.py_buffer(dna.BASES[self.code[at]]))
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        if len(starts) == 1:
+            letters = dna.BASES[self.code[starts[0] : starts[0] + lengths[0]]]
+        else:
+            letters = dna.BASES[self.code[np.arange(total[-1]) - np.repeat(total[:-1], lengths) + np.repeat(starts, lengths)]]
+        made = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(total.astype(np.int64)), pa.py_buffer(letters))
+        return made.cast(pa.string())
+
+
+def _pieces(counts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, first, number) that cover counts[i] items of each owner i, about `limit` items at a time; large owners come in pieces."""
+    owner, nth = _spread(np.zeros(len(counts), np.int64), -(-counts // limit))
+    first = nth * limit
+    number = np.minimum(limit, counts[owner] - first)
+    ends = np.cumsum(number)
+    at = 0
+    while at < len(owner):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield owner[at:end], first[at:end], number[at:end]
+        at = end
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,21 +109,55 @@ def segments(contigs: DataFrame, k: int = 1) -> DataFrame:
         for ids, data, bounds in _chunks(batches):
             b = _Batch(data, bounds)
             fit = np.flatnonzero(b.end - b.begin >= k)
-            yield _batch(SEGMENTS, ids[b.seq[fit]], b.number[fit], b.offset[fit], b.text(b.begin[fit], (b.end - b.begin)[fit]))
+            ends = np.cumsum((b.end - b.begin)[fit])
+            at = 0
+            while at < len(fit):
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+                f, at = fit[at:end], end
+                yield _batch(SEGMENTS, ids[b.seq[f]], b.number[f], b.offset[f], b.text(b.begin[f], (b.end - b.begin)[f]))
 
     return _contigs(contigs).where("seq_id is not null").mapInArrow(run, SEGMENTS)
 
 
-def kmers(contigs: DataFrame, k: int) -> DataFrame:
-    """(seq_id, seg_id, pos, kmer): every k-mer with its place in its segment."""
+def _each_kmer(contigs: DataFrame, k: int, tile: int | None, schema: str, made) -> DataFrame:
+    """Rows of `schema` for the k-mers, whose last column made(batch, places) gives, about PIECE at a time."""
+
+    def rows(b: _Batch, ids: np.ndarray, numbers: np.ndarray, starts: np.ndarray):
+        """Of a batch whose segments have these ids, numbers and first places."""
+        for owner, first, number in _pieces(np.maximum(b.end - b.begin - k + 1, 0), PIECE):
+            o, at = _spread(first + b.begin[owner], number)
+            own = owner[o]
+            yield _batch(schema, ids[own], numbers[own], at - b.begin[own] + starts[own], made(b, at))
 
     def run(batches):
-        for ids, data, bounds in _chunks(batches, 1 << 18):
+        for ids, data, bounds in _chunks(batches, PIECE):
             b = _Batch(data, bounds)
-            owner, at = _spread(b.begin, np.maximum(b.end - b.begin - k + 1, 0))
-            yield _batch(KMERS, ids[b.seq[owner]], b.number[owner], at - b.begin[owner], b.text(at, np.full(len(at), k)))
+            yield from rows(b, ids[b.seq], b.number, np.zeros(len(b.seq), np.int64))
+
+    def run_tiles(batches):
+        for batch in batches:
+            seq_id, seg_id, start = (batch.column(i).to_numpy() for i in range(3))
+            for b, row in _tile_batches(batch):
+                yield from rows(b, seq_id[row], seg_id[row], start[row])
+
+    if tile is None:
+        return _contigs(contigs).where("seq_id is not null").mapInArrow(run, schema)
+    return _spread_tiles(contigs, k, tile).mapInArrow(run_tiles, schema)
+
+
+def kmers(contigs: DataFrame, k: int, tile: int | None = None) -> DataFrame:
+    """(seq_id, seg_id, pos, kmer): every k-mer with its place in its segment, as text. `tile` as in packed_kmers()."""
+    return _each_kmer(contigs, k, tile, KMERS, lambda b, at: b.text(at, np.full(len(at), k)))
+
+
+def packed_kmers(contigs: DataFrame, k: int, tile: int | None = None) -> DataFrame:
+    """kmers() with k-mers as numbers, see functions.packed. `tile` cuts sequences into tiles of so many k-mers that spread over all tasks."""
 
-    return _contigs(contigs).where("seq_id is not null").mapInArrow(run, KMERS)
+    def made(b: _Batch, at: np.ndarray) -> pa.Array:
+        low, high = int(at[0]), int(at[-1]) + k  # the places ascend
+        return packed.kmers_at(packed.words_at(b.code[low:high]), at - low, k)
+
+    return _each_kmer(contigs, k, tile, KMERS.replace("kmer string", f"kmer {packed.sql_type(k)}"), made)
 
 
 def kmer_counts(contigs: DataFrame, k: int) -> DataFrame:
@@ -112,11 +166,7 @@ def kmer_counts(contigs: DataFrame, k: int) -> DataFrame:
 
 
 def _mmers(code: np.ndarray, m: int) -> np.ndarray:
-    n = max(0, len(code) - m + 1)
-    out = np.zeros(n, dna.U64)
-    for j in range(m):
-        out = (out << dna.U64(2)) | (code[j : j + n] & 3).astype(dna.U64)
-    return out
+    return packed.prefixes(packed.words_at(code)[: max(0, len(code) - m + 1)], m)
 
 
 def _reversed(mmers: np.ndarray, m: int) -> np.ndarray:
@@ -127,8 +177,11 @@ def _reversed(mmers: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def tiles(contigs: DataFrame, k: int, tile: int) -> DataFrame:
-    """Segments of at least k bases in tiles of up to `tile` k-mers: (seq_id, seg_id, tile_start, n_kmers, seg). Tiles overlap by k - 1 bases."""
+def tiles(contigs: DataFrame, k: int, tile: int, before: int = 0, after: int = 0) -> DataFrame:
+    """Segments of at least k bases in tiles of up to `tile` k-mers: (seq_id, seg_id, tile_start, n_kmers, seg); n_kmers is of the whole segment.
+
+    Tiles overlap by k - 1 bases; with `before` and `after` they hold so many k-mers of their neighbours too.
+    """
 
     def run(batches):
         for ids, data, bounds in _chunks(batches):
@@ -136,35 +189,84 @@ def tiles(contigs: DataFrame, k: int, tile: int) -> DataFrame:
             n = np.maximum(b.end - b.begin - k + 1, 0)
             owner, t = _spread(np.zeros(len(n), np.int64), -(-n // tile))
             start = t * tile
-            for s in range(0, len(owner), 256):  # a batch of tiles at a time
-                o, a = owner[s : s + 256], start[s : s + 256]
-                yield _batch(TILES, ids[b.seq[o]], b.number[o], a, n[o], b.text(b.begin[o] + a, np.minimum(tile, n[o] - a) + k - 1))
+            few = max(1, (PIECE << 3) // (tile + before + after + k))  # a batch of tiles at a time
+            for s in range(0, len(owner), few):
+                o, a = owner[s : s + few], start[s : s + few]
+                first, end = np.maximum(0, a - before), np.minimum(n[o], a + tile + after)
+                yield _batch(TILES, ids[b.seq[o]], b.number[o], a, n[o], b.text(b.begin[o] + first, end - first + k - 1))
 
     return _contigs(contigs).where("seq_id is not null").mapInArrow(run, TILES)
 
 
-def _runs(batch: _Batch, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+def _spread_tiles(contigs: DataFrame, k: int, tile: int, before: int = 0, after: int = 0) -> DataFrame:
+    return tiles(contigs, k, tile, before, after).repartition(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _tile_batches(batch: pa.RecordBatch) -> Iterator[tuple[_Batch, np.ndarray]]:
+    """The tiles of a batch, some at a time, each one segment: their codes, and the row of each."""
+    at = 0
+    for _, data, bounds in _chunks(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], names=["seq_id", "seq"])])):
+        b = _Batch(data, bounds)
+        yield b, at + b.seq
+        at += len(bounds) - 1
+
+
+def _least(order: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of the w values from each place on, the leftmost on ties; by doubling windows."""
+    best, place, done = order, np.arange(len(order)), 1
+    while done < w:
+        step = min(done, w - done)
+        n = len(best) - step
+        less = best[step:] < best[:n]  # strictly, so the leftmost stays
+        best, place = np.where(less, best[step:], best[:n]), np.where(less, place[step:], place[:n])
+        done += step
+    return place
+
+
+def _runs(batch: _Batch, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first k-mer, minimizer place, size, minimizer) of the super-k-mers of a batch; places are offsets in it."""
     k, m, w = options.k, options.m, options.window
     mmer = _mmers(batch.code, m)
     if options.canonical:
         mmer = np.minimum(mmer, _reversed(mmer, m))
-    order = dna.HASHERS[options.hasher](mmer, options.seed)
     owner, at = _spread(batch.begin, np.maximum(batch.end - batch.begin - k + 1, 0))
-    best, place = order[at], at.copy()
-    for j in range(1, w):  # strictly less only, so the leftmost stays
-        other = order[at + j]
-        less = other < best
-        best, place = np.where(less, other, best), np.where(less, at + j, place)
+    place = _least(dna.HASHERS[options.hasher](mmer, options.seed), w)[at] if len(at) else at
     opens = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]))[: len(at)])
     ap = place[opens]
-    if options.canonical:
-        shifts = dna.U64(2) * np.arange(m - 1, -1, -1, dtype=dna.U64)
-        letters = dna.BASES[((mmer[ap][:, None] >> shifts) & dna.U64(3)).astype(np.int64)]
-        names = pa.StringArray.from_buffers(len(ap), pa.py_buffer((np.arange(len(ap) + 1) * m).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
-    else:
-        names = batch.text(ap, np.full(len(ap), m))
-    return owner[opens], at[opens], ap, np.diff(np.append(opens, len(at))), names
+    return owner[opens], at[opens], ap, np.diff(np.append(opens, len(at))), mmer[ap]
+
+
+def _super_kmers(contigs: DataFrame, options: Options, tile: int | None, schema: str, named, bases) -> DataFrame:
+    """Rows of `schema`: named(minimizers) and bases(batch, first, length) give the columns that differ."""
+    k, w = options.k, options.window
+
+    def rows(b: _Batch, seq_id, seg_id, lead, start, most):
+        """Of a batch whose segments have these ids; runs from k-mer `lead` on, below `most`, count; `start` is the place of k-mer 0."""
+        own, first, ap, size, minimizer = _runs(b, options)
+        at = first - b.begin[own]
+        mine = (at >= lead[own]) & (at < most[own])
+        own, first, ap, size, at, minimizer = own[mine], first[mine], ap[mine], size[mine], at[mine], minimizer[mine]
+        from_ = start[own]
+        columns = seq_id[own], seg_id[own], at + from_, ap - b.begin[own] + from_, named(minimizer), (ap - first).astype(np.int32), size.astype(np.int32), bases(b, first, size + k - 1)
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
+
+    def run(batches):
+        for ids, data, bounds in _chunks(batches):
+            b = _Batch(data, bounds)
+            none = np.zeros(len(b.seq), np.int64)
+            yield rows(b, ids[b.seq], b.number, none, none, b.end - b.begin)
+
+    def run_tiles(batches):
+        for batch in batches:
+            seq_id, seg_id, tile_start = (batch.column(i).to_numpy() for i in range(3))
+            for b, row in _tile_batches(batch):
+                lead = np.minimum(1, tile_start[row])
+                yield rows(b, seq_id[row], seg_id[row], lead, tile_start[row] - lead, lead + tile)
+
+    if tile is None:
+        return _contigs(contigs).where("seq_id is not null").mapInArrow(run, schema)
+    # a run belongs to the tile of its first k-mer: one k-mer before tells whether it begins there, and it has w k-mers at most
+    return _spread_tiles(contigs, k, tile, 1, w).mapInArrow(run_tiles, schema)
 
 
 def super_kmers(contigs: DataFrame, options: Options, tile: int | None = None) -> DataFrame:
@@ -175,37 +277,24 @@ def super_kmers(contigs: DataFrame, options: Options, tile: int | None = None) -
     options.canonical an m-mer and its reverse complement have one hash and one minimizer, the lesser of both.
 
     With `tile`, sequences are cut into tiles of so many k-mers and spread over all tasks, for sequences as long as
-    chromosomes; the runs that tile bounds cut are put together again. The rows are the same.
+    chromosomes. The rows are the same.
     """
-    k = options.k
+    shifts = dna.U64(2) * np.arange(options.m - 1, -1, -1, dtype=dna.U64)
 
-    def run(batches):
-        for ids, data, bounds in _chunks(batches):
-            b = _Batch(data, bounds)
-            own, first, ap, size, names = _runs(b, options)
-            yield _batch(SUPER_KMERS, ids[b.seq[own]], b.number[own], first - b.begin[own], ap - b.begin[own], names, (ap - first).astype(np.int32), size.astype(np.int32), b.text(first, size + k - 1))
+    def named(minimizers: np.ndarray) -> pa.Array:
+        letters = dna.BASES[((minimizers[:, None] >> shifts) & dna.U64(3)).astype(np.int64)]
+        return pa.StringArray.from_buffers(len(minimizers), pa.py_buffer((np.arange(len(minimizers) + 1) * options.m).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters)))
 
-    if tile is None:
-        return _contigs(contigs).where("seq_id is not null").mapInArrow(run, SUPER_KMERS)
+    return _super_kmers(contigs, options, tile, SUPER_KMERS, named, lambda b, first, length: b.text(first, length))
 
-    def run_tiles(batches):
-        for batch in batches:
-            seq_id, seg_id, tile_start, n_kmers = (batch.column(i).to_numpy() for i in range(4))
-            at = 0
-            for _, data, bounds in _chunks(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(4)], names=["seq_id", "seq"])])):
-                b = _Batch(data, bounds)  # a tile is one segment
-                own, first, ap, size, names = _runs(b, options)
-                row = at + b.seq[own]
-                begin, start = b.begin[own], first - b.begin[own] + tile_start[row]
-                cut = ((first == begin) & (tile_start[row] > 0)) | ((first + size + k - 1 == b.end[own]) & (start + size < n_kmers[row]))
-                yield _batch(f"{SUPER_KMERS}, cut int", seq_id[row], seg_id[row], start, ap - begin + tile_start[row], names, (ap - first).astype(np.int32), size.astype(np.int32), b.text(first, size + k - 1), cut.astype(np.int32))
-                at += len(bounds) - 1
-
-    spread = tiles(contigs, k, tile).repartition(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    made = spread.mapInArrow(run_tiles, f"{SUPER_KMERS}, cut int")
-    pieces = F.array_sort(F.collect_list(F.struct("start", "size", "bases")))
-    whole = made.where("cut = 1").groupBy("seq_id", "seg_id", "ap", "minimizer").agg(pieces.alias("pieces"))
-    start = F.col("pieces")[0]["start"]
-    joined = F.concat(F.substring(F.col("pieces")[0]["bases"], 1, k - 1), F.array_join(F.transform("pieces", lambda x: F.substring(x["bases"], F.lit(k), x["size"])), ""))
-    whole = whole.select("seq_id", "seg_id", start.alias("start"), "ap", "minimizer", (F.col("ap") - start).cast("int").alias("p1"), F.expr("aggregate(pieces, 0, (s, x) -> s + x.size)").alias("size"), joined.alias("bases"))
-    return made.where("cut = 0").drop("cut").unionByName(whole)
+
+def packed_super_kmers(contigs: DataFrame, options: Options, tile: int | None = None) -> DataFrame:
+    """super_kmers() with minimizers as numbers and, in place of `bases`, `words`: 32 bases each, see functions.packed."""
+
+    def words(b: _Batch, first: np.ndarray, length: np.ndarray) -> pa.Array:
+        owner, at = _spread(first, -(-length // packed.WORD))
+        at += (packed.WORD - 1) * (at - first[owner])
+        offsets = np.concatenate([[0], np.cumsum(-(-length // packed.WORD))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed.words_at(b.code)[at].view(np.int64)))
+
+    return _super_kmers(contigs, options, tile, PACKED_SUPER_KMERS, lambda x: pa.array(x.view(np.int64)), words)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.index import Index
 from kmerloom.operators.lookup import by_kmer, by_super_kmer
-from kmerloom.operators.sequences import kmers
+from kmerloom.operators.sequences import packed_kmers
 from kmerloom.storage import checkpointed
 
 
@@ -20,6 +20,16 @@ def duplicates(coded_kmers: DataFrame) -> DataFrame:
     return coded_kmers.select("kmer", "hval").distinct().groupBy("hval").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def population(codes: DataFrame, n: int) -> DataFrame:
+    """One row, (n_codes, out_of_bounds, uncovered_codes), by one aggregation into bitmaps of 4 KB for every 32,768 codes."""
+    inside = F.col("hval").between(0, n - 1)
+    place = F.when(inside, F.col("hval"))
+    maps = codes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.count("*").alias("n"), F.when(F.col("bucket").isNotNull(), F.bitmap_construct_agg(F.bitmap_bit_position(place))).alias("bits"))
+    counts = maps.select("n", "bucket", F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits")).otherwise(0).alias("found"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    return counts.agg(zero(F.sum("n")).alias("n_codes"), zero(F.sum(F.when(F.col("bucket").isNull(), F.col("n")))).alias("out_of_bounds"), (F.lit(n) - zero(F.sum("found"))).cast("long").alias("uncovered_codes"))
+
+
 def uncovered(codes: DataFrame, n: int) -> DataFrame:
     """Codes below n that no k-mer has."""
     return codes.sparkSession.range(n).select(F.col("id").alias("hval")).join(codes.select("hval").distinct(), "hval", "left_anti")
@@ -37,14 +47,13 @@ def report(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFra
     n = index.n_kmers
     stepped = checkpointed(by_super_kmer(contigs, index, True, tile))
     parts = {
-        "out_of_bounds": out_of_bounds(stepped, n),
         "duplicate_codes": duplicates(stepped),
-        "uncovered_codes": uncovered(stepped, n),
         "stream_differs": differences(stepped.drop("kmer"), by_kmer(contigs, index, tile)),
-        "missing_kmers": kmers(contigs, index.options.k).select("kmer").distinct().join(stepped.select("kmer").distinct(), "kmer", "left_anti"),
+        "missing_kmers": packed_kmers(contigs, index.options.k, tile).select("kmer").distinct().join(stepped.select("kmer").distinct(), "kmer", "left_anti"),
     }
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items()]
+    counts = [population(stepped, n).selectExpr("stack(2, 'out_of_bounds', out_of_bounds, 'uncovered_codes', uncovered_codes) as (what, n)")]
+    counts += [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in parts.items()]
     every = counts[0]
     for c in counts[1:]:
         every = every.unionByName(c)
-    return every.groupBy().pivot("what", list(parts)).agg(F.sum("n"))
+    return every.groupBy().pivot("what", ["out_of_bounds", "duplicate_codes", "uncovered_codes", "stream_differs", "missing_kmers"]).agg(F.sum("n"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.functions import dna
-from kmerloom.operators import baselines, lookup, minimizers, sequences, statistics, validation
+from kmerloom.functions import dna, packed
+from kmerloom.operators import baselines, lookup, minimizers, perfect_hash, sequences, statistics, validation
 from kmerloom.operators.index import Index, build, relaid
-from kmerloom.operators.ranking import ranked
+from kmerloom.operators.ranking import order_violations, ranked
 from kmerloom.plans.config import Options
 from kmerloom.sources import sequences as files
 from kmerloom.storage import checkpointed, new_folder
@@ -19,6 +19,8 @@ from kmerloom.streaming import lookup as streaming
 OPTIONS = Options(k=31, m=15)
 K, M, W = OPTIONS.k, OPTIONS.m, OPTIONS.window
 GAMMA, LEVELS = 2.0, 6
+#: The largest k, whose k-mers are two numbers.
+LONG = Options(k=63, m=17)
 
 #: Indexes built in this session, by application, files and layout: most queries ask for the same one.
 _built: dict[tuple, Index] = {}
@@ -54,6 +56,16 @@ def super_kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.super_kmers(contigs(spark, sf_dir), OPTIONS)
 
 
+def packed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.packed_super_kmers(contigs(spark, sf_dir), OPTIONS)
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Minimizers and k-mers, which are numbers inside the engine, as text."""
+    lengths = {"minimizer": M, "kmer": K}
+    return df.select(*(packed.to_text(F.col(c), lengths[c]).alias(c) if c in lengths else c for c in df.columns))
+
+
 def segments(spark, d):
     return sequences.segments(contigs(spark, d), K).select("seq_id", "seg_id", "seg")
 
@@ -67,7 +79,7 @@ def kmer_count(spark, d):
 
 
 def kmer_distinct_count(spark, d):
-    return sequences.kmers(contigs(spark, d), K).agg(F.count_distinct("kmer").alias("n_distinct"))
+    return sequences.packed_kmers(contigs(spark, d), K).agg(F.count_distinct("kmer").alias("n_distinct"))
 
 
 def revcomp(spark, d):
@@ -75,12 +87,22 @@ def revcomp(spark, d):
 
 
 def canonical_kmers(spark, d):
-    return sequences.kmers(contigs(spark, d), K).groupBy(dna.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    return as_text(sequences.packed_kmers(contigs(spark, d), K).groupBy(packed.canonical("kmer", K).alias("kmer")).agg(F.count("*").alias("n")))
+
+
+def canonical_kmers_63(spark, d):
+    made = sequences.packed_kmers(contigs(spark, d), LONG.k, tile=1 << 10).groupBy(packed.canonical("kmer", LONG.k).alias("kmer")).agg(F.count("*").alias("n"))
+    return made.select(packed.to_text(F.col("kmer"), LONG.k).alias("kmer"), "n")
+
+
+def lookup_63(spark, d):
+    given = contigs(spark, d)
+    return lookup.by_super_kmer(given, build(given, LONG, tile=1 << 10), tile=1 << 10)
 
 
 def packed_mmers(spark, d):
     """Minimizers as numbers, two bits a base."""
-    return super_kmer_table(spark, d).select("minimizer").distinct().select("minimizer", dna.packed(F.col("minimizer")).alias("packed"))
+    return as_text(packed_runs(spark, d).select("minimizer").distinct().withColumn("packed", F.col("minimizer")))
 
 
 def kmer_minimizer(spark, d):
@@ -93,20 +115,20 @@ def super_kmers(spark, d):
 
 
 def super_kmer_histogram(spark, d):
-    return super_kmer_table(spark, d).groupBy("p1", "size").agg(F.count("*").alias("n"))
+    return packed_runs(spark, d).groupBy("p1", "size").agg(F.count("*").alias("n"))
 
 
 def minimizer_classify(spark, d):
-    return minimizers.with_class(minimizers.classified(super_kmer_table(spark, d)), OPTIONS)
+    return as_text(minimizers.with_class(minimizers.classified(packed_runs(spark, d)), OPTIONS))
 
 
 def colliding_minimizers(spark, d):
-    return minimizers.classified(super_kmer_table(spark, d)).where("n > 1").select("minimizer", "n")
+    return as_text(minimizers.classified(packed_runs(spark, d)).where("n > 1").select("minimizer", "n"))
 
 
 def colliding_kmers(spark, d):
-    runs = super_kmer_table(spark, d)
-    return minimizers.colliding_kmers(runs, minimizers.classified(runs), K)
+    runs = packed_runs(spark, d)
+    return as_text(minimizers.colliding_kmers(runs, minimizers.classified(runs), K))
 
 
 def class_counts(spark, d):
@@ -114,26 +136,26 @@ def class_counts(spark, d):
 
 
 def minimizer_rank(spark, d):
-    return index(spark, d).minimizers.select("minimizer", "mm_rank")
+    return as_text(index(spark, d).minimizers.select("minimizer", "mm_rank"))
 
 
 def fallback_rank(spark, d):
-    return index(spark, d).fallback
+    return as_text(index(spark, d).fallback)
 
 
 def rank_in_class(spark, d):
     """Each minimizer's place among those of its class: the global place less that of the class's first."""
     placed = ranked(index(spark, d).minimizers.select("minimizer", "cls", "mm_rank"), ["cls", "mm_rank"], "at")
     first = placed.groupBy("cls").agg(F.min("at").alias("first"))  # a row a class
-    return placed.join(F.broadcast(first), "cls").select("minimizer", "cls", (F.col("at") - F.col("first")).alias("rank"))
+    return as_text(placed.join(F.broadcast(first), "cls").select("minimizer", "cls", (F.col("at") - F.col("first")).alias("rank")))
 
 
 def index_partitioned(spark, d):
-    return index(spark, d).minimizers.drop("n")
+    return as_text(index(spark, d).minimizers.drop("n"))
 
 
 def index_unpartitioned(spark, d):
-    return index(spark, d, "unpartitioned").minimizers.select("minimizer", "mm_rank", "base", "sign")
+    return as_text(index(spark, d, "unpartitioned").minimizers.select("minimizer", "mm_rank", "base", "sign"))
 
 
 def lookup_streaming_p(spark, d):
@@ -165,7 +187,7 @@ def lookup_alien(spark, d):
 
 
 def lookup_strict(spark, d):
-    return lookup.strict(aliens(spark, d), index(spark, d), sequences.kmers(contigs(spark, d), K))
+    return lookup.strict(aliens(spark, d), index(spark, d), sequences.packed_kmers(contigs(spark, d), K))
 
 
 def lookup_stream(spark, d):
@@ -187,7 +209,7 @@ def check_index_unpartitioned(spark, d):
 
 
 def build_stats(spark, d):
-    return statistics.build_statistics(contigs(spark, d), checkpointed(super_kmer_table(spark, d)), OPTIONS)
+    return statistics.build_statistics(contigs(spark, d), checkpointed(packed_runs(spark, d)), OPTIONS)
 
 
 def space_model(spark, d):
@@ -199,20 +221,49 @@ def locality(spark, d):
 
 
 def whole_set_mphf(spark, d):
-    return baselines.by_rank(sequences.kmers(contigs(spark, d), K))
+    return as_text(baselines.by_rank(sequences.packed_kmers(contigs(spark, d), K)))
 
 
 def baseline_lookup(spark, d):
     """The alien k-mers in a saved whole-set baseline."""
     path = new_folder(spark, "baseline")
-    whole_set_mphf(spark, d).write.parquet(path)
-    return baselines.looked_up(sequences.kmers(aliens(spark, d), K), spark.read.parquet(path)).select("seq_id", "seg_id", "pos", "hval")
+    baselines.by_rank(sequences.packed_kmers(contigs(spark, d), K)).write.parquet(path)
+    return baselines.looked_up(sequences.packed_kmers(aliens(spark, d), K), spark.read.parquet(path)).select("seq_id", "seg_id", "pos", "hval")
 
 
 def bbhash(spark, d):
     return baselines.by_levels(sequences.kmers(contigs(spark, d), K), GAMMA, LEVELS)
 
 
+def _codes_of(kmers: DataFrame, function: perfect_hash.Function) -> DataFrame:
+    """Whether a function is minimal and perfect over its own k-mers: as many codes as k-mers, from 0 on."""
+    found = perfect_hash.looked_up(kmers.select("kmer").distinct(), function)
+    return found.agg(F.count("*").alias("n_kmers"), F.count_distinct("hval").alias("n_codes"), F.min("hval").alias("least"), F.max("hval").alias("most"))
+
+
+def pilot_mphf(spark, d):
+    kmers = sequences.packed_kmers(contigs(spark, d), K)
+    return _codes_of(kmers, perfect_hash.by_pilots(kmers))
+
+
+def cascade_mphf(spark, d):
+    kmers = sequences.packed_kmers(contigs(spark, d), K)
+    return _codes_of(kmers, perfect_hash.by_cascade(kmers))
+
+
+def index_order(spark, d):
+    """Ranks ascend with the minimizers, and places in the unpartitioned layout too."""
+    made = index(spark, d, "unpartitioned").minimizers.withColumn("ends", F.col("base") - F.col("p1") + F.col("size"))
+    ranks, ends = (order_violations(made, ["minimizer"], c).select(F.lit(c).alias("what"), "*") for c in ("mm_rank", "ends"))
+    return ranks.unionByName(ends).unionByName(order_violations(made, ["mm_rank"], "size").select(F.lit("size").alias("what"), "*"))
+
+
+def code_population(spark, d):
+    """Codes of the k-mers of `benchmark` among those of the index: how many are out of its bounds, and how many of its codes they leave out."""
+    made = index(spark, d)
+    return validation.population(lookup.by_super_kmer(aliens(spark, d), made), made.n_kmers)
+
+
 def index_roundtrip(spark, d):
     path = new_folder(spark, "index")
     index(spark, d).save(path)
@@ -225,6 +276,14 @@ def fasta_roundtrip(spark, d):
     return files.read_fasta(spark, path).select("name", "seq")
 
 
+def fastq_roundtrip(spark, d):
+    """The segments as FASTQ files, of which plain ones are read in ranges, and back."""
+    path = new_folder(spark, "fastq")
+    reads = sequences.segments(contigs(spark, d), K).select(F.concat_ws(":", "seq_id", "seg_id").alias("name"), F.col("seg").alias("seq"), "seq_id")
+    files.write_fastq(reads, path, quality="@")
+    return files.read_fastq(spark, path, 1 << 20).select("name", "seq")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -232,6 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         minimizer_classify, colliding_minimizers, colliding_kmers, class_counts, minimizer_rank, fallback_rank, rank_in_class, index_partitioned, index_unpartitioned,
         lookup_streaming_p, lookup_streaming_u, lookup_random_p, lookup_random_u, lookup_count, lookup_count_random, lookup_alien, lookup_strict, lookup_stream,
         check_index, check_index_unpartitioned, build_stats, space_model, locality, whole_set_mphf, baseline_lookup, bbhash, index_roundtrip, fasta_roundtrip,
+        canonical_kmers_63, lookup_63, pilot_mphf, cascade_mphf, index_order, code_population, fastq_roundtrip,
     )
 }
 
@@ -252,33 +312,41 @@ def _fold(x: str) -> str:
     return f"xor({x}, {x} // {SHIFT}::UHUGEINT)"
 
 
-def _sequences(table: str = "documents", key: str = "doc_id") -> str:
+def _sequences(table: str = "documents", key: str = "doc_id", k: int = K) -> str:
     bases = "".join("ACGT"[i % 4] for i in range(26))
     return f"""contigs AS (SELECT {key} AS seq_id, translate(regexp_replace(lower(text), '[ \\n]', '', 'g'), '{LETTERS}', '{bases}') AS seq FROM {table}),
 parts AS (SELECT seq_id, unnest(p) AS seg, unnest(range(len(p))) AS seg_id FROM (SELECT seq_id, regexp_split_to_array(seq, '[^ACGT]+') AS p FROM contigs)),
-segs AS MATERIALIZED (SELECT * FROM parts WHERE length(seg) >= {K}),
-kms AS (SELECT seq_id, seg_id, pos, substr(seg, pos + 1, {K}) AS kmer FROM (SELECT *, unnest(range(length(seg) - {K - 1})) AS pos FROM segs))"""
+segs AS MATERIALIZED (SELECT * FROM parts WHERE length(seg) >= {k}),
+kms AS (SELECT seq_id, seg_id, pos, substr(seg, pos + 1, {k}) AS kmer FROM (SELECT *, unnest(range(length(seg) - {k - 1})) AS pos FROM segs))"""
 
 
-def _runs(prefix: str = "") -> str:
+def _runs(prefix: str = "", k: int = K, m: int = M) -> str:
     p = prefix
-    return f"""{p}mms AS MATERIALIZED (SELECT seq_id, seg_id, i, substr(seg, i + 1, {M}) AS mm FROM (SELECT *, unnest(range(length(seg) - {M - 1})) AS i FROM {p}segs)),
+    return f"""{p}mms AS MATERIALIZED (SELECT seq_id, seg_id, i, substr(seg, i + 1, {m}) AS mm FROM (SELECT *, unnest(range(length(seg) - {m - 1})) AS i FROM {p}segs)),
 {p}c AS (SELECT mm, list_reduce(list_transform(string_split(translate(mm, 'ACGT', '0123'), ''), lambda x: x::BIGINT), lambda a, b: a * 4 + b)::UHUGEINT AS code FROM (SELECT DISTINCT mm FROM {p}mms)),
 {p}h1 AS (SELECT mm, {_times("code")} AS x FROM {p}c), {p}h2 AS (SELECT mm, {_fold("x")} AS x FROM {p}h1), {p}h3 AS (SELECT mm, {_times("x")} AS x FROM {p}h2),
 {p}h4 AS (SELECT mm, {_times(f"xor({START}, x)")} AS x FROM {p}h3), {p}h5 AS (SELECT mm, {_fold("x")} AS x FROM {p}h4), {p}h6 AS (SELECT mm, {_times("x")} AS x FROM {p}h5),
 {p}hashed AS MATERIALIZED (SELECT mm, ({_fold("x")})::UBIGINT AS h FROM {p}h6),
-{p}argmin AS (SELECT seq_id, seg_id, i AS pos, min({{'h': h, 'i': i}}) OVER (PARTITION BY seq_id, seg_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING) AS a FROM {p}mms JOIN {p}hashed USING (mm)),
-{p}each AS MATERIALIZED (SELECT s.seq_id, s.seg_id, pos, a.i AS ap, substr(seg, pos + 1, {K}) AS kmer, substr(seg, a.i + 1, {M}) AS minimizer, (a.i - pos)::BIGINT AS p FROM {p}argmin x JOIN {p}segs s ON s.seq_id = x.seq_id AND s.seg_id = x.seg_id WHERE pos <= length(seg) - {K}),
+{p}argmin AS (SELECT seq_id, seg_id, i AS pos, min({{'h': h, 'i': i}}) OVER (PARTITION BY seq_id, seg_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - m} FOLLOWING) AS a FROM {p}mms JOIN {p}hashed USING (mm)),
+{p}each AS MATERIALIZED (SELECT s.seq_id, s.seg_id, pos, a.i AS ap, substr(seg, pos + 1, {k}) AS kmer, substr(seg, a.i + 1, {m}) AS minimizer, (a.i - pos)::BIGINT AS p FROM {p}argmin x JOIN {p}segs s ON s.seq_id = x.seq_id AND s.seg_id = x.seg_id WHERE pos <= length(seg) - {k}),
 {p}sk AS MATERIALIZED (SELECT seq_id, seg_id, min(pos) AS start, minimizer, (ap - min(pos))::INTEGER AS p1, count(*)::INTEGER AS size FROM {p}each GROUP BY seq_id, seg_id, ap, minimizer)"""
 
 
-CLASSES = f"""owners AS (SELECT minimizer, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p1) END AS p1, CASE WHEN count(*) = 1 THEN min(size) END AS size FROM sk GROUP BY minimizer),
-mins AS MATERIALIZED (SELECT *, CASE WHEN n > 1 THEN 'COLLISION' WHEN p1 = {K - M} AND size = {W} THEN 'MAXIMAL' WHEN p1 = {K - M} THEN 'RIGHT' WHEN p1 = size - 1 THEN 'LEFT' ELSE 'NONE' END AS cls,
+def _classes(k: int = K, m: int = M) -> str:
+    return f"""owners AS (SELECT minimizer, count(*) AS n, CASE WHEN count(*) = 1 THEN min(p1) END AS p1, CASE WHEN count(*) = 1 THEN min(size) END AS size FROM sk GROUP BY minimizer),
+mins AS MATERIALIZED (SELECT *, CASE WHEN n > 1 THEN 'COLLISION' WHEN p1 = {k - m} AND size = {k - m + 1} THEN 'MAXIMAL' WHEN p1 = {k - m} THEN 'RIGHT' WHEN p1 = size - 1 THEN 'LEFT' ELSE 'NONE' END AS cls,
   row_number() OVER (ORDER BY minimizer) - 1 AS mm_rank FROM owners),
 fb AS MATERIALIZED (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS fb_rank FROM (SELECT DISTINCT kmer FROM each JOIN mins USING (minimizer) WHERE n > 1))"""
-PARTITIONED = f"""laid AS (SELECT *, coalesce(sum(coalesce(size, 0)) OVER (ORDER BY list_position(['MAXIMAL', 'LEFT', 'RIGHT', 'NONE', 'COLLISION'], cls), mm_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ps FROM mins),
-idx AS MATERIALIZED (SELECT minimizer, mm_rank, cls, p1, size, CASE WHEN cls IN ('MAXIMAL', 'LEFT') THEN ps WHEN cls = 'RIGHT' THEN ps + {K - M} WHEN cls = 'NONE' THEN ps + p1 END AS base,
+
+
+def _partitioned(k: int = K, m: int = M) -> str:
+    return f"""laid AS (SELECT *, coalesce(sum(coalesce(size, 0)) OVER (ORDER BY list_position(['MAXIMAL', 'LEFT', 'RIGHT', 'NONE', 'COLLISION'], cls), mm_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ps FROM mins),
+idx AS MATERIALIZED (SELECT minimizer, mm_rank, cls, p1, size, CASE WHEN cls IN ('MAXIMAL', 'LEFT') THEN ps WHEN cls = 'RIGHT' THEN ps + {k - m} WHEN cls = 'NONE' THEN ps + p1 END AS base,
   CASE WHEN cls IN ('MAXIMAL', 'LEFT') THEN 1 WHEN cls <> 'COLLISION' THEN -1 END::INTEGER AS sign FROM laid)"""
+
+
+CLASSES, PARTITIONED = _classes(), _partitioned()
+CLASSES_63, PARTITIONED_63 = _classes(LONG.k, LONG.m), _partitioned(LONG.k, LONG.m)
 UNPARTITIONED = """laid AS (SELECT *, coalesce(sum(coalesce(size, 0)) OVER (ORDER BY mm_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ps FROM mins),
 idx AS MATERIALIZED (SELECT minimizer, mm_rank, cls, CASE WHEN n = 1 THEN ps + p1 END AS base, CASE WHEN n = 1 THEN -1 END::INTEGER AS sign FROM laid)"""
 
@@ -314,6 +382,7 @@ def _elias_fano(n: str, u: str) -> str:
     return f"({n} + 1) * {low} + ({n} + 1) + floor({u} / pow(2, {low})) + 1"
 
 
+_MINIMAL = _sql(SEQS, select="SELECT count(DISTINCT kmer) AS n_kmers, count(DISTINCT kmer) AS n_codes, CASE WHEN count(*) > 0 THEN 0::BIGINT END AS least, CASE WHEN count(*) > 0 THEN count(DISTINCT kmer) - 1 END AS most FROM kms")
 _LOOKUP = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select=CODES)
 _LOOKUP_U = _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, _codes(), select=CODES)
 _COUNT = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_kmers, count(hval) AS n_found FROM codes")
@@ -354,5 +423,12 @@ SQL: dict[str, str] = {
     "whole_set_mphf": _sql(SEQS, select="SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)"),
     "baseline_lookup": _sql(SEQS, ALIENS, select="SELECT q.seq_id, q.seg_id, q.pos, r.hval FROM q_kms q LEFT JOIN (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)) r USING (kmer)"),
     "bbhash": _bbhash(),
+    "canonical_kmers_63": _sql(_sequences(k=LONG.k), select="SELECT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM kms GROUP BY 1"),
+    "lookup_63": _sql(_sequences(k=LONG.k), _runs(k=LONG.k, m=LONG.m), CLASSES_63, PARTITIONED_63, _codes(), select=CODES),
+    "pilot_mphf": _MINIMAL, "cascade_mphf": _MINIMAL,
+    "index_order": _sql(SEQS, RUNS, CLASSES, "laid AS (SELECT *, sum(coalesce(size, 0)) OVER (ORDER BY minimizer) AS ends FROM mins)", "v AS (SELECT 'mm_rank' AS what, minimizer AS o, mm_rank AS v FROM laid UNION ALL SELECT 'ends', minimizer, ends FROM laid WHERE n = 1 UNION ALL SELECT 'size', minimizer, size FROM laid WHERE n = 1)",
+        "p AS (SELECT what, v, lag(v) OVER (PARTITION BY what ORDER BY o) AS last FROM v)", select="SELECT what, count(*) AS n, count(*) FILTER (WHERE v < last) AS n_descents, count(*) FILTER (WHERE v = last) AS n_repeats FROM p GROUP BY what"),
+    "code_population": _sql(SEQS, RUNS, CLASSES, PARTITIONED, ALIENS, _runs("q_"), _codes("q_each"), select="""SELECT count(*) AS n_codes, count(*) FILTER (WHERE hval IS NULL OR hval < 0 OR hval >= d) AS out_of_bounds, any_value(d) - count(DISTINCT CASE WHEN hval BETWEEN 0 AND d - 1 THEN hval END) AS uncovered_codes FROM codes, (SELECT count(DISTINCT kmer) AS d FROM kms)"""),
+    "fastq_roundtrip": _sql(SEQS, select="SELECT seq_id || ':' || seg_id AS name, seg AS seq FROM segs"),
     "fasta_roundtrip": _sql(SEQS, select="SELECT seq_id::VARCHAR AS name, seq FROM contigs"),
 }

@@ -7,13 +7,13 @@ unchanged files; it ascends in a file but isn't dense.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import json
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.sources import fastq
+
 
 def _numbered(df: DataFrame, name: Column, seq: Column) -> DataFrame:
     return df.select(F.monotonically_increasing_id().alias("seq_id"), name.alias("name"), seq.alias("seq"))
@@ -27,50 +27,24 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _numbered(parts, F.split(F.col("p")[0], "[ \t]")[0], F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), "[ \t\n]", ""))
 
 
-def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str], range_bytes: int = fastq.RANGE) -> DataFrame:
     """Records of a header '@name', a sequence of one or more lines, '+' with or without the name again, and as many quality characters.
 
-    Line ends may be CRLF. A file is read whole by one task, since qualities may begin with any mark, and streamed line by line;
-    many files are read side by side. A record that breaks these rules fails the job: none is dropped.
+    Line ends may be CRLF. All files are one scan: large plain files of four-line records are read in ranges of `range_bytes`, others
+    whole, small ones together; see sources.fastq. A record that breaks these rules fails the job: none is dropped.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length").sort("path")
-    names = [r["path"] for r in files.collect()]  # names of files, not their contents
-    parts = [_fastq_records(spark.read.option("lineSep", "\n").text(name, wholetext=False).coalesce(1)) for name in names]
-    empty = spark.createDataFrame([], "name string, seq string")
-    records = reduce(DataFrame.unionByName, parts) if parts else empty
+    spark.dataSource.register(fastq.FastqSource)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").sort("path")
+    files = [(r["path"], r["length"]) for r in listed.collect()]  # names and sizes of files, not their contents
+    records = spark.read.format(fastq.NAME).option("files", json.dumps(files)).option("range", range_bytes).load()
     return _numbered(records, F.col("name"), F.col("seq"))
 
 
-def _fastq_records(lines: DataFrame) -> DataFrame:
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seqs = [], []
-        name, seq, quality = None, [], -1  # quality: characters still to come, -1 before the plus line
-        for batch in batches:
-            for line in batch.column(0).to_pylist():
-                line = line.rstrip("\r")
-                if quality > 0 or quality == 0 and name is not None and not line:
-                    quality -= len(line)
-                    if quality < 0:
-                        raise ValueError(f"FASTQ record {name!r} has more quality characters than bases")
-                elif quality < 0 and name is not None:
-                    if line.startswith("+"):
-                        quality = sum(map(len, seq))
-                    else:
-                        seq.append(line.strip())
-                elif line.startswith("@"):
-                    name, seq, quality = (line[1:].split() or [""])[0], [], -1
-                elif line.strip():
-                    raise ValueError(f"a FASTQ record begins with {line[:40]!r}")
-                if quality == 0:
-                    names.append(name)
-                    seqs.append("".join(seq))
-                    name, seq, quality = None, [], -1
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string())], names=["name", "seq"])
-            names, seqs = [], []
-        if name is not None:
-            raise ValueError(f"FASTQ record {name!r} ends too early")
-
-    return lines.mapInArrow(records, "name string, seq string")
+def write_fastq(contigs: DataFrame, path: str, compression: str = "none", quality: str = "I") -> None:
+    """A folder of FASTQ files of four lines a record, each base of the one quality. Sequences must be bases: a line that begins with '+' would end them."""
+    seq = F.coalesce("seq", F.lit(""))
+    lines = contigs.select(F.concat_ws("\n", F.concat(F.lit("@"), F.coalesce("name", F.col("seq_id").cast("string"))), seq, F.lit("+"), F.repeat(F.lit(quality), F.length(seq))).alias("value"))
+    lines.write.mode("overwrite").option("compression", compression).text(path)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
