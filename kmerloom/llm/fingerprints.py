@@ -2,9 +2,10 @@
 
 Every five-word shingle whose hash lies below a fixed fraction of the hash space is retained. The rule looks at one hash
 at a time, so sketches of any two texts can be merged (set union) and compared without bias, however unequal their
-lengths. Unless that is turned off, a text's least hash is retained too, whatever it is, so that short texts keep one: the least of a
-union is the least of the parts' least, so such sketches are merged like the others. Texts are dealt by doc_id once; what a document needs of the next one, a quarter of its length and a sketch,
-is sent on from there.
+lengths. Unless that is turned off, a text's least hash is retained too, whatever it is, so that short texts keep one: the
+least of a union is the least of the parts' least, so such sketches are merged like the others; above the limit it is no
+sample of the text, and estimates of containment pass it over. Texts are dealt by doc_id once; what a document needs of the
+next one, a quarter of its length and a sketch, is sent on from there.
 """
 
 from __future__ import annotations
@@ -58,16 +59,27 @@ def likeness(a: Column, b: Column, empty: float = 1.0) -> Column:
     return F.when(union > 0, both / union).when(union == 0, F.lit(empty)).otherwise(F.lit(0.0))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 0 if a retained none."""
-    return F.when(F.size(a) > 0, common(a, b) / F.size(a)).otherwise(F.lit(0.0))
+def last_below(scale: int) -> int:
+    """The upper 32 bits of the largest hash below the limit."""
+    return -(1 << 31) + ((1 << 64) // scale - 1 >> 32)
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of a's shingles that b has; 0 if a retained none.
+
+    Hashes below the limit are a fair sample of a's. Where a has only its least hash, above the limit, b may have it without
+    retaining it: the estimate is 1 if it is b's least too, 0 if b's least is larger (or b has none), and else null, as nothing is known.
+    """
+    sample = F.filter(a, lambda h: h <= last_below(scale))
+    least = F.array_min(a)
+    alone = F.when(F.array_contains(b, least), F.lit(1.0)).when((F.size(b) == 0) | (F.array_min(b) > least), F.lit(0.0))
+    return F.when(F.size(sample) > 0, common(sample, b) / F.size(sample)).when(F.size(a) > 0, alone).when(b.isNotNull(), F.lit(0.0))
 
 
 def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two texts together; of hashes above the limit only the least stays, and only if it is the least of all."""
     union = F.array_sort(F.array_union(a, b))
-    last = -(1 << 31) + ((1 << 64) // scale - 1 >> 32)
-    return F.filter(union, lambda h, i: (h <= last) | (i == 0))
+    return F.filter(union, lambda h, i: (h <= last_below(scale)) | (i == 0))
 
 
 def next_ids(needs: DataFrame) -> DataFrame:
@@ -90,7 +102,8 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least:
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's, in ascending order of doc_id, after the last the first. Returned: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next (estimated Jaccard similarities of the fingerprint to that of
-    the edited text and of the next document), in_next (estimated containment in the next document).
+    the edited text and of the next document), in_next (estimated containment in the next document, null where the sketches tell
+    nothing of it, see containment()).
 
     With `least`, each text's least hash is always retained and two empty fingerprints, those of texts without a word, have a
     similarity of 1; without, a short text often has the empty fingerprint, and a similarity of 0 to any other.
@@ -124,6 +137,6 @@ def compared(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE, least:
             "doc_id", "n_chars", "edited_sha256",
             fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("other")).alias("edited_fingerprint"),
             likeness(F.col("own"), F.col("other"), float(least)).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch"), float(least)).alias("near_next"),
-            containment(F.col("own"), F.col("next_sketch")).alias("in_next"),
+            containment(F.col("own"), F.col("next_sketch"), scale).alias("in_next"),
         )
     )

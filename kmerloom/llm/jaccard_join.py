@@ -136,7 +136,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarr
     """Distinct shingle hashes of each text in ascending order, end to end, and where each text's begin (length n + 1)."""
     data = V.ascii_lower(data)
     w = V.words(data, bounds)
-    hashes, doc = V.shingles(V.spans_hash(V.prefix_hash(data), w.start, w.end), w.bounds, k)
+    hashes, doc = V.shingles(V.spans_hash(V.prefix_hash(data), w.start, w.end, data), w.bounds, k)
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))[: len(hashes)]

@@ -66,7 +66,7 @@ def parse(data: np.ndarray, bounds: np.ndarray) -> Parsed:
     first = np.flatnonzero(opens)
     n = np.diff(np.append(first, m))
     position = np.arange(m) - np.repeat(first, n)
-    verbatim = V.spans_hash(V.prefix_hash(data), w.start, w.end)
+    verbatim = V.spans_hash(V.prefix_hash(data), w.start, w.end, data)
     digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
     token = np.where(digits[w.end] > digits[w.start], 0, (verbatim >> V.U64(33)) + V.U64(1)).astype(np.uint32)
     placed = lambda t: V.mix(t.astype(V.U64) + V.mix(position.astype(V.U64) + V.U64(1)))

@@ -8,6 +8,7 @@ follows the number of documents, so each packing task holds a bounded number of
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 SEQUENCE = 2048
 END_ID = 1
 
+#: Blanks in a row that are tokenised as one piece of their own: the pattern's engine fails at about a million of them.
+LONG_BLANK = 1 << 15
+#: White space of the pattern.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_BLANK)
+
 TOKENS = "doc_id long, doc_tokens long, crcs array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -70,9 +76,25 @@ def byte_bpe(ranks: str, added: dict[str, int] | None = None):
     with open(ranks, "rb") as lines:
         ids = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ids, special_tokens=added or {})
-    if not added:
-        return encoding.encode_ordinary
-    return lambda text: encoding.encode(text, allowed_special="all") if any(x in text for x in added) else encoding.encode_ordinary(text)
+
+    def by_runs(text: str) -> list[int]:
+        out, at = [], 0
+        for run in BLANKS.finditer(text):
+            # the pattern takes a run of blanks up to its last one, which it leaves to what follows; at the end the whole run
+            end = run.end() - (run.end() < len(text))
+            out += encoding.encode_ordinary(text[at : run.start()])
+            out += encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        return out + encoding.encode_ordinary(text[at:])
+
+    def encode(text: str) -> list[int]:
+        special = [x for x in added or () if x in text]
+        if len(text) >= LONG_BLANK and BLANKS.search(text):
+            parts = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text) if special else [text]
+            return [i for part in parts for i in ([added[part]] if part in special else by_runs(part))]
+        return encoding.encode(text, allowed_special="all") if special else encoding.encode_ordinary(text)
+
+    return encode
 
 
 def encoder(vocabulary: str, ranks: str | None = None):

@@ -29,13 +29,12 @@ MEASURES = (
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of one script; a document outside any of them is rejected. Documents below `least_tokens` aren't judged by them."""
+    """Limits of one script; a document outside any of them is rejected."""
 
     least_chars_per_token: float
     most_chars_per_token: float
     most_byte_share: float
     least_entropy: float
-    least_tokens: int = 50
 
 
 #: Bands by script; scripts that the vocabularies hardly cover have short tokens and many byte pieces.
@@ -97,18 +96,18 @@ class ByteFallback:
 
 
 def entropy_share(ids: np.ndarray) -> float:
-    """Entropy of the token kinds in bits over the most that so many tokens (up to ENTROPY_TOKENS) could have."""
+    """Entropy of the token kinds in bits over the most that so many tokens (up to ENTROPY_TOKENS) could have; 1 at most."""
     if len(ids) < 2:
         return 1.0
     n = np.unique(ids, return_counts=True)[1] / len(ids)
-    return float(-(n * np.log2(n)).sum() / np.log2(min(len(ids), ENTROPY_TOKENS)))
+    return min(1.0, float(-(n * np.log2(n)).sum() / np.log2(min(len(ids), ENTROPY_TOKENS))))
 
 
 def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     """The plain counts of each text of a batch. Words and windows are compared by 64-bit hashes."""
     n, w = len(bounds) - 1, textvec.words(data, bounds)
     prefix = textvec.prefix_hash(data)
-    hashes = textvec.spans_hash(prefix, w.start, w.end)
+    hashes = textvec.spans_hash(prefix, w.start, w.end, data)
     chars = textvec.code_points(data)
     count = np.diff(w.bounds)
     out = {
@@ -128,7 +127,7 @@ def base_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     ends = np.where(last, bounds[1:][doc], np.append(starts[1:], 1) - 1)
     worded = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
     starts, ends, doc = starts[worded], ends[worded], doc[worded]
-    line = textvec.spans_hash(prefix, starts, ends)
+    line = textvec.spans_hash(prefix, starts, ends, data)
     order = np.lexsort((line, doc))
     again = (line[order][1:] == line[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     out["n_dup_lines"] = np.bincount(doc[order][1:][again], minlength=n).astype(np.int64)
@@ -167,9 +166,7 @@ def judged(docs: DataFrame, tokens_file: str, pieces_file: str, bands: dict[str,
                 ids = np.asarray(encode(text), np.int32)
                 fertility, share, entropy, script = len(text) / max(1, len(ids)), fallback.share(text), entropy_share(ids), script_of(text)
                 band = bands[script]
-                fits = len(ids) < band.least_tokens or (
-                    band.least_chars_per_token <= fertility <= band.most_chars_per_token and share <= band.most_byte_share and entropy >= band.least_entropy
-                )
+                fits = band.least_chars_per_token <= fertility <= band.most_chars_per_token and share <= band.most_byte_share and entropy >= band.least_entropy
                 rows.append((len(ids), fertility, share, entropy, script, bool(failed[i]), bool(fits and not failed[i])))
             columns = [pa.array(x) for x in zip(*rows, strict=True)]
             columns[0] = columns[0].cast(pa.int64())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,6 +12,8 @@ U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64, for polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Most bytes of a substring whose hash is a polynomial.
+SHORT = 256
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,9 +51,21 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the substrings [start, end)."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(U64))
+def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the substrings [start, end) of `data`.
+
+    Polynomials modulo 2**64 tell short strings apart, but have collisions, whatever the base, from 1,024 bytes on (of strings that
+    repeat their own complement). So substrings of more than SHORT bytes are hashed by BLAKE2; without `data` there may be none.
+    """
+    out = mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(U64))
+    long_ = np.flatnonzero(end - start > SHORT)
+    if len(long_):
+        if data is None:
+            raise ValueError(f"substrings of more than {SHORT} bytes need the bytes themselves")
+        whole = data.tobytes()
+        digests = b"".join(hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(start[long_].tolist(), end[long_].tolist(), strict=True))
+        out[long_] = np.frombuffer(digests, U64)
+    return out
 
 
 @dataclass
