@@ -19,6 +19,8 @@ from kmerloom.streaming import lookup as streaming
 OPTIONS = Options(k=31, m=15)
 K, M, W = OPTIONS.k, OPTIONS.m, OPTIONS.window
 GAMMA, LEVELS = 2.0, 6
+#: K-mers of a tile: long sequences spread over tasks, and so do the sequences of a file that is one split.
+TILE = 1 << 14
 #: The largest k, whose k-mers are two numbers.
 LONG = Options(k=63, m=17)
 
@@ -44,7 +46,7 @@ def index(spark: SparkSession, sf_dir: str, layout: str = "partitioned") -> Inde
     key = (spark.sparkContext.applicationId, _files(spark, sf_dir), layout)
     if key not in _built:
         if layout == "partitioned":
-            _built[key] = build(contigs(spark, sf_dir), OPTIONS)
+            _built[key] = build(contigs(spark, sf_dir), OPTIONS, TILE)
         else:
             made = relaid(index(spark, sf_dir), layout)
             made.minimizers = checkpointed(made.minimizers)
@@ -57,7 +59,7 @@ def super_kmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.packed_super_kmers(contigs(spark, sf_dir), OPTIONS)
+    return sequences.packed_super_kmers(contigs(spark, sf_dir), OPTIONS, TILE)
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -159,19 +161,19 @@ def index_unpartitioned(spark, d):
 
 
 def lookup_streaming_p(spark, d):
-    return lookup.by_super_kmer(contigs(spark, d), index(spark, d))
+    return lookup.by_super_kmer(contigs(spark, d), index(spark, d), tile=TILE)
 
 
 def lookup_streaming_u(spark, d):
-    return lookup.by_super_kmer(contigs(spark, d), index(spark, d, "unpartitioned"))
+    return lookup.by_super_kmer(contigs(spark, d), index(spark, d, "unpartitioned"), tile=TILE)
 
 
 def lookup_random_p(spark, d):
-    return lookup.by_kmer(contigs(spark, d), index(spark, d))
+    return lookup.by_kmer(contigs(spark, d), index(spark, d), TILE)
 
 
 def lookup_random_u(spark, d):
-    return lookup.by_kmer(contigs(spark, d), index(spark, d, "unpartitioned"))
+    return lookup.by_kmer(contigs(spark, d), index(spark, d, "unpartitioned"), TILE)
 
 
 def lookup_count(spark, d):
@@ -217,11 +219,11 @@ def space_model(spark, d):
 
 
 def locality(spark, d):
-    return statistics.locality(lookup.by_super_kmer(contigs(spark, d), index(spark, d)))
+    return statistics.locality(lookup.by_super_kmer(contigs(spark, d), index(spark, d), tile=TILE))
 
 
 def whole_set_mphf(spark, d):
-    return as_text(baselines.by_rank(sequences.packed_kmers(contigs(spark, d), K)))
+    return as_text(baselines.by_rank(sequences.packed_kmers(contigs(spark, d), K, TILE)))
 
 
 def baseline_lookup(spark, d):
