@@ -9,17 +9,19 @@ from kmerloom.functions import packed
 from kmerloom.operators.index import Index
 from kmerloom.operators.minimizers import kmers_of
 from kmerloom.operators.sequences import packed_super_kmers
+from kmerloom.operators.skew import spread_join
 
 #: Bits of a run's header below its size: the place of the minimizer in its first k-mer.
 PLACE_BITS = 32
 
 
-def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, tile: int | None = None) -> DataFrame:
+def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, tile: int | None = None, spread: bool = False) -> DataFrame:
     """(seq_id, seg_id, pos, hval) of every k-mer: the join is made once a super-k-mer, its k-mers step from there.
 
     K-mers that are surely not in the index (an unknown minimizer, or a colliding one and an unknown k-mer) have a null
     code; other k-mers outside it may get any code, as the index holds no keys. `tile` cuts very long sequences, so that
-    they spread over tasks. With keep_kmer the k-mers are returned too, as numbers.
+    they spread over tasks. With keep_kmer the k-mers are returned too, as numbers. With `spread`, minimizers and k-mers that very
+    many runs or probes have, as those of low complexity, are found by a first pass and dealt over all tasks; not for streams.
 
     Runs whose minimizer is unique or unknown, and runs of colliding ones, are two joins of one shuffle of all runs: both take
     the same columns of it, a run's header (its size, and the place of its minimizer) being the first of its words.
@@ -27,7 +29,8 @@ def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, til
     k = index.options.k
     header = F.shiftleft(F.col("size").cast("long"), PLACE_BITS).bitwiseOR(F.col("p1").cast("long"))
     runs = packed_super_kmers(contigs, index.options, tile).where("minimizer is not null").select("seq_id", "seg_id", "start", "minimizer", F.concat(F.array(header), "words").alias("run"))
-    joined = runs.join(index.minimizers.select("minimizer", "cls", "base", "sign"), "minimizer", "left")
+    table, fallback = index.minimizers.select("minimizer", "cls", "base", "sign"), index.fallback.withColumnRenamed("kmer", "probe")
+    joined = spread_join(runs, table, "minimizer", ["seq_id", "seg_id", "start"]) if spread else runs.join(table, "minimizer", "left")
     each = F.explode(F.sequence(F.lit(0), F.shiftright(F.col("run")[0], PLACE_BITS).cast("int") - 1)).alias("j")
     place = F.col("run")[0].bitwiseAND((1 << PLACE_BITS) - 1)
     kmer = packed.kmer_of("run", f"(j + {packed.WORD})", k)
@@ -36,7 +39,7 @@ def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, til
     collides = F.coalesce(F.col("cls") == "COLLISION", F.lit(False))
     stepped = joined.where(~collides).select("*", each).select("seq_id", "seg_id", pos, (F.col("base") + F.col("sign") * (place - F.col("j"))).alias("hval"), *kept)
     probes = joined.where("cls = 'COLLISION'").select("*", each).select("seq_id", "seg_id", pos, kmer.alias("probe"))
-    probed = probes.join(index.fallback.withColumnRenamed("kmer", "probe"), "probe", "left")
+    probed = spread_join(probes, fallback, "probe", ["seq_id", "seg_id", "pos"]) if spread else probes.join(fallback, "probe", "left")
     return stepped.unionByName(probed.select("seq_id", "seg_id", "pos", (F.col("fb_rank") + index.n_main).alias("hval"), *([F.col("probe").alias("kmer")] if keep_kmer else [])))
 
 

@@ -168,6 +168,10 @@ def lookup_streaming_u(spark, d):
     return lookup.by_super_kmer(contigs(spark, d), index(spark, d, "unpartitioned"), tile=TILE)
 
 
+def lookup_spread(spark, d):
+    return lookup.by_super_kmer(contigs(spark, d), index(spark, d), tile=TILE, spread=True)
+
+
 def lookup_random_p(spark, d):
     return lookup.by_kmer(contigs(spark, d), index(spark, d), TILE)
 
@@ -293,7 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         minimizer_classify, colliding_minimizers, colliding_kmers, class_counts, minimizer_rank, fallback_rank, rank_in_class, index_partitioned, index_unpartitioned,
         lookup_streaming_p, lookup_streaming_u, lookup_random_p, lookup_random_u, lookup_count, lookup_count_random, lookup_alien, lookup_strict, lookup_stream,
         check_index, check_index_unpartitioned, build_stats, space_model, locality, whole_set_mphf, baseline_lookup, bbhash, index_roundtrip, fasta_roundtrip,
-        canonical_kmers_63, lookup_63, pilot_mphf, cascade_mphf, index_order, code_population, fastq_roundtrip,
+        canonical_kmers_63, lookup_63, pilot_mphf, cascade_mphf, index_order, code_population, fastq_roundtrip, lookup_spread,
     )
 }
 
@@ -409,7 +413,7 @@ SQL: dict[str, str] = {
     "rank_in_class": _sql(SEQS, RUNS, CLASSES, select="SELECT minimizer, cls, row_number() OVER (PARTITION BY cls ORDER BY minimizer) - 1 AS rank FROM mins"),
     "index_partitioned": _sql(SEQS, RUNS, CLASSES, PARTITIONED, select="SELECT * FROM idx"),
     "index_unpartitioned": _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, select="SELECT minimizer, mm_rank, base, sign FROM idx"),
-    "lookup_streaming_p": _LOOKUP, "lookup_random_p": _LOOKUP, "lookup_stream": _LOOKUP, "index_roundtrip": _LOOKUP,
+    "lookup_streaming_p": _LOOKUP, "lookup_spread": _LOOKUP, "lookup_random_p": _LOOKUP, "lookup_stream": _LOOKUP, "index_roundtrip": _LOOKUP,
     "lookup_streaming_u": _LOOKUP_U, "lookup_random_u": _LOOKUP_U,
     "lookup_count": _COUNT, "lookup_count_random": _COUNT,
     "lookup_alien": _sql(SEQS, RUNS, CLASSES, PARTITIONED, ALIENS, _runs("q_"), _codes("q_each"), select=CODES),

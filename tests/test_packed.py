@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
-from kmerloom.operators import lookup, perfect_hash, sequences, validation
+from kmerloom.operators import lookup, perfect_hash, sequences, skew, validation
 from kmerloom.operators.index import Index, build
 from kmerloom.operators.ranking import order_violations
 from kmerloom.plans.config import Options
@@ -140,3 +140,29 @@ def test_strict_takes_text_and_numbers(spark):
     a, b = (sorted(map(tuple, lookup.strict(given, index, keys).collect())) for keys in (sequences.kmers(given, 40), sequences.packed_kmers(given, 40)))
     assert a == b and all(r[3] is not None for r in a)
     assert isinstance(index, Index)
+
+
+@pytest.mark.parametrize("k", [11, 40])
+def test_hot_minimizers_are_spread(spark, k):
+    """Half of all super-k-mers have one minimizer: its rows are dealt evenly, and the codes are the same."""
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choices("ACGT", k=200))) for i in range(60)] + [(1000 + i, "A" * 500) for i in range(20)]
+    given, o = contigs(spark, rows), Options(k=k, m=7)
+    index = build(given, o)
+    want = sorted(map(tuple, lookup.by_super_kmer(given, index, keep_kmer=True).collect()))
+    assert sorted(map(tuple, lookup.by_super_kmer(given, index, keep_kmer=True, spread=True).collect())) == want
+    assert sorted(map(tuple, lookup.by_super_kmer(contigs(spark, [(1, "GATTACA" * 9 + "A" * 90)]), index, spread=True).collect())) == sorted(map(tuple, lookup.by_super_kmer(contigs(spark, [(1, "GATTACA" * 9 + "A" * 90)]), index).collect()))
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    for c, v in confs.items():
+        spark.conf.set(c, v)
+    try:
+        runs = sequences.packed_super_kmers(given, o)
+        hot = skew.heavy_keys(runs, "minimizer", 1 / 64)
+        assert runs.join(hot, "minimizer", "left_semi").count() > 0.4 * runs.count() and hot.count() < 64
+        even = skew.spread_join(runs, index.minimizers.select("minimizer", "cls"), "minimizer", ["seq_id", "start"])
+        sizes = sorted(r.n for r in even.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n")).collect())
+        assert len(sizes) == 16 and sizes[-1] < 3 * sizes[8] and sum(sizes) == runs.count()
+    finally:
+        for c in confs:
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
