@@ -23,8 +23,6 @@ NAME = "kmerloom_fastq"
 SCHEMA = "name string, seq string"
 #: Bytes of a range, bytes of a file's head that tell its form, and records given out at a time.
 RANGE, HEAD, RECORDS = 64 << 20, 1 << 20, 4096
-#: Schemes of the file systems that files are opened by.
-SCHEMES = ("file", "hdfs", "viewfs", "s3", "s3a", "gs", "abfs", "abfss")
 
 
 def opened(path: str) -> io.BufferedReader:
