@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import lines as L
 from kmerloom.llm import textvec as V
-from kmerloom.llm.common import WORD, in_chunks, staged, utf8_parts
+from kmerloom.llm.common import WORD, discarded, in_chunks, staged, utf8_parts
 from kmerloom.llm.jaccard_join import ranges
 
 COUNTS = "item long, n_docs long"
@@ -194,6 +194,8 @@ def deduped(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     frequent = staged(often(full.mapInArrow(of_items, COUNTS)).unionByName(live.where(F.col("n_docs") >= FIELD_DOCS).select("item", F.lit(ALWAYS).alias("n_docs"))), "tokens")
     least = lambda df, n: df.withColumn("least_docs", F.lit(n))
     placed = staged(least(templates(full, frequent), FIELD_DOCS).unionByName(least(lines.mapInArrow(masked, LONG), LEAST_DOCS)).unionByName(least(texts.mapInArrow(long_lines, LONG), LONG_DOCS)), "templates")
+    for done in (live, lines, frequent):  # only the templates are read from here on
+        discarded(done)
     rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     once = placed.groupBy("template", rank.alias("rank"), "text_key").agg(F.max("least_docs").alias("least_docs"))
     counted = once.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("rank").alias("first"), F.max("least_docs").alias("least_docs"))
