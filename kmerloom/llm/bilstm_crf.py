@@ -1,4 +1,7 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by backpropagation, Viterbi and marginals."""
+"""A character-level bidirectional LSTM with CRF transitions, in numpy: training by backpropagation, Viterbi and marginals.
+
+Gates are piecewise linear and states x / (1 + |x|), in training as in use: exponentials were most of a step's cost.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,13 @@ import numpy as np
 BLOCKED = -1e4
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def gate(x: np.ndarray) -> np.ndarray:
+    return np.clip(x * 0.25 + 0.5, 0, 1)
+
+
+def bounded(x: np.ndarray) -> np.ndarray:
+    """Between -1 and 1; its slope is (1 - |bounded(x)|) squared."""
+    return x / (1 + np.abs(x))
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -16,10 +24,16 @@ def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def logproduct(x: np.ndarray, ways: np.ndarray) -> np.ndarray:
+    """log(exp(x) @ ways), row by row without overflow."""
+    top = x.max(1, keepdims=True)
+    return top + np.log(np.maximum(np.exp(x - top) @ ways, 1e-300))
+
+
 class Tagger:
     """Tags sequences of character ids. `allowed[i, j]` says whether tag j may follow tag i, `first[j]` whether it may come first."""
 
-    def __init__(self, n_chars: int, n_tags: int, allowed: np.ndarray, first: np.ndarray, embed: int = 16, hidden: int = 20, seed: int = 3):
+    def __init__(self, n_chars: int, n_tags: int, allowed: np.ndarray, first: np.ndarray, embed: int = 12, hidden: int = 20, seed: int = 3):
         rng = np.random.default_rng(seed)
         g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.hidden, self.allowed, self.first = hidden, allowed, first
@@ -37,10 +51,10 @@ class Tagger:
         out, tape = np.zeros((n, t, k), np.float32), []
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
             z = x[:, i] + h @ wh
-            s, g = sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
+            s, g = gate(z[:, : 3 * k]), bounded(z[:, 3 * k :])
             m = mask[:, i, None]
             new = (s[:, k : 2 * k] * c + s[:, :k] * g) * m
-            th = np.tanh(new)
+            th = bounded(new)
             if keep:
                 tape.append((i, h, c, s, g, th, m))
             c, h = new, s[:, 2 * k :] * th * m
@@ -55,9 +69,9 @@ class Tagger:
         for i, h, c, s, g, th, m in reversed(tape):
             dh = (dh + dout[:, i]) * m
             o = s[:, 2 * k :]
-            dc = (dc + dh * o * (1 - th * th)) * m
-            dz = np.concatenate([dc * g, dc * c, dh * th], 1) * s * (1 - s)
-            dz = np.concatenate([dz, dc * s[:, :k] * (1 - g * g)], 1)
+            dc = (dc + dh * o * (1 - np.abs(th)) ** 2) * m
+            dz = np.concatenate([dc * g, dc * c, dh * th], 1) * (0.25 * ((s > 0) & (s < 1)))
+            dz = np.concatenate([dz, dc * s[:, :k] * (1 - np.abs(g)) ** 2], 1)
             dx[:, i] = dz
             grads[f"h{d}"] += h.T @ dz
             dh, dc = dz @ wh.T, dc * s[:, k : 2 * k]
@@ -69,37 +83,49 @@ class Tagger:
     def scores(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Emission scores (sequence, position, tag); masked positions come last and have none that mean anything.
 
-        The same network as in training, for speed with a table of each character's gate inputs, all gates by one tanh,
-        and sequences reversed by themselves so that neither direction meets masked steps first.
+        The same network as in training, for speed with sequences along the last axis, so that each gate is one stretch of memory,
+        with one product a step, and with sequences reversed by themselves so that neither direction meets masked steps first.
         """
         n, t = ids.shape
-        k, tags, last = self.hidden, len(self.p["bias"]), mask.sum(1).astype(np.int64) - 1
+        k, last = self.hidden, mask.sum(1).astype(np.int64) - 1
+        full = bool((last == t - 1).all())
         back = np.maximum(last[:, None] - np.arange(t), 0)
-        emit = np.empty((t, n, tags), np.float32)
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), k)  # sigmoid(x) is (tanh(x / 2) + 1) / 2
-        z, rise = np.empty((n, 4 * k), np.float32), np.empty((n, 4 * k), np.float32)
-        gates, enter, forget, leave, new = z[:, : 3 * k], z[:, :k], z[:, k : 2 * k], z[:, 2 * k : 3 * k], z[:, 3 * k :]
-        for d, order in (("b", back), ("f", None)):
-            table, wh = (self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, self.p[f"h{d}"] * half
-            steps = np.ascontiguousarray((ids if order is None else np.take_along_axis(ids, order, 1)).T)
-            out = np.ascontiguousarray(self.p["out"][:k] if d == "f" else self.p["out"][k:])
-            h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        emb, size = self.p["emb"], self.p["emb"].shape[1]
+        emit = np.empty((t, len(self.p["bias"]), n), np.float32)
+        z, c, above = np.empty((4 * k, n), np.float32), np.empty((k, n), np.float32), np.empty((k, n), np.float32)
+        gates, enter, forget, leave, new = z[: 3 * k], z[:k], z[k : 2 * k], z[2 * k : 3 * k], z[3 * k :]
+        chars, more = np.empty((n, size), np.float32), np.empty(emit.shape[1:], np.float32)
+        for d in "bf":
+            w = np.concatenate([self.p[f"x{d}"], self.p[f"h{d}"], self.p[f"c{d}"][None]]).T.astype(np.float32)
+            w[: 3 * k] *= 0.25
+            w[: 3 * k, -1] += 0.5
+            steps = np.ascontiguousarray((ids if d == "f" else ids[:, ::-1] if full else np.take_along_axis(ids, back, 1)).T)
+            out = np.ascontiguousarray((self.p["out"][:k] if d == "f" else self.p["out"][k:]).T)
+            given = np.ones((size + k + 1, n), np.float32)  # a step's characters, the state before it, and 1
+            h = given[size:-1]
+            h[:], c[:] = 0, 0
             for i in range(t):
-                np.take(table, steps[i], axis=0, out=z, mode="clip")
-                z += np.matmul(h, wh, out=rise)
-                np.tanh(z, out=z)
-                gates += 1
-                gates *= 0.5
+                given[:size] = np.take(emb, steps[i], axis=0, out=chars, mode="clip").T
+                np.matmul(w, given, out=z)
+                np.clip(gates, 0, 1, out=gates)
+                np.abs(new, out=above)
+                above += 1
+                new /= above
                 c *= forget
-                c += np.multiply(enter, new, out=new)
-                np.multiply(leave, np.tanh(c, out=h), out=h)
-                if order is None:
-                    emit[i] += h @ out
+                new *= enter
+                c += new
+                np.abs(c, out=above)
+                above += 1
+                np.divide(c, above, out=h)
+                h *= leave
+                if d == "f":
+                    emit[i] += np.matmul(out, h, out=more)
                 else:
-                    emit[i] = h @ out
-            if order is not None:
-                emit = np.ascontiguousarray(np.take_along_axis(emit, order.T[:, :, None], 0)) + self.p["bias"]
-        return emit.transpose(1, 0, 2)
+                    np.matmul(out, h, out=emit[i])
+            if d == "b":
+                emit = emit[::-1] if full else np.take_along_axis(emit, back.T[:, None, :], 0)
+                emit += self.p["bias"][:, None]
+        return emit.transpose(2, 0, 1)
 
     def quiet(self, emit: np.ndarray) -> np.ndarray:
         """Which sequences surely have tag 0 throughout as their best tags, for tags in pairs (begin, inside) after tag 0, an inside one only after its own pair.
@@ -113,17 +139,18 @@ class Tagger:
         switch = trans[1:, 1::2].max(0) - trans[0, 0]
         stay = np.array([max(trans[i, i + 1], trans[i + 1, i + 1]) for i in range(1, len(trans), 2)], np.float32) - trans[0, 0]
         leave = np.maximum(np.array([max(trans[i, 0], trans[i + 1, 0]) for i in range(1, len(trans), 2)], np.float32) - trans[0, 0], 0)
-        run = np.full((len(emit), len(enter)), -1e9, np.float32)
+        enter, switch, stay, leave = (x[:, None] for x in (enter, switch, stay, leave))
+        run = np.full((len(enter), len(emit)), -1e9, np.float32)
         most = run.copy()
-        for e in emit.transpose(1, 0, 2):
-            fresh = np.maximum(run.max(1, keepdims=True) + switch, enter)
-            fresh += e[:, 1::2]
+        for e in emit.transpose(1, 2, 0):
+            fresh = np.maximum(run.max(0) + switch, enter)
+            fresh += e[1::2]
             run += stay
-            run += e[:, 2::2]
+            run += e[2::2]
             np.maximum(run, fresh, out=run)
-            run -= e[:, :1]
+            run -= e[0]
             np.maximum(most, run, out=most)
-        return ((most + leave) < -1e-3).all(1)
+        return ((most + leave) < -1e-3).all(0)
 
     def transitions(self) -> tuple[np.ndarray, np.ndarray]:
         return np.where(self.allowed, self.p["trans"], BLOCKED), np.where(self.first, 0, BLOCKED).astype(np.float32)
@@ -135,12 +162,13 @@ class Tagger:
         trans, first = self.transitions()
         n, t, k = emit.shape
         alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
+        ways = np.exp(trans)
         alpha[:, 0] = emit[:, 0] + first
         for i in range(1, t):
-            new = logsumexp(alpha[:, i - 1, :, None] + trans, 1) + emit[:, i]
+            new = logproduct(alpha[:, i - 1], ways) + emit[:, i]
             alpha[:, i] = np.where(mask[:, i, None] > 0, new, alpha[:, i - 1])
         for i in range(t - 2, -1, -1):
-            new = logsumexp(trans + (emit[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
+            new = logproduct(emit[:, i + 1] + beta[:, i + 1], ways.T)
             beta[:, i] = np.where(mask[:, i + 1, None] > 0, new, beta[:, i + 1])
         return alpha, beta, logsumexp(alpha[:, -1], 1), trans
 
@@ -177,11 +205,13 @@ class Tagger:
         k = emit.shape[2]
         hot = np.eye(k)[tags] * mask[:, :, None]
         demit = (np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None] - hot) / n
-        pair = alpha[:, :-1, :, None] + trans + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        live = mask[:, 1:, None, None]
-        seen = hot[:, :-1, :, None] * hot[:, 1:, None, :]
-        dtrans = ((np.exp(pair) - seen) * live).sum((0, 1)) / n * self.allowed
-        score = (emit * hot).sum((1, 2)) + (np.where(self.allowed, trans, 0) * seen * live).sum((1, 2, 3))
+        before, after, live = alpha[:, :-1], emit[:, 1:] + beta[:, 1:], mask[:, 1:]
+        a, b = before.max(2), after.max(2)
+        weight = np.exp(np.minimum(a + b - total[:, None], 700)) * live
+        near, far = (np.exp(before - a[:, :, None]) * weight[:, :, None]).reshape(-1, k), np.exp(after - b[:, :, None]).reshape(-1, k)
+        seen = (hot[:, :-1] * live[:, :, None]).reshape(-1, k).T @ hot[:, 1:].reshape(-1, k)
+        dtrans = (near.T @ far * np.exp(trans) - seen) / n * self.allowed
+        score = (emit * hot).sum((1, 2)) + (trans[tags[:, :-1], tags[:, 1:]] * live).sum(1)
         grads = {name: np.zeros_like(x) for name, x in self.p.items()}
         demit = demit.astype(np.float32)
         flat = demit.reshape(-1, k)

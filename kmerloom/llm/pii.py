@@ -1,9 +1,11 @@
 """PII spans: exact patterns, and what a character-level BiLSTM-CRF finds beyond them.
 
-The tagger is trained in numpy on labelled spans that a seeded rule writes (bounded by TRAINING): personal data in plain, in
-disguised and in spelled-out forms, among words, numbers and codes that are none. It reads every character of every text,
-in overlapping windows. Each window is decoded; a text's spans are reconciled globally: of the spans that its windows
-show, those stay that don't overlap and weigh most together.
+The tagger is trained in numpy on labelled spans (bounded by TRAINING): personal data in plain, in disguised and in
+spelled-out forms, written by a seeded rule among words, numbers and codes that are none, and among stretches of documents,
+whose own base spans are labelled too. Its weights are kept beside this module; `python -m kmerloom.llm.pii DOCUMENTS.parquet`
+trains and writes them anew. It reads every character of every text, in overlapping windows. Each window is decoded; a
+text's spans are reconciled globally: of the spans that its windows show, those stay that don't overlap and weigh most
+together, if an exact check finds in them what their kind must have (see holds()).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +85,12 @@ CHARS = {c: i + 2 for i, c in enumerate(string.ascii_lowercase + string.ascii_up
 N_CHARS = len(CHARS) + 3
 OTHER_LETTER = N_CHARS - 1
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-TRAINING, EPOCHS, HIDDEN = 4800, 20, 10
+TRAINING, EPOCHS, HIDDEN = 6000, 12, 18
+#: Documents that training takes stretches of, at most.
+HOSTS = 400
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 #: A window's characters, and where the next one begins: every span of up to WINDOW - STRIDE characters stands whole in a window.
-WINDOW, STRIDE, CONFIDENT = 768, 672, 0.75
+WINDOW, STRIDE, CONFIDENT = 768, 672, 0.5
 NUMBERS = "zero one two three four five six seven eight nine".split()
 #: Words that stand around personal data and that are none themselves.
 PLAIN = "the of and at on dot in to is a for mail me please call phone write or by meet look point server card number contact us now today from with see page visit home comma".split()
@@ -105,8 +111,8 @@ def char_ids(text: str) -> np.ndarray:
     return char_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
-    """`n` labelled texts, written by a seeded rule."""
+def training(n: int = TRAINING, seed: int = 7, hosts: tuple[str, ...] = ()) -> list[tuple[str, list[Span]]]:
+    """`n` labelled texts, written by a seeded rule; half of them within stretches of `hosts`, if there are any."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(str(int(x)) for x in rng.integers(0, 10, k))
@@ -122,7 +128,7 @@ def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
         return pick([" ", "-", ".", "/", "  ", "_", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
     def email() -> str:
-        local = pick([name(), f"{name()}.{name()}", f"{name()}_{name()}", f"{name()}{num(2)}", f"{name()}.{pick('abcdefgh')}", f"{pick('abcdefgh')}.{name()}", f"{name()}.{num(2)}"])
+        local = pick([name(), name(), f"{name()}.{name()}", f"{name()}_{name()}", f"{name()}-{name()}", f"{name()}{num(2)}", f"{name()}.{pick('abcdefgh')}", f"{pick('abcdefgh')}.{name()}", f"{name()}.{num(2)}"])
         at = pick(["@", "@", " @ ", " [at] ", "[at]", " (at) ", "(at)", " at ", " at ", " AT ", " {at} ", " [AT] ", "_at_", " <at> "])
         plain = at.strip() == "@" or rng.random() < 0.35 and at.strip() not in ("at", "AT")
         dot = "." if plain else pick([".", " dot ", " dot ", " [dot] ", "[dot]", " (dot) ", "(dot)", " DOT ", " . "] if at.strip() not in ("at", "AT") else [" dot ", " dot ", " DOT ", " [dot] "])
@@ -134,16 +140,29 @@ def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
         return pick([
             f"+{num(2)} {num(3)} {num(7)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(7)}", f"00 {num(2)} {num(3)} {num(7)}",
             f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} / {num(3)} {num(4)}", f"0{num(3)}/{num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", spelled, spelled,
+            f"0{num(3)} {num(8)}", f"0{num(3)} {num(7)}", f"0{num(2)}-{num(7)}", f"0{num(2)}-{num(3)}-{num(4)}", f"({num(5)}) {num(6)}", f"0{num(4)} {num(6)}", f"(0{num(2)}) {num(4)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}",
         ])
 
     def ip() -> str:
         return pick([".", " . ", "[.]", " dot ", "(.)", " [dot] ", ". "]).join(str(int(x)) for x in rng.integers(0, 256, 4))
 
+    def stretch() -> tuple[str, list[Span]]:
+        """Some words of a host, often from within a line, and the base spans in them, the longest where they overlap."""
+        host = pick(hosts)
+        at = int(rng.integers(0, max(1, len(host))))
+        words = host[at : at + int(rng.integers(20, 160))].split(" ")
+        text = " ".join(words[1:-1])
+        taken: list[Span] = []
+        for a, b, kind in sorted(base_spans(text), key=lambda s: s[0] - s[1]):
+            if not any(a < y and x < b for x, y, _ in taken):
+                taken.append((a, b, kind))
+        return text, sorted(taken)
+
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     none = [
         lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: "$" + num(3) + "." + num(2), lambda: num(int(rng.integers(1, 20))),
         lambda: hashlib.md5(num(6).encode()).hexdigest()[: int(rng.integers(8, 41))], lambda: f"#{num(5)}", lambda: f"@{name()}", lambda: f"{num(1)}.{num(1)}", lambda: f"sk-{name()}{num(12)}{name()}",
-        lambda: f'token = "{hashlib.sha1(num(6).encode()).hexdigest()}"', lambda: f"AKIA{num(6)}{name().upper()}{num(4)}", lambda: f"{num(3)}.{num(3)}", lambda: f"No. {num(3)}", lambda: f"{num(2)}%", lambda: f"{num(1)}, {num(2)}, {num(1)}, {num(2)}",
+        lambda: f'token = "{hashlib.sha1(num(6).encode()).hexdigest()}"', lambda: f"AKIA{num(6)}{name().upper()}{num(4)}", lambda: f"{num(3)}.{num(3)}", lambda: f"No. {num(3)}", lambda: f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(5)}-{num(4)}", lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: num(int(rng.integers(7, 17))), lambda: f"{num(4)}-{num(4)}", lambda: f"{num(1)},{num(3)},{num(3)},{num(3)}", lambda: f"{num(2)}%", lambda: f"{num(1)}, {num(2)}, {num(1)}, {num(2)}",
         lambda: f"at {name()}. {word().capitalize()}", lambda: f"{pick(NUMBERS)} {word()} {pick(NUMBERS)}", lambda: f"{name()} at the dot {name()}", lambda: f"{pick(NUMBERS)} {pick(NUMBERS)} {name()}", lambda: f"look at {name()} and {name()}.",
         lambda: f"{name()}.{name()}", lambda: f"{name()}/{name()}.html", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"www.{name()}.com", lambda: f"{name()} dot {name()}", lambda: "#" * int(rng.integers(1, 9)), lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{name()} [{name()}] {name()}",
         lambda: " ".join([word()] * int(rng.integers(3, 12))), lambda: " ".join(word() + pick(["***", "&&&", "###", "$$$", "%%%", ",", ".***"]) for _ in range(int(rng.integers(2, 6)))), lambda: " ".join(word() for _ in range(int(rng.integers(4, 14)))), lambda: ". ".join(word() for _ in range(int(rng.integers(2, 7)))),
@@ -151,7 +170,8 @@ def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
     ]
     out = []
     for _ in range(n):
-        text, spans = " ".join(word() for _ in range(int(rng.integers(0, 5)))), []
+        inside = bool(hosts) and rng.random() < 0.5
+        text, spans = stretch() if inside else (" ".join(word() for _ in range(int(rng.integers(0, 5)))), [])
         for _ in range(int(rng.integers(1, 3))):
             text += pick([" ", " ", ", ", ": ", "\n"]) if text else ""
             if rng.random() < 0.55:
@@ -160,24 +180,40 @@ def training(n: int = TRAINING, seed: int = 7) -> list[tuple[str, list[Span]]]:
                 spans.append((len(text), len(text) + len(body), kind))
             else:
                 body = pick(none)()
-            text += body + pick([" ", ". ", ", ", " ", "!! ", "\n"]) + " ".join(word() for _ in range(int(rng.integers(0, 5))))
+            text += body + pick([" ", ". ", ", ", " ", "!! ", "\n"])
+            after, own = stretch() if inside else (" ".join(word() for _ in range(int(rng.integers(0, 5)))), [])
+            spans += [(len(text) + a, len(text) + b, kind) for a, b, kind in own]
+            text += after
         out.append((text, spans))
     return out
 
 
+def untrained() -> Tagger:
+    allowed = np.array([[not b.startswith("I") or (a[1:] == b[1:] and a != "O") for b in TAGS] for a in TAGS])
+    return Tagger(N_CHARS, len(TAGS), allowed, np.array([not t.startswith("I") for t in TAGS]), hidden=HIDDEN)
+
+
 @lru_cache(maxsize=1)
 def trained() -> Tagger:
-    """The tagger, trained once a process (under a minute)."""
-    allowed = np.array([[not b.startswith("I") or (a[1:] == b[1:] and a != "O") for b in TAGS] for a in TAGS])
-    tagger = Tagger(N_CHARS, len(TAGS), allowed, np.array([not t.startswith("I") for t in TAGS]), hidden=HIDDEN)
-    samples = sorted(training(), key=lambda s: len(s[0]))
+    """The tagger with the weights that are kept."""
+    tagger = untrained()
+    with np.load(WEIGHTS) as kept:
+        tagger.p = {name: kept[name] for name in tagger.p}
+    return tagger
+
+
+def fitted(samples: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Tagger:
+    """A tagger trained on labelled texts."""
+    tagger = untrained()
+    samples = sorted(samples, key=lambda s: len(s[0]))
     longest = len(samples[-1][0])
     ids, mask, tags = (np.zeros((len(samples), longest), k) for k in (np.int32, np.float32, np.int64))
     for i, (text, spans) in enumerate(samples):
         ids[i, : len(text)], mask[i, : len(text)] = char_ids(text), 1
         for a, b, kind in spans:
             tags[i, a], tags[i, a + 1 : b] = TAGS.index(f"B-{kind}"), TAGS.index(f"I-{kind}")
-    tagger.train(ids, mask, tags, EPOCHS)
+    for epoch, loss in enumerate(tagger.train(ids, mask, tags, epochs)):
+        print(f"epoch {epoch}: loss {loss:.4f}")
     return tagger
 
 
@@ -242,9 +278,35 @@ def reconciled(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     return out[::-1]
 
 
+AT = re.compile(r"@|(?<![A-Za-z])at(?![A-Za-z])", re.IGNORECASE)
+DOT = re.compile(r"\.|(?<![A-Za-z])dot(?![A-Za-z])", re.IGNORECASE)
+SAID = re.compile("|".join(NUMBERS), re.IGNORECASE)
+
+
+def holds(text: str, kind: str) -> bool:
+    """Whether a span has what its kind must have, read with number words as digits and "at" and "dot" as their signs.
+
+    An e-mail: a local part, one at sign, a host and after its last dot two letters or more, no more than five words apart from
+    signs. An ip: four numbers of up to 255. A card: 14 to 19 digits that pass Luhn. A phone: 7 to 15 digits and no letters.
+    """
+    if kind == "email":
+        parts = AT.split(text)
+        host = DOT.split(parts[-1])
+        names = [p.strip(" \t\r\n()[]{}<>_") for p in (parts[0], *host)]
+        return len(parts) == 2 and len(host) > 1 and all(names) and all(re.fullmatch(r"[\w-]+", x, re.ASCII) for x in names[1:]) and len(names[0].split()) <= 3 and re.fullmatch("[A-Za-z]{2,}", names[-1]) is not None
+    said = SAID.sub(lambda m: str(NUMBERS.index(m[0].lower())), text)
+    if kind == "ip":
+        numbers = re.findall("[0-9]+", said)
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    digits = "".join(c for c in said if c in string.digits)
+    if kind == "card":
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in said)
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """The tagger's spans of each text that overlap no base span."""
-    found = [reconciled(s) for s in window_spans(tagger, [char_ids(t) for t in texts])]
+    """The tagger's spans of each text that hold and overlap no base span."""
+    found = [[s for s in reconciled(spans) if holds(t[s[0] : s[1]], s[2])] for t, spans in zip(texts, window_spans(tagger, [char_ids(t) for t in texts]), strict=True)]
     return [[s for s in spans if not any(s[0] < y and x < s[1] for x, y, _ in own)] for spans, own in zip(found, base, strict=True)]
 
 
@@ -276,3 +338,17 @@ def found(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, FOUND)
+
+
+def main(documents: str) -> None:
+    """Trains on the first HOSTS texts of a Parquet table and writes the weights."""
+    import pyarrow.parquet as pq
+
+    hosts = tuple(t for t in pq.read_table(documents, columns=["text"])["text"].to_pylist()[:HOSTS] if t)
+    np.savez_compressed(WEIGHTS, **fitted(training(hosts=hosts)).p)
+
+
+if __name__ == "__main__":
+    import sys
+
+    main(sys.argv[1])
