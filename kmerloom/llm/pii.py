@@ -85,7 +85,7 @@ CHARS = {c: i + 2 for i, c in enumerate(string.ascii_lowercase + string.ascii_up
 N_CHARS = len(CHARS) + 3
 OTHER_LETTER = N_CHARS - 1
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-TRAINING, EPOCHS, HIDDEN = 6000, 12, 18
+TRAINING, EPOCHS, HIDDEN = 9000, 10, 18
 #: Documents that training takes stretches of, at most.
 HOSTS = 400
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
@@ -93,10 +93,10 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 WINDOW, STRIDE, CONFIDENT = 768, 672, 0.5
 NUMBERS = "zero one two three four five six seven eight nine".split()
 #: Words that stand around personal data and that are none themselves.
-PLAIN = "the of and at on dot in to is a for mail me please call phone write or by meet look point server card number contact us now today from with see page visit home comma".split()
+PLAIN = "the of and at on dot in to is a for mail me please call phone write or by meet look point server card number contact us now today from with see page visit home comma tonight thanks more works down was used her his my number fax tel dial reach server visa or ask they write".split()
 
 
-NAMES = "info sales admin support office team web shop cloud data home world north river green maria peter thomas laura brown martin garcia weber dubois store online music travel health studio group service global central".split()
+NAMES = "bob anna john kim lisa jane mary jones doe lee smith klein rossi mail host site example company yahoo gmail posteo info sales admin support office team web shop cloud data home world north river green maria peter thomas laura brown martin garcia weber dubois store online music travel health studio group service global central".split()
 
 
 @lru_cache(maxsize=1)
@@ -139,7 +139,7 @@ def training(n: int = TRAINING, seed: int = 7, hosts: tuple[str, ...] = ()) -> l
         spelled = " ".join(pick(NUMBERS) for _ in range(int(rng.integers(7, 12))))
         return pick([
             f"+{num(2)} {num(3)} {num(7)}", f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(7)}", f"00 {num(2)} {num(3)} {num(7)}",
-            f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} / {num(3)} {num(4)}", f"0{num(3)}/{num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", spelled, spelled,
+            f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} / {num(3)} {num(4)}", f"0{num(3)}/{num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(2)} {num(4)} {num(4)}", spelled, spelled,
             f"0{num(3)} {num(8)}", f"0{num(3)} {num(7)}", f"0{num(2)}-{num(7)}", f"0{num(2)}-{num(3)}-{num(4)}", f"({num(5)}) {num(6)}", f"0{num(4)} {num(6)}", f"(0{num(2)}) {num(4)} {num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}",
         ])
 
@@ -162,10 +162,10 @@ def training(n: int = TRAINING, seed: int = 7, hosts: tuple[str, ...] = ()) -> l
     none = [
         lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: "$" + num(3) + "." + num(2), lambda: num(int(rng.integers(1, 20))),
         lambda: hashlib.md5(num(6).encode()).hexdigest()[: int(rng.integers(8, 41))], lambda: f"#{num(5)}", lambda: f"@{name()}", lambda: f"{num(1)}.{num(1)}", lambda: f"sk-{name()}{num(12)}{name()}",
-        lambda: f'token = "{hashlib.sha1(num(6).encode()).hexdigest()}"', lambda: f"AKIA{num(6)}{name().upper()}{num(4)}", lambda: f"{num(3)}.{num(3)}", lambda: f"No. {num(3)}", lambda: f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(5)}-{num(4)}", lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: num(int(rng.integers(7, 17))), lambda: f"{num(4)}-{num(4)}", lambda: f"{num(1)},{num(3)},{num(3)},{num(3)}", lambda: f"{num(2)}%", lambda: f"{num(1)}, {num(2)}, {num(1)}, {num(2)}",
+        lambda: f'token = "{hashlib.sha1(num(6).encode()).hexdigest()}"', lambda: f"AKIA{num(6)}{name().upper()}{num(4)}", lambda: f"{num(3)}.{num(3)}", lambda: f"No. {num(3)}", lambda: f"ISBN 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"{num(5)}-{num(4)}", lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: num(int(rng.integers(7, 17))), lambda: f"{num(4)}-{num(4)}", lambda: f"{num(2)} {num(3)} {num(3)}", lambda: " ".join(num(2) for _ in range(int(rng.integers(3, 6)))), lambda: " ".join(num(4) for _ in range(int(rng.integers(2, 5)))), lambda: f"{num(1)},{num(3)},{num(3)},{num(3)}", lambda: f"{num(2)}%", lambda: f"{num(1)}, {num(2)}, {num(1)}, {num(2)}",
         lambda: f"at {name()}. {word().capitalize()}", lambda: f"{pick(NUMBERS)} {word()} {pick(NUMBERS)}", lambda: f"{name()} at the dot {name()}", lambda: f"{pick(NUMBERS)} {pick(NUMBERS)} {name()}", lambda: f"look at {name()} and {name()}.",
         lambda: f"{name()}.{name()}", lambda: f"{name()}/{name()}.html", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"www.{name()}.com", lambda: f"{name()} dot {name()}", lambda: "#" * int(rng.integers(1, 9)), lambda: f"{num(1)}.{num(1)}.{num(1)}", lambda: f"{name()} [{name()}] {name()}",
-        lambda: " ".join([word()] * int(rng.integers(3, 12))), lambda: " ".join(word() + pick(["***", "&&&", "###", "$$$", "%%%", ",", ".***"]) for _ in range(int(rng.integers(2, 6)))), lambda: " ".join(word() for _ in range(int(rng.integers(4, 14)))), lambda: ". ".join(word() for _ in range(int(rng.integers(2, 7)))),
+        lambda: " ".join([word()] * int(rng.integers(3, 12))), lambda: " ".join([word()] * int(rng.integers(12, 50))), lambda: " ".join(word() + pick(["***", "&&&", "###", "$$$", "%%%", ",", ".***"]) for _ in range(int(rng.integers(2, 6)))), lambda: " ".join(word() for _ in range(int(rng.integers(4, 14)))), lambda: ". ".join(word() for _ in range(int(rng.integers(2, 7)))),
         lambda: pick([" ", " ", " | ", ", ", " - "]).join(word() for _ in range(int(rng.integers(6, 20)))), lambda: " ".join([pick(["de", "at", "at", "dot", "one", "com"]) + pick(["", "", "."])] * int(rng.integers(3, 15))),
     ]
     out = []
@@ -173,7 +173,7 @@ def training(n: int = TRAINING, seed: int = 7, hosts: tuple[str, ...] = ()) -> l
         inside = bool(hosts) and rng.random() < 0.5
         text, spans = stretch() if inside else (" ".join(word() for _ in range(int(rng.integers(0, 5)))), [])
         for _ in range(int(rng.integers(1, 3))):
-            text += pick([" ", " ", ", ", ": ", "\n"]) if text else ""
+            text += pick([" ", " ", ", ", ": ", "\n", " or ", " and "]) if text else ""
             if rng.random() < 0.55:
                 kind = pick((*KINDS, "email", "phone"))
                 body = makers[kind]()

@@ -254,16 +254,38 @@ def test_disguised_spans_in_documents_are_found(texts):
                 planted.append(f"{host[:at]} {held[a:b]} {host[at + 1:]}")
                 want.append((at + 1, at + 1 + b - a, kind))
     got = pii.added_spans(tagger, planted, [[] for _ in planted])
-    assert len(want) > 120 and sum(w in g for w, g in zip(want, got)) / len(want) >= 0.85
+    assert len(want) > 120 and sum(w in g for w, g in zip(want, got)) / len(want) >= 0.93
     spelled = [
         "contact bob.jones at mail dot com for more", "mail anna.b [at] site.org now", "phone 00 49 151 1234567 today", "please call (415) 555-1234 today", "reach me: jane_doe (at) company (dot) com",
         "the server at 10 dot 0 dot 0 dot 1 is down", "call five five five one two three four zero now", "john42 [at] host [dot] net", "dial 415.555.1234 or 0151 / 123 4567",
+        "call 555-867-5309 tonight", "0151 23456789", "192[.]168[.]1[.]20 attacked", "sales {at} example {dot} org", "Tel: (089) 1234 5678", "06 12 34 56 78", "card 4111/1111/1111/1111",
     ]
-    assert sum(bool(x) for x in pii.added_spans(tagger, spelled, [[] for _ in spelled])) >= 5
+    assert sum(bool(x) for x in pii.added_spans(tagger, spelled, [[] for _ in spelled])) >= 0.9 * len(spelled)
     odd = ["On 2024-01-02 at 10:30, v1.2.33 cost $12.50.", "License, Version 2.0.", "token 04dbebab91ab85687d33eeaaf9ac699e1188f962", "7,000 of 12 men", "Meet at one dot of the three."]
     assert pii.added_spans(tagger, odd, [[] for _ in odd]) == [[] for _ in odd]
     added = pii.added_spans(tagger, clean, [pii.base_spans(t) for t in clean])
-    assert sum(map(bool, added)) <= 0.03 * len(clean)
+    assert sum(map(bool, added)) <= 0.002 * len(clean)
+
+
+def test_what_a_span_must_have():
+    yes = [("a.b at c dot de", "email"), ("jo [at] x-y (dot) com", "email"), ("10 dot 0 dot 0 dot 1", "ip"), ("4111.1111/1111_1111", "card"), ("five five five 1 2 3 4", "phone"), ("(030) 12-34567", "phone")]
+    no = [("dodoos doadodo", "email"), ("a at b", "email"), ("at b dot de", "email"), ("a at b at c dot de", "email"), ("a at b dot 5", "email"), ("1.2.3", "ip"), ("1.2.3.256", "ip"), ("4111111111111112", "card"), ("thing thing thing", "phone"), ("123456", "phone"), ("1234567 x", "phone"), ("", "email"), ("", "phone")]
+    assert all(pii.holds(*x) for x in yes) and not any(pii.holds(*x) for x in no)
+
+
+def test_training_learns_and_takes_hosts():
+    """Training lowers the loss; stretches of hosts keep their base spans as labels, and all labels hold."""
+    hosts = ("mail me now: ab@cd.org or at home " * 5, "plain words only " * 20)
+    samples = pii.training(120, 3, hosts)
+    assert all(pii.holds(t[a:b], k) for t, spans in samples for a, b, k in spans)
+    assert any(t[a:b] == "ab@cd.org" for t, spans in samples for a, b, k in spans)
+    tagger = pii.untrained()
+    texts = [t[:60] for t, _ in samples]
+    ids = np.zeros((len(texts), 60), np.int32)
+    for i, t in enumerate(texts):
+        ids[i, : len(t)] = pii.char_ids(t)
+    losses = tagger.train(ids, (ids > 0).astype(np.float32), np.zeros(ids.shape, np.int64), 3)
+    assert losses[-1] < losses[0]
 
 
 @needs_data
