@@ -217,7 +217,7 @@ def fitted(samples: list[tuple[str, list[Span]]], epochs: int = EPOCHS) -> Tagge
     return tagger
 
 
-def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, stride: int = STRIDE, batch: int = 384) -> list[list[tuple[int, int, str, float]]]:
+def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, stride: int = STRIDE, batch: int = 768) -> list[list[tuple[int, int, str, float]]]:
     """For each text all spans (start, end, kind, weight) that one of its overlapping windows shows.
 
     A span weighs its length times the least marginal probability of its tags, half of it if it touches an end of the window that
@@ -227,9 +227,8 @@ def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, st
     windows = [(i, s) for i, x in enumerate(ids) for s in range(0, max(1, len(x) - (window - stride)), stride) if len(x)]
     windows.sort(key=lambda w: min(window, len(ids[w[0]]) - w[1]))
 
-    def shown(rows: np.ndarray, tags: np.ndarray, sure: np.ndarray) -> None:
-        for r, row, p in zip(rows.tolist(), tags, sure, strict=True):
-            (i, s), n = own[r], int(sizes[r])
+    def shown(own: list, sizes: np.ndarray, tags: np.ndarray, sure: np.ndarray) -> None:
+        for (i, s), n, row, p in zip(own, sizes.tolist(), tags, sure, strict=True):
             for a in np.flatnonzero(row % 2 == 1).tolist():
                 b = a + 1
                 while b < n and row[b] == row[a] + 1:
@@ -239,6 +238,19 @@ def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, st
                     cut = (a == 0 and s > 0) or (b == n and s + n < len(ids[i]))
                     out[i].append((s + a, s + b, TAGS[row[a]][2:], least * (b - a) * (0.5 if cut else 1.0)))
 
+    def decode(loud: list[tuple[tuple[int, int], np.ndarray]]) -> None:
+        sizes = np.array([len(e) for _, e in loud])
+        emit, mask = np.zeros((len(loud), sizes.max(), len(TAGS)), np.float32), np.arange(sizes.max()) < sizes[:, None]
+        for r, (_, e) in enumerate(loud):
+            emit[r, : len(e)] = e
+        tags = tagger.viterbi(emit, mask)
+        rows = np.flatnonzero(tags.any(1))
+        if len(rows):
+            tags = tags[rows]
+            sure = np.take_along_axis(tagger.marginals(emit[rows].astype(np.float64), mask[rows]), tags[:, :, None], 2)[:, :, 0]
+            shown([loud[r][0] for r in rows], sizes[rows], tags, sure)
+
+    waiting: list[tuple[tuple[int, int], np.ndarray]] = []  # windows that may have a span, decoded many at once
     for k in range(0, len(windows), batch):
         own = windows[k : k + batch]
         sizes = np.array([min(window, len(ids[i]) - s) for i, s in own])
@@ -246,14 +258,12 @@ def window_spans(tagger: Tagger, ids: list[np.ndarray], window: int = WINDOW, st
         for r, (i, s) in enumerate(own):
             x[r, : sizes[r]] = ids[i][s : s + window]
         emit = tagger.scores(x, mask)
-        rows = np.flatnonzero(~tagger.quiet(emit))
-        if len(rows):
-            tags = tagger.viterbi(emit[rows], mask[rows])
-            named = tags.any(1)
-            rows, tags = rows[named], tags[named]
-        if len(rows):
-            sure = np.take_along_axis(tagger.marginals(emit[rows].astype(np.float64), mask[rows]), tags[:, :, None], 2)[:, :, 0]
-            shown(rows, tags, sure)
+        waiting += [(own[r], emit[r, : sizes[r]].copy()) for r in np.flatnonzero(~tagger.quiet(emit)).tolist()]
+        if len(waiting) >= batch:
+            decode(waiting)
+            waiting = []
+    if waiting:
+        decode(waiting)
     return out
 
 
@@ -325,7 +335,7 @@ def found(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(trained())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, 1 << 22):
             texts = batch.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
             rows = []
