@@ -33,19 +33,37 @@ class Index:
     n_main: int
     n_kmers: int
 
-    def save(self, path: str) -> None:
-        spark = self.minimizers.sparkSession
+    def _meta(self) -> DataFrame:
         o = self.options
-        meta = [(o.k, o.m, o.seed, o.layout, o.hasher, o.canonical, o.bits_per_key, self.n_main, self.n_kmers)]
-        spark.createDataFrame(meta, "k int, m int, seed long, layout string, hasher string, canonical boolean, bits_per_key double, n_main long, n_kmers long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        row = (o.k, o.m, o.seed, o.layout, o.hasher, o.canonical, o.bits_per_key, self.n_main, self.n_kmers)
+        return self.minimizers.sparkSession.createDataFrame([row], "k int, m int, seed long, layout string, hasher string, canonical boolean, bits_per_key double, n_main long, n_kmers long").coalesce(1)
+
+    @classmethod
+    def _of(cls, meta: DataFrame, minimizers: DataFrame, fallback: DataFrame) -> Index:
+        row = meta.first()
+        return cls(Options(row["k"], row["m"], row["seed"], row["layout"], row["hasher"], row["canonical"], row["bits_per_key"]), minimizers, fallback, row["n_main"], row["n_kmers"])
+
+    def save(self, path: str) -> None:
+        self._meta().write.mode("overwrite").parquet(f"{path}/meta")
         self.minimizers.write.mode("overwrite").parquet(f"{path}/minimizers")
         self.fallback.write.mode("overwrite").parquet(f"{path}/fallback")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        meta = spark.read.parquet(f"{path}/meta").first()
-        options = Options(meta["k"], meta["m"], meta["seed"], meta["layout"], meta["hasher"], meta["canonical"], meta["bits_per_key"])
-        return cls(options, spark.read.parquet(f"{path}/minimizers"), spark.read.parquet(f"{path}/fallback"), meta["n_main"], meta["n_kmers"])
+        return cls._of(*(spark.read.parquet(f"{path}/{part}") for part in ("meta", "minimizers", "fallback")))
+
+    def save_tables(self, name: str, buckets: int | None = None) -> None:
+        """As catalog tables `name`_meta, _minimizers and _fallback, the latter two bucketed by their key: lookups shuffle the sequences' side
+        only. `buckets` are as many as shuffle partitions unless given; with fewer than those Spark may shuffle the table all the same."""
+        buckets = buckets or int(self.minimizers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self._meta().write.mode("overwrite").saveAsTable(f"{name}_meta")
+        for part, df, key in (("minimizers", self.minimizers, "minimizer"), ("fallback", self.fallback, "kmer")):
+            # one task a bucket, so one file a bucket
+            df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{part}")
+
+    @classmethod
+    def load_tables(cls, spark: SparkSession, name: str) -> Index:
+        return cls._of(*(spark.table(f"{name}_{part}") for part in ("meta", "minimizers", "fallback")))
 
 
 def minimizer_table(minimizers: DataFrame, options: Options) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
+from kmerloom.operators import membership
 from kmerloom.operators.index import Index
 from kmerloom.operators.minimizers import kmers_of
 from kmerloom.operators.sequences import packed_super_kmers
@@ -15,6 +16,41 @@ from kmerloom.operators.skew import spread_join
 PLACE_BITS = 32
 
 
+def met_runs(contigs: DataFrame, index: Index, tile: int | None = None, spread: bool = False) -> DataFrame:
+    """(minimizer, seq_id, seg_id, start, run, cls, base, sign): super-k-mers with the row of their minimizer, nulls where the index hasn't got it.
+
+    `run` are a run's words behind its header: size, and the place of the minimizer in the first k-mer.
+    """
+    header = F.shiftleft(F.col("size").cast("long"), PLACE_BITS).bitwiseOR(F.col("p1").cast("long"))
+    runs = packed_super_kmers(contigs, index.options, tile).where("minimizer is not null").select("seq_id", "seg_id", "start", "minimizer", F.concat(F.array(header), "words").alias("run"))
+    table = index.minimizers.select("minimizer", "cls", "base", "sign")
+    return spread_join(runs, table, "minimizer", ["seq_id", "seg_id", "start"]) if spread else runs.join(table, "minimizer", "left")
+
+
+def run_size() -> Column:
+    """Of a row of met_runs(): the number of its k-mers."""
+    return F.shiftright(F.col("run")[0], PLACE_BITS).cast("int")
+
+
+def run_place() -> Column:
+    """The place of the minimizer in the first of them."""
+    return F.col("run")[0].bitwiseAND((1 << PLACE_BITS) - 1)
+
+
+def run_collides() -> Column:
+    """Whether they are ranked one by one."""
+    return F.coalesce(F.col("cls") == "COLLISION", F.lit(False))
+
+
+def probed_runs(joined: DataFrame, index: Index, spread: bool = False) -> DataFrame:
+    """(seq_id, seg_id, pos, probe, hval) of the k-mers, `probe`, of the colliding runs of met_runs()."""
+    fallback = index.fallback.withColumnRenamed("kmer", "probe")
+    each = joined.where("cls = 'COLLISION'").select("*", F.explode(F.sequence(F.lit(0), run_size() - 1)).alias("j"))
+    probes = each.select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), packed.kmer_of("run", f"(j + {packed.WORD})", index.options.k).alias("probe"))
+    probed = spread_join(probes, fallback, "probe", ["seq_id", "seg_id", "pos"]) if spread else probes.join(fallback, "probe", "left")
+    return probed.select("seq_id", "seg_id", "pos", "probe", (F.col("fb_rank") + index.n_main).alias("hval"))
+
+
 def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, tile: int | None = None, spread: bool = False) -> DataFrame:
     """(seq_id, seg_id, pos, hval) of every k-mer: the join is made once a super-k-mer, its k-mers step from there.
 
@@ -26,21 +62,11 @@ def by_super_kmer(contigs: DataFrame, index: Index, keep_kmer: bool = False, til
     Runs whose minimizer is unique or unknown, and runs of colliding ones, are two joins of one shuffle of all runs: both take
     the same columns of it, a run's header (its size, and the place of its minimizer) being the first of its words.
     """
-    k = index.options.k
-    header = F.shiftleft(F.col("size").cast("long"), PLACE_BITS).bitwiseOR(F.col("p1").cast("long"))
-    runs = packed_super_kmers(contigs, index.options, tile).where("minimizer is not null").select("seq_id", "seg_id", "start", "minimizer", F.concat(F.array(header), "words").alias("run"))
-    table, fallback = index.minimizers.select("minimizer", "cls", "base", "sign"), index.fallback.withColumnRenamed("kmer", "probe")
-    joined = spread_join(runs, table, "minimizer", ["seq_id", "seg_id", "start"]) if spread else runs.join(table, "minimizer", "left")
-    each = F.explode(F.sequence(F.lit(0), F.shiftright(F.col("run")[0], PLACE_BITS).cast("int") - 1)).alias("j")
-    place = F.col("run")[0].bitwiseAND((1 << PLACE_BITS) - 1)
-    kmer = packed.kmer_of("run", f"(j + {packed.WORD})", k)
-    kept = [kmer.alias("kmer")] if keep_kmer else []
-    pos = (F.col("start") + F.col("j")).alias("pos")
-    collides = F.coalesce(F.col("cls") == "COLLISION", F.lit(False))
-    stepped = joined.where(~collides).select("*", each).select("seq_id", "seg_id", pos, (F.col("base") + F.col("sign") * (place - F.col("j"))).alias("hval"), *kept)
-    probes = joined.where("cls = 'COLLISION'").select("*", each).select("seq_id", "seg_id", pos, kmer.alias("probe"))
-    probed = spread_join(probes, fallback, "probe", ["seq_id", "seg_id", "pos"]) if spread else probes.join(fallback, "probe", "left")
-    return stepped.unionByName(probed.select("seq_id", "seg_id", "pos", (F.col("fb_rank") + index.n_main).alias("hval"), *([F.col("probe").alias("kmer")] if keep_kmer else [])))
+    joined = met_runs(contigs, index, tile, spread)
+    each = joined.where(~run_collides()).select("*", F.explode(F.sequence(F.lit(0), run_size() - 1)).alias("j"))
+    kept = [packed.kmer_of("run", f"(j + {packed.WORD})", index.options.k).alias("kmer")] if keep_kmer else []
+    stepped = each.select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), (F.col("base") + F.col("sign") * (run_place() - F.col("j"))).alias("hval"), *kept)
+    return stepped.unionByName(probed_runs(joined, index, spread).select("seq_id", "seg_id", "pos", "hval", *([F.col("probe").alias("kmer")] if keep_kmer else [])))
 
 
 def by_kmer(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFrame:
@@ -52,12 +78,23 @@ def by_kmer(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFr
     return found.select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), hval.alias("hval"))
 
 
-def strict(contigs: DataFrame, index: Index, keys: DataFrame, tile: int | None = None) -> DataFrame:
-    """by_super_kmer() with a null code for every k-mer that isn't among `keys` (kmer, as text or numbers), the index's own k-mers."""
+def strict(contigs: DataFrame, index: Index, keys: DataFrame, tile: int | None = None, filter_bytes: int = membership.MOST_BYTES) -> DataFrame:
+    """by_super_kmer() with a null code for every k-mer that isn't among `keys` (kmer, as text or numbers), the index's own k-mers.
+
+    A filter of at most `filter_bytes` goes to all tasks, so that k-mers outside the index leave before the join with the keys;
+    larger ones aren't made, and all k-mers are joined. The rows are the same.
+    """
     kmer = packed.from_text(F.col("kmer"), index.options.k) if dict(keys.dtypes)["kmer"] == "string" else F.col("kmer")
     known = keys.select(kmer.alias("known")).distinct()
-    found = by_super_kmer(contigs, index, keep_kmer=True, tile=tile).join(known, F.col("kmer") == F.col("known"), "left")
-    return found.select("seq_id", "seg_id", "pos", F.when(F.col("known").isNotNull(), F.col("hval")).alias("hval"))
+    found = by_super_kmer(contigs, index, keep_kmer=True, tile=tile)
+    aliens = []
+    if membership.size(index.n_kmers) <= filter_bytes:
+        judged = membership.judged(found, "kmer", membership.built(known, "known", index.n_kmers), index.n_kmers, "maybe")
+        found, aliens = judged.where("maybe"), [judged.where("not maybe").select("seq_id", "seg_id", "pos", F.lit(None).cast("long").alias("hval"))]
+    checked = found.join(known, F.col("kmer") == F.col("known"), "left").select("seq_id", "seg_id", "pos", F.when(F.col("known").isNotNull(), F.col("hval")).alias("hval"))
+    for rows in aliens:
+        checked = checked.unionByName(rows)
+    return checked
 
 
 def counted(contigs: DataFrame, index: Index, one_by_one: bool = False) -> DataFrame:

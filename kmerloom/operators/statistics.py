@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kmerloom.operators import lookup
 from kmerloom.operators.index import Index
 from kmerloom.operators.minimizers import classified
 from kmerloom.plans.config import Options
@@ -63,11 +64,45 @@ def space_model(index: Index) -> DataFrame:
     return row.select(bits.alias("component", "bits")).withColumn("bits_per_kmer", F.col("bits") / F.lit(max(1, index.n_kmers)))
 
 
-def locality(codes: DataFrame) -> DataFrame:
-    """(n_pairs, n_adjacent): neighbouring k-mers of a segment, and those of them whose codes are neighbours too."""
-    after = F.lead("hval").over(W.partitionBy("seq_id", "seg_id").orderBy("pos"))
-    pairs = codes.withColumn("after", after).where("after is not null")
-    return pairs.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum(F.when(F.abs(F.col("after") - F.col("hval")) == 1, 1).otherwise(0)), F.lit(0)).cast("long").alias("n_adjacent"))
+#: Places of a segment that one window sees, whatever its length.
+BLOCK = 1 << 14
+
+
+def _with_next(codes: DataFrame, block: int) -> DataFrame:
+    """Rows with `after`, the code at the next place of the segment that has a row. Windows are of blocks of places; each has a copy of the next one's first row, if that is at the block's very start."""
+    here = F.floor(F.col("pos") / block).cast("long")
+    into = F.when((F.col("pos") % block == 0) & (F.col("pos") > 0), F.array(here, here - 1)).otherwise(F.array(here))
+    dealt = codes.select("*", here.alias("own"), F.explode(into).alias("block"))
+    w = W.partitionBy("seq_id", "seg_id", "block").orderBy("pos")
+    return dealt.withColumn("after", F.lead("hval").over(w)).where("block = own").drop("own", "block")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    close = F.coalesce(F.abs(F.col("after") - F.col("hval")) == 1, F.lit(False)).cast("long")
+    return met.where("after is not null").agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum(close), F.lit(0)).alias("n_adjacent"))
+
+
+def locality(codes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(n_pairs, n_adjacent): neighbouring k-mers of a segment, and those of them whose codes are neighbours too. Of every place of a segment there is a row."""
+    return _pairs(_with_next(codes, block))
+
+
+def run_locality(contigs: DataFrame, index: Index, tile: int | None = None, block: int = BLOCK) -> DataFrame:
+    """locality() of a lookup of `contigs`, whose steps inside a super-k-mer are counted and not made.
+
+    Codes of a run with a unique minimizer are neighbours by construction, so only its two ends, and the k-mers of colliding
+    minimizers, meet their neighbours.
+    """
+    joined = lookup.met_runs(contigs, index, tile)
+    alone = joined.where(~lookup.run_collides()).select("seq_id", "seg_id", "start", "base", "sign", lookup.run_size().alias("size"), lookup.run_place().alias("place"))
+    last = F.col("size") - 1
+    inside = alone.where("base is not null").agg(F.coalesce(F.sum(last.cast("long")), F.lit(0)).alias("n_pairs")).select("n_pairs", F.col("n_pairs").alias("n_adjacent"))
+    # the first k-mer of a longer run is met by the run before only: its own next one is inside the run
+    ends = F.explode(F.when(last > 0, F.array(F.lit(0), last)).otherwise(F.array(F.lit(0)))).alias("j")
+    met = alone.select("*", ends).select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), (F.col("base") + F.col("sign") * (F.col("place") - F.col("j"))).alias("hval"), (F.col("j") == last).alias("opens"))
+    each = lookup.probed_runs(joined, index).select("seq_id", "seg_id", "pos", "hval", F.lit(True).alias("opens"))
+    counts = _pairs(_with_next(met.unionByName(each), block).where("opens"))
+    return counts.unionByName(inside).agg(*(F.sum(c).cast("long").alias(c) for c in ("n_pairs", "n_adjacent")))
 
 
 def fallback_share(index: Index) -> float:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import dna, packed
-from kmerloom.operators import baselines, lookup, minimizers, perfect_hash, sequences, statistics, validation
+from kmerloom.operators import baselines, lookup, membership, minimizers, perfect_hash, sequences, statistics, validation
 from kmerloom.operators.index import Index, build, relaid
 from kmerloom.operators.ranking import order_violations, ranked
 from kmerloom.plans.config import Options
@@ -223,7 +224,12 @@ def space_model(spark, d):
 
 
 def locality(spark, d):
-    return statistics.locality(lookup.by_super_kmer(contigs(spark, d), index(spark, d), tile=TILE))
+    return statistics.run_locality(contigs(spark, d), index(spark, d), TILE)
+
+
+def locality_random(spark, d):
+    """The same of codes that were looked up one by one."""
+    return statistics.locality(lookup.by_kmer(contigs(spark, d), index(spark, d), TILE))
 
 
 def whole_set_mphf(spark, d):
@@ -276,6 +282,20 @@ def index_roundtrip(spark, d):
     return lookup.by_super_kmer(contigs(spark, d), Index.load(spark, path))
 
 
+def index_tables(spark, d):
+    """The index as tables bucketed by minimizer and k-mer."""
+    name = f"index_{uuid.uuid4().hex}"
+    index(spark, d).save_tables(name)
+    return lookup.by_super_kmer(contigs(spark, d), Index.load_tables(spark, name), tile=TILE)
+
+
+def kmer_filter(spark, d):
+    """Of the k-mers of `documents`, whether the filter of the index's k-mers lets all pass."""
+    kmers, n = sequences.packed_kmers(contigs(spark, d), K, TILE), index(spark, d).n_kmers
+    made = membership.judged(kmers, "kmer", membership.built(kmers, "kmer", n), n, "passes")
+    return made.agg(F.count("*").alias("n_kmers"), F.coalesce(F.sum((~F.col("passes")).cast("long")), F.lit(0)).alias("n_lost"))
+
+
 def fasta_roundtrip(spark, d):
     path = new_folder(spark, "fasta")
     files.write_fasta(contigs(spark, d), path, "gzip")
@@ -298,6 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lookup_streaming_p, lookup_streaming_u, lookup_random_p, lookup_random_u, lookup_count, lookup_count_random, lookup_alien, lookup_strict, lookup_stream,
         check_index, check_index_unpartitioned, build_stats, space_model, locality, whole_set_mphf, baseline_lookup, bbhash, index_roundtrip, fasta_roundtrip,
         canonical_kmers_63, lookup_63, pilot_mphf, cascade_mphf, index_order, code_population, fastq_roundtrip, lookup_spread,
+        locality_random, index_tables, kmer_filter,
     )
 }
 
@@ -391,6 +412,7 @@ def _elias_fano(n: str, u: str) -> str:
 _MINIMAL = _sql(SEQS, select="SELECT count(DISTINCT kmer) AS n_kmers, count(DISTINCT kmer) AS n_codes, CASE WHEN count(*) > 0 THEN 0::BIGINT END AS least, CASE WHEN count(*) > 0 THEN count(DISTINCT kmer) - 1 END AS most FROM kms")
 _LOOKUP = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select=CODES)
 _LOOKUP_U = _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, _codes(), select=CODES)
+_LOCALITY = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_pairs, sum(CASE WHEN abs(next - hval) = 1 THEN 1 ELSE 0 END)::BIGINT AS n_adjacent FROM (SELECT hval, lead(hval) OVER (PARTITION BY seq_id, seg_id ORDER BY pos) AS next FROM codes) WHERE next IS NOT NULL")
 _COUNT = _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_kmers, count(hval) AS n_found FROM codes")
 
 SQL: dict[str, str] = {
@@ -413,7 +435,7 @@ SQL: dict[str, str] = {
     "rank_in_class": _sql(SEQS, RUNS, CLASSES, select="SELECT minimizer, cls, row_number() OVER (PARTITION BY cls ORDER BY minimizer) - 1 AS rank FROM mins"),
     "index_partitioned": _sql(SEQS, RUNS, CLASSES, PARTITIONED, select="SELECT * FROM idx"),
     "index_unpartitioned": _sql(SEQS, RUNS, CLASSES, UNPARTITIONED, select="SELECT minimizer, mm_rank, base, sign FROM idx"),
-    "lookup_streaming_p": _LOOKUP, "lookup_spread": _LOOKUP, "lookup_random_p": _LOOKUP, "lookup_stream": _LOOKUP, "index_roundtrip": _LOOKUP,
+    "lookup_streaming_p": _LOOKUP, "lookup_spread": _LOOKUP, "index_tables": _LOOKUP, "lookup_random_p": _LOOKUP, "lookup_stream": _LOOKUP, "index_roundtrip": _LOOKUP,
     "lookup_streaming_u": _LOOKUP_U, "lookup_random_u": _LOOKUP_U,
     "lookup_count": _COUNT, "lookup_count_random": _COUNT,
     "lookup_alien": _sql(SEQS, RUNS, CLASSES, PARTITIONED, ALIENS, _runs("q_"), _codes("q_each"), select=CODES),
@@ -425,7 +447,8 @@ SQL: dict[str, str] = {
     "space_model": _sql(SEQS, RUNS, CLASSES, "o AS (SELECT count(*) AS d, sum(CASE WHEN cls <> 'MAXIMAL' THEN 1 ELSE 0 END + CASE WHEN cls = 'NONE' THEN 1 ELSE 0 END)::BIGINT AS l, (sum(CASE WHEN cls NOT IN ('MAXIMAL', 'COLLISION') THEN size ELSE 0 END) + sum(CASE WHEN cls = 'NONE' THEN p1 ELSE 0 END))::BIGINT AS u, (SELECT count(*) FROM fb) AS f, sum(size)::BIGINT AS s FROM mins)",
         select=f"""SELECT component, bits::DOUBLE AS bits, bits::DOUBLE / (SELECT s + f FROM o) AS bits_per_kmer FROM (SELECT 'minimizer_order' AS component, d * {OPTIONS.bits_per_key}::DOUBLE AS bits FROM o
   UNION ALL SELECT 'classes', d * 2.5::DOUBLE FROM o UNION ALL SELECT 'sizes_and_positions', ({_elias_fano("l", "u")})::DOUBLE FROM o UNION ALL SELECT 'fallback', f * {OPTIONS.bits_per_key}::DOUBLE FROM o)"""),
-    "locality": _sql(SEQS, RUNS, CLASSES, PARTITIONED, _codes(), select="SELECT count(*) AS n_pairs, sum(CASE WHEN abs(next - hval) = 1 THEN 1 ELSE 0 END)::BIGINT AS n_adjacent FROM (SELECT hval, lead(hval) OVER (PARTITION BY seq_id, seg_id ORDER BY pos) AS next FROM codes) WHERE next IS NOT NULL"),
+    "locality": _LOCALITY, "locality_random": _LOCALITY,
+    "kmer_filter": _sql(SEQS, select="SELECT count(*) AS n_kmers, 0::BIGINT AS n_lost FROM kms"),
     "whole_set_mphf": _sql(SEQS, select="SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)"),
     "baseline_lookup": _sql(SEQS, ALIENS, select="SELECT q.seq_id, q.seg_id, q.pos, r.hval FROM q_kms q LEFT JOIN (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS hval FROM (SELECT DISTINCT kmer FROM kms)) r USING (kmer)"),
     "bbhash": _bbhash(),
