@@ -77,14 +77,16 @@ def _with_next(codes: DataFrame, block: int) -> DataFrame:
     return dealt.withColumn("after", F.lead("hval").over(w)).where("block = own").drop("own", "block")
 
 
-def _pairs(met: DataFrame) -> DataFrame:
+def _pairs(met: DataFrame, inside: Column) -> DataFrame:
+    """Of rows of _with_next(); `inside` are pairs, all adjacent, that a row has counted already."""
     close = F.coalesce(F.abs(F.col("after") - F.col("hval")) == 1, F.lit(False)).cast("long")
-    return met.where("after is not null").agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum(close), F.lit(0)).alias("n_adjacent"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return met.agg((F.count("after") + total(inside)).alias("n_pairs"), total(close + inside).alias("n_adjacent"))
 
 
 def locality(codes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(n_pairs, n_adjacent): neighbouring k-mers of a segment, and those of them whose codes are neighbours too. Of every place of a segment there is a row."""
-    return _pairs(_with_next(codes, block))
+    return _pairs(_with_next(codes, block), F.lit(0))
 
 
 def run_locality(contigs: DataFrame, index: Index, tile: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -96,13 +98,11 @@ def run_locality(contigs: DataFrame, index: Index, tile: int | None = None, bloc
     joined = lookup.met_runs(contigs, index, tile)
     alone = joined.where(~lookup.run_collides()).select("seq_id", "seg_id", "start", "base", "sign", lookup.run_size().alias("size"), lookup.run_place().alias("place"))
     last = F.col("size") - 1
-    inside = alone.where("base is not null").agg(F.coalesce(F.sum(last.cast("long")), F.lit(0)).alias("n_pairs")).select("n_pairs", F.col("n_pairs").alias("n_adjacent"))
     # the first k-mer of a longer run is met by the run before only: its own next one is inside the run
     ends = F.explode(F.when(last > 0, F.array(F.lit(0), last)).otherwise(F.array(F.lit(0)))).alias("j")
-    met = alone.select("*", ends).select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), (F.col("base") + F.col("sign") * (F.col("place") - F.col("j"))).alias("hval"), (F.col("j") == last).alias("opens"))
-    each = lookup.probed_runs(joined, index).select("seq_id", "seg_id", "pos", "hval", F.lit(True).alias("opens"))
-    counts = _pairs(_with_next(met.unionByName(each), block).where("opens"))
-    return counts.unionByName(inside).agg(*(F.sum(c).cast("long").alias(c) for c in ("n_pairs", "n_adjacent")))
+    met = alone.select("*", ends).select("seq_id", "seg_id", (F.col("start") + F.col("j")).alias("pos"), (F.col("base") + F.col("sign") * (F.col("place") - F.col("j"))).alias("hval"), (F.col("j") == last).alias("opens"), F.when(F.col("base").isNotNull(), last).otherwise(0).alias("inside"))
+    each = lookup.probed_runs(joined, index).select("seq_id", "seg_id", "pos", "hval", F.lit(True).alias("opens"), F.lit(0).alias("inside"))
+    return _pairs(_with_next(met.unionByName(each), block).where("opens"), F.col("inside"))
 
 
 def fallback_share(index: Index) -> float:
