@@ -1,9 +1,18 @@
 """What larger tables than the test tables bring out."""
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
+from kmerloom.operators import minimizers, sequences
+from kmerloom.operators.index import build, kept, relaid
+from kmerloom.operators.ranking import running_sum
+from kmerloom.plans.config import Options
+from kmerloom.storage import shared_dir
+from tests.test_engine import contigs, some_rows
 
 
 @pytest.mark.parametrize("k", [32, 40, 63])
@@ -12,3 +21,34 @@ def test_text_of_every_last_word(spark, k):
     texts = ["C" * (k - 32) + x for x in ("G" + "A" * 31, "A" * 32, "T" * 32, "G" + "A" * 30 + "C", "C" + "T" * 31, "A" * 15 + "TG" + "A" * 15)]
     made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed.from_text(F.col("t"), k).alias("kmer"))
     assert [r.u for r in made.select(packed.to_text(F.col("kmer"), k).alias("u")).collect()] == texts
+
+
+def test_an_index_keeps_its_own_tables_only(spark):
+    """Neither super-k-mers nor sorted tables stay on disk, and k-mers are ranked only when they are asked for."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    index = build(contigs(spark, some_rows(21, 60)), Options(k=7, m=3))
+    made = relaid(index, "unpartitioned")
+    made.minimizers = kept(made.minimizers, "minimizers")
+    assert sorted(x.name.split("-")[0] for x in set(folder.iterdir()) - before) == ["minimizers", "minimizers", "runs"]
+    assert made.fallback is index.fallback and made.n_kmers == index.n_kmers > 0
+    assert sorted(x.name.split("-")[0] for x in set(folder.iterdir()) - before) == ["fallback", "minimizers", "minimizers"]
+
+
+def test_sums_by_section_of_one_order(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(3), rng.choice([None, *range(9)])) for i in range(500)]
+    rng.shuffle(rows)
+    got = running_sum(spark.createDataFrame(rows, "i long, s int, v int"), ["i"], "v", "before", "s", "at").collect()
+    in_order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {r[0]: sum(x[2] or 0 for x in in_order[:n]) for n, r in enumerate(in_order)}
+    assert {r.i: r.before for r in got} == want and all(r.at == r.i for r in got)
+
+
+def test_copies_move_once(spark):
+    """A sequence that stands fifty times gives no more super-k-mers than once, and all its k-mers."""
+    one = "".join(random.Random(3).choices("ACGT", k=300))
+    runs = [sequences.packed_super_kmers(contigs(spark, [(i, one) for i in range(n)]), Options(k=31, m=15), 1 << 10) for n in (1, 50)]
+    few, many = (minimizers.held(r).collect() for r in runs)
+    assert len(few) == len(many) and {r.n for r in many} == {50 * r.n for r in few}
+    assert minimizers.distinct_kmers(runs[1], 31).count() == 270
