@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kmerloom.operators.ranking import ranked
-from kmerloom.storage import checkpointed
+from kmerloom.functions import packed
+from kmerloom.operators.ranking import parts_of, ranked, sums_before, within
+from kmerloom.storage import discarded, staged
 
 
-def by_rank(kmers: DataFrame) -> DataFrame:
-    """(kmer, hval): the distinct k-mers by their order as text."""
-    return ranked(kmers.select("kmer").distinct(), ["kmer"], "hval")
+def by_rank(kmers: DataFrame, distinct: bool = False) -> DataFrame:
+    """(kmer, hval): the distinct k-mers by their order as text. With `distinct`, `kmers` is a table without repeats, and is read as it is."""
+    return ranked(kmers.select("kmer"), ["kmer"], "hval", distinct=not distinct)
 
 
 def looked_up(kmers: DataFrame, table: DataFrame) -> DataFrame:
@@ -21,26 +23,41 @@ def looked_up(kmers: DataFrame, table: DataFrame) -> DataFrame:
     return kmers.join(table.select("kmer", "hval"), "kmer", "left")
 
 
-def slot_of(level: int, slots: int):
+#: Ranges of slots for each shuffle partition, so that hashing deals them evenly.
+RANGES = 16
+
+
+def slot_of(level: int, slots: int, text: Column):
     """The slot of a k-mer on a level, of `slots`: 60 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{level}:"), F.col("kmer")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{level}:"), text).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots))
 
 
-def by_levels(kmers: DataFrame, gamma: float = 1.0, levels: int = 24) -> DataFrame:
+def by_levels(kmers: DataFrame, gamma: float = 1.0, levels: int = 24, k: int | None = None, distinct: bool = False) -> DataFrame:
     """(kmer, level, hval): on each level the k-mers left are thrown into gamma slots a k-mer; those alone in a slot stay
-    there, the others go on. hval is the rank by (level, slot). What is left after `levels` is ranked as text behind."""
-    left = checkpointed(kmers.select("kmer").distinct())
-    done, n = [], left.count()
+    there, the others go on. hval is the rank by (level, slot). What is left after `levels` is ranked as text behind.
+
+    With `k`, k-mers come and go as numbers of so many bases; `distinct` as in by_rank(). A level is one shuffle by ranges of slots, in which slots
+    are counted and those alone in one are ranked too; the k-mers left are deleted when the next level has taken its own from them.
+    """
+    text = packed.to_text(F.col("kmer"), k) if k else F.col("kmer")
+    left = kmers.select("kmer") if distinct else staged(kmers.select("kmer").distinct(), "left", "zstd")
+    done, before, n, parts = [], 0, left.count(), RANGES * parts_of(left)
     for level in range(levels):
         if not n:
             break
-        thrown = left.withColumn("slot", slot_of(level, max(1, int(gamma * n))))
-        alone = thrown.groupBy("slot").agg(F.count("*").alias("n"), F.min("kmer").alias("kmer")).where("n = 1").select("kmer", F.lit(level).alias("level"), "slot")
-        alone = checkpointed(alone)
-        done.append(alone)
-        left = checkpointed(left.join(alone, "kmer", "left_anti"))
-        n = left.count()
-    done.append(left.select("kmer", F.lit(levels).alias("level"), F.lit(0).cast("long").alias("slot")))
-    every = reduce(DataFrame.unionByName, done)
-    return ranked(every, ["level", "slot", "kmer"], "hval").select("kmer", "level", "hval")
+        slots = max(1, int(gamma * n))
+        # digests are spread evenly, so ranges of slots need no sample
+        dealt = left.select("kmer", slot_of(level, slots, text).alias("slot")).withColumn("part", F.floor(F.col("slot") * parts / slots).cast("int")).repartition("part")
+        # the window has its rows sorted by part and slot, and so they stay
+        counted = dealt.withColumn("alone", (F.count("*").over(W.partitionBy("part", "slot")) == 1).cast("long")).drop("slot")
+        placed = staged(within(counted, "alone", "inside", "part"), "level", "zstd")
+        if level or not distinct:
+            discarded(left)
+        offsets, stay = sums_before(placed.where("alone = 1").groupBy("part").agg(F.count("*").alias("n"))), placed.where("alone = 1")
+        done.append(stay.join(F.broadcast(offsets), "part").select("kmer", F.lit(level).alias("level"), (F.lit(before) + F.col("offset") + F.col("inside")).alias("hval")))
+        left = staged(placed.where("alone = 0").select("kmer"), "left", "zstd")
+        gone, n = n, left.count()
+        before += gone - n
+    done.append(ranked(left, ["kmer"], "at").select("kmer", F.lit(levels).alias("level"), (F.lit(before) + F.col("at")).alias("hval")))
+    return reduce(DataFrame.unionByName, done)

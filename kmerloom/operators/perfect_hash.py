@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.operators.ranking import running_sum
-from kmerloom.storage import checkpointed
+from kmerloom.storage import discarded, staged
 
 U64 = np.uint64
 #: The 64-bit xxHash's primes, as Spark's xxhash64() has them.
@@ -69,12 +69,13 @@ def _hash(kmer: Column | str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed).cast("long"), kmer)
 
 
-def _shard(parts: int) -> Column:
-    return F.pmod(F.shiftright(F.xxhash64("h", F.lit(1).cast("long")), 8), F.lit(parts).cast("long"))
+def _shard(parts: int, h: Column | str = "h") -> Column:
+    return F.pmod(F.shiftright(F.xxhash64(h, F.lit(1).cast("long")), 8), F.lit(parts).cast("long"))
 
 
-def _built(kmers: DataFrame, kind: str, schema: str, make, seed: int, size: int) -> Function:
-    keys = checkpointed(kmers.where("kmer is not null").select(_hash("kmer", seed).alias("h"), "kmer").distinct().select("h"))
+def _built(kmers: DataFrame, kind: str, schema: str, make, seed: int, size: int, distinct: bool) -> Function:
+    given = kmers.where("kmer is not null").select("kmer")
+    keys = (given if distinct else staged(given.distinct(), "keys", "zstd")).select(_hash("kmer", seed).alias("h"))
     n = keys.count()
     parts = max(1, -(-n // size))
 
@@ -88,8 +89,11 @@ def _built(kmers: DataFrame, kind: str, schema: str, make, seed: int, size: int)
         values = [group.column("shard")[0].as_py(), *row]
         return pa.table([pa.array([v], kinds[x.split()[1]]) for v, x in zip(values, schema.split(", "), strict=True)], names=names)
 
-    table = checkpointed(keys.withColumn("shard", _shard(parts)).groupBy("shard").applyInArrow(run, schema))
-    return Function(kind, checkpointed(running_sum(table, ["shard"], "n", "base")), parts, seed, n)
+    table = staged(keys.withColumn("shard", _shard(parts)).groupBy("shard").applyInArrow(run, schema), "shards", "zstd")
+    if not distinct:
+        discarded(keys)
+    bases = running_sum(table.select("shard", F.col("n").alias("width")), ["shard"], "width", "base").select("shard", "base")  # a row a partition
+    return Function(kind, table.join(bases, "shard"), parts, seed, n)
 
 
 # pilots
@@ -133,9 +137,9 @@ def _pilots(hashes: np.ndarray) -> tuple:
     return n, slots, dense, buckets, pilots, moved
 
 
-def by_pilots(kmers: DataFrame, seed: int = 1, size: int = SIZE) -> Function:
-    """A function of the distinct k-mers of `kmers` (kmer) by buckets and pilots. Null k-mers don't count."""
-    return _built(kmers, "pilots", PILOTS, _pilots, seed, size)
+def by_pilots(kmers: DataFrame, seed: int = 1, size: int = SIZE, distinct: bool = False) -> Function:
+    """A function of the distinct k-mers of `kmers` (kmer) by buckets and pilots. Null k-mers don't count. With `distinct`, `kmers` is a table without repeats, and is read as it is."""
+    return _built(kmers, "pilots", PILOTS, _pilots, seed, size, distinct)
 
 
 def _pilot_place() -> Column:
@@ -173,9 +177,9 @@ def _levels(gamma: float, levels: int):
     return make
 
 
-def by_cascade(kmers: DataFrame, gamma: float = 1.0, levels: int = 24, seed: int = 1, size: int = SIZE) -> Function:
-    """A function of the distinct k-mers of `kmers` (kmer) by levels of collision-free slots; hashes left after `levels` are listed."""
-    return _built(kmers, "cascade", CASCADE, _levels(gamma, levels), seed, size)
+def by_cascade(kmers: DataFrame, gamma: float = 1.0, levels: int = 24, seed: int = 1, size: int = SIZE, distinct: bool = False) -> Function:
+    """A function of the distinct k-mers of `kmers` (kmer) by levels of collision-free slots; hashes left after `levels` are listed. `distinct` as in by_pilots()."""
+    return _built(kmers, "cascade", CASCADE, _levels(gamma, levels), seed, size, distinct)
 
 
 def _cascade_place() -> Column:
@@ -194,8 +198,9 @@ def _cascade_place() -> Column:
 def looked_up(kmers: DataFrame, function: Function) -> DataFrame:
     """`kmers` with hval, the function's code of each; of k-mers outside its set any code or null. Null k-mers have a null code."""
     place = _pilot_place() if function.kind == "pilots" else _cascade_place()
-    asked = kmers.withColumn("h", _hash("kmer", function.seed)).withColumn("shard", _shard(function.parts))
-    found = asked.join(function.table, "shard", "left")
+    h = _hash("kmer", function.seed)
+    # joined by an expression of the k-mer and hashed again, so that nothing else moves with it
+    found = kmers.join(function.table, _shard(function.parts, h) == F.col("shard"), "left").withColumn("h", h)
     return found.select(*kmers.columns, F.when(F.col("kmer").isNotNull(), F.col("base") + place).alias("hval"))
 
 

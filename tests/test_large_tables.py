@@ -1,5 +1,7 @@
 """What larger tables than the test tables bring out."""
 
+import collections
+import hashlib
 import random
 from pathlib import Path
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
-from kmerloom.operators import minimizers, sequences
+from kmerloom.operators import baselines, minimizers, sequences
 from kmerloom.operators.index import build, kept, relaid
 from kmerloom.operators.ranking import running_sum
 from kmerloom.plans.config import Options
@@ -52,3 +54,27 @@ def test_copies_move_once(spark):
     few, many = (minimizers.held(r).collect() for r in runs)
     assert len(few) == len(many) and {r.n for r in many} == {50 * r.n for r in few}
     assert minimizers.distinct_kmers(runs[1], 31).count() == 270
+
+
+def test_levels_of_numbers_and_of_text(spark):
+    given = contigs(spark, some_rows(22, 60))
+    text = baselines.by_levels(sequences.kmers(given, 31), 2.0, 3).collect()
+    runs = sequences.packed_super_kmers(given, Options(k=31, m=15))
+    made = baselines.by_levels(minimizers.distinct_kmers(runs, 31), 2.0, 3, 31)
+    packed_rows = made.select(packed.to_text(F.col("kmer"), 31).alias("kmer"), "level", "hval").collect()
+    assert sorted(map(tuple, text)) == sorted(map(tuple, packed_rows)) and sorted(r.hval for r in text) == list(range(len(text)))
+    # by (level, slot), which the digest gives
+    n, done = len(text), 0
+    for level in range(3):
+        own = sorted((r.hval, int(hashlib.md5(f"{level}:{r.kmer}".encode()).hexdigest()[:15], 16) % max(1, int(2.0 * (n - done)))) for r in text if r.level == level)
+        assert [s for _, s in own] == sorted({s for _, s in own})
+        done += len(own)
+
+
+def test_canonical_counts_by_super_kmers(spark):
+    o, rows = Options(k=9, m=4, canonical=True), some_rows(23, 60)
+    given = contigs(spark, rows + [(1000 + i, s) for i, s in rows])
+    got = {r.t: r.n for r in minimizers.canonical_counts(sequences.packed_super_kmers(given, o, 8), 9).select(packed.to_text(F.col("kmer"), 9).alias("t"), "n").collect()}
+    turned = str.maketrans("ACGT", "TGCA")
+    assert got == collections.Counter(min(r.kmer, r.kmer.translate(turned)[::-1]) for r in sequences.kmers(given, 9).collect())
+    assert minimizers.canonical_counts(sequences.packed_super_kmers(given, o, 8), 9).count() == len(got)
