@@ -299,9 +299,12 @@ def index_tables(spark, d):
 
 def kmer_filter(spark, d):
     """Of the k-mers of `documents`, whether the filter of the index's k-mers lets all pass."""
-    kmers, n = sequences.packed_kmers(contigs(spark, d), K, TILE), index(spark, d).n_kmers
+    # each k-mer is asked once, with the number of its places
+    kmers = staged(minimizers.counts(packed_runs(spark, d), K), "kmers", "zstd")
+    n = kmers.count()
     made = membership.judged(kmers, "kmer", membership.built(kmers, "kmer", n), n, "passes")
-    return made.agg(F.count("*").alias("n_kmers"), F.coalesce(F.sum((~F.col("passes")).cast("long")), F.lit(0)).alias("n_lost"))
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return made.agg(zero("n").alias("n_kmers"), zero(F.when(~F.col("passes"), F.col("n"))).alias("n_lost"))
 
 
 def fasta_roundtrip(spark, d):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
-from kmerloom.operators import baselines, minimizers, sequences
+from kmerloom.operators import baselines, membership, minimizers, sequences
 from kmerloom.operators.index import build, kept, relaid
 from kmerloom.operators.ranking import running_sum
 from kmerloom.plans.config import Options
@@ -78,3 +78,15 @@ def test_canonical_counts_by_super_kmers(spark):
     turned = str.maketrans("ACGT", "TGCA")
     assert got == collections.Counter(min(r.kmer, r.kmer.translate(turned)[::-1]) for r in sequences.kmers(given, 9).collect())
     assert minimizers.canonical_counts(sequences.packed_super_kmers(given, o, 8), 9).count() == len(got)
+
+
+def test_large_filter_is_not_broadcast(spark):
+    given = contigs(spark, some_rows(24, 60))
+    keys = sequences.packed_kmers(given, 9)
+    n = keys.distinct().count()
+    bloom = membership.built(keys, "kmer", n)
+    asked = keys.union(sequences.packed_kmers(contigs(spark, some_rows(25, 60)), 9))
+    small, large = (membership.judged(asked, "kmer", bloom, n, "maybe", b) for b in (membership.MOST_BYTES, 0))
+    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert large.where("not maybe").join(keys, "kmer", "left_semi").count() == 0
