@@ -246,7 +246,8 @@ def nearest(vectors: DataFrame, k: int = 20, scale: int = 64, every: int = 20) -
                     named = np.repeat(named, n, axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(found[:, 2], mask=found[:, 1] == 1), pa.array(found[:, 0])], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    found = sent.join(span, "part").select("first", "vec_ids", "vectors", "width", "asks").mapInArrow(run, FOUND)
+    # Queries times blocks: the estimate of its size is that of the queries alone, so without the hint it would be broadcast, whole through the driver.
+    found = sent.hint("merge").join(span.hint("merge"), "part").select("first", "vec_ids", "vectors", "width", "asks").mapInArrow(run, FOUND)
     order = W.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
