@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kmerloom.operators.index import Index
 from kmerloom.operators.lookup import by_kmer, by_super_kmer
 from kmerloom.operators.sequences import packed_kmers
-from kmerloom.storage import checkpointed
+from kmerloom.storage import staged
 
 
 def out_of_bounds(codes: DataFrame, n: int) -> DataFrame:
@@ -45,7 +45,7 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
 def report(contigs: DataFrame, index: Index, tile: int | None = None) -> DataFrame:
     """One row: how many violations of each kind the sequences that the index was built from show. All 0 for a sound index."""
     n = index.n_kmers
-    stepped = checkpointed(by_super_kmer(contigs, index, True, tile))
+    stepped = staged(by_super_kmer(contigs, index, True, tile), "codes", "zstd")
     parts = {
         "duplicate_codes": duplicates(stepped),
         "stream_differs": differences(stepped.drop("kmer"), by_kmer(contigs, index, tile)),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import packed
-from kmerloom.operators import baselines, membership, minimizers, sequences
+from kmerloom.operators import baselines, membership, minimizers, sequences, skew
 from kmerloom.operators.index import build, kept, relaid
 from kmerloom.operators.ranking import running_sum
 from kmerloom.plans.config import Options
@@ -90,3 +90,12 @@ def test_large_filter_is_not_broadcast(spark):
     assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert large.where("not maybe").join(keys, "kmer", "left_semi").count() == 0
+
+
+def test_counts_of_keys_do_not_stay(spark):
+    """Of the rows of all keys that heavy_keys() counts, only the heavy ones are left on disk."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    heavy = skew.heavy_keys(spark.createDataFrame([(i % 50 if i < 100 else 7,) for i in range(200)], "key long"), "key", 0.25)
+    assert [r.key for r in heavy.collect()] == [7]
+    assert [x.name.split("-")[0] for x in set(folder.iterdir()) - before] == ["heavy"]
