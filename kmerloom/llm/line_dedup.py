@@ -100,6 +100,17 @@ def items(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return row, line[some], item, kinds
 
 
+def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item) of rows of LINES: each item of items() once a document and leaf, uncombined, so rows are in proportion to tokens in whatever order they stand."""
+    for batch in in_chunks(batches, column="tokens"):
+        row, line, item, _ = items(batch)
+        row = row[line]
+        order = np.lexsort((item, row))
+        row, item = row[order], item[order]
+        fresh = np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]))[: len(item)]
+        yield pa.RecordBatch.from_arrays([pa.array(item[fresh].view(np.int64))], names=["item"])
+
+
 def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, line_no, template) of rows of LINES: each line with no other fields than tokens with a digit."""
     for batch in in_chunks(batches, column="tokens"):
@@ -172,11 +183,6 @@ def deduped(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(p.leaf[head].view(np.int64)), pa.array(p.n[head].astype(np.int32)), binary(number, cuts), binary(token, ends)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in LINES.split(", ")])
 
-    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches, column="tokens"):
-            row, line, item, _ = items(batch)
-            yield per_document(row[line], item)
-
     def long_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches):
             p = parse(*utf8_parts(batch.column(2)))
@@ -191,7 +197,7 @@ def deduped(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
     lines = staged(found.select("doc_id", "text_key", "leaf", "n", "numbers", "tokens", "n_docs"), "lines")
     # Leaves of fewer documents can't have a template with words as fields.
     full = lines.where(F.col("n_docs") >= FIELD_DOCS)
-    frequent = staged(often(full.mapInArrow(of_items, COUNTS)).unionByName(live.where(F.col("n_docs") >= FIELD_DOCS).select("item", F.lit(ALWAYS).alias("n_docs"))), "tokens")
+    frequent = staged(often(full.mapInArrow(of_items, "item long").withColumn("n_docs", F.lit(1))).unionByName(live.where(F.col("n_docs") >= FIELD_DOCS).select("item", F.lit(ALWAYS).alias("n_docs"))), "tokens")
     least = lambda df, n: df.withColumn("least_docs", F.lit(n))
     placed = staged(least(templates(full, frequent), FIELD_DOCS).unionByName(least(lines.mapInArrow(masked, LONG), LEAST_DOCS)).unionByName(least(texts.mapInArrow(long_lines, LONG), LONG_DOCS)), "templates")
     for done in (live, lines, frequent):  # only the templates are read from here on
