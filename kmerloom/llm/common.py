@@ -39,7 +39,11 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def in_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+#: Bytes of text that numpy works on at a time: its arrays are some 50 to 100 times as large, and a worker keeps what it once took.
+CHUNK = 1 << 18
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text, so that numpy work on a batch has a bounded size (one row at least)."""
     for batch in batches:
         sizes = np.zeros(len(batch) + 1, np.int64)

@@ -37,6 +37,8 @@ DELTAS = "component long, id long, base long, missing long, n long, delta binary
 UNIT = ["unit", "id", "own", "cross", "base", "missing", "n", "delta"]
 WORDS64 = 8  # a bitmap has 512 bits
 FANOUT = 8
+#: Buckets of signatures a shuffle partition.
+BUCKETS = 4
 #: The chance that a linked pair's differences fall into more parts than is allowed for.
 RISK = 1e-15
 #: In large components, elements of a part, and the most partitions.
@@ -205,7 +207,8 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         return hashes, ids, sizes.astype(np.int64)
 
     for batch in batches:
-        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(len(batch)):  # a row at a time, as a batch may hold many buckets
+            b, *row = (c[i].as_py() for c in batch.columns)
             if b != bucket:
                 if parts[0]:
                     yield done()
@@ -528,7 +531,8 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     Rows of units are (unit, id, own, cross, base, missing, n, delta) and stand together by unit; own is the block of the
     set, and a unit that is `cross` is of two blocks, whose sets are compared with those of the other one.
     """
-    rule, n_tasks = Rule(percent), shuffle_partitions(docs)
+    # a task has several buckets, one in memory at a time
+    rule, n_tasks = Rule(percent), BUCKETS * shuffle_partitions(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,7 +552,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     classes = checkpointed(every.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies")).where("id is not null"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_chunks(batches, 1 << 22, "signatures"):
             signs = batch.column(2).to_pylist()
             m = np.array([len(x) // 8 for x in signs], np.int64)
             hashes = np.frombuffer(b"".join(signs), np.uint64)

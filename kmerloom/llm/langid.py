@@ -54,7 +54,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, 1 << 20):
             bins, at = grams(batch.column(1))
             langs = batch.column(0).dictionary_encode()
             own = np.repeat(langs.indices.to_numpy(), np.diff(at))

@@ -157,7 +157,7 @@ def judged(docs: DataFrame, tokens_file: str, pieces_file: str, bands: dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, fallback = byte_bpe(tokens_file), ByteFallback(pieces_file)
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, 1 << 20):
             counts = base_counts(*utf8_parts(batch.column(1)))
             failed = (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEAT_PERCENT * counts["n_words"])
             rows = []

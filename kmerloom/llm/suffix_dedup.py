@@ -278,7 +278,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     texts = given.join(firsts.withColumn("is_first", F.lit(True)), "rid", "left").select("rid", "doc_id", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches):
+        for batch in in_chunks(batches, 1 << 20):
             hashes, doc, _, _ = anchors(*utf8_parts(batch.column(1)))
             rids = batch.column(0).to_numpy()[doc]
             order, _, cuts = buckets_of(hashes, 4 * parts)
