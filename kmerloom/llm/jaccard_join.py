@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm import textvec as V
-from kmerloom.llm.common import checkpointed, in_chunks, shuffle_partitions, utf8_parts
+from kmerloom.llm.common import checkpointed, in_chunks, shuffle_partitions, staged, utf8_parts
 from kmerloom.llm.components import components
+from kmerloom.operators import membership
 
 SETS = "doc_id long, n_shingles long, key_a long, key_b long, signatures binary"
 PACKED = "bucket int, hashes binary, ids binary, sizes binary"
@@ -37,8 +38,10 @@ DELTAS = "component long, id long, base long, missing long, n long, delta binary
 UNIT = ["unit", "id", "own", "cross", "base", "missing", "n", "delta"]
 WORDS64 = 8  # a bitmap has 512 bits
 FANOUT = 8
-#: Buckets of signatures a shuffle partition.
-BUCKETS = 4
+#: Pieces that a bucket of signatures is worked on in.
+PIECES = 4
+#: Bytes of a signature that are kept: two that clash only bring sets together that are then counted exactly.
+WIDTH = 6
 #: The chance that a linked pair's differences fall into more parts than is allowed for.
 RISK = 1e-15
 #: In large components, elements of a part, and the most partitions.
@@ -188,10 +191,22 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - lengths, lengths) + np.repeat(starts, lengths)
 
 
-def packed(bucket: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    """One row a bucket: its hashes with the id and size of the set that each comes from."""
+def narrow(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The lowest bytes of each hash, a row a hash."""
+    return np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def widened(data: bytes, width: int = WIDTH) -> np.ndarray:
+    """Numbers of narrow() again."""
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def packed(bucket: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, width: int = 8) -> pa.RecordBatch:
+    """One row a bucket: its hashes, of so many bytes, with the id and size of the set that each comes from."""
     order = np.argsort(bucket, kind="stable")
-    bucket, hashes, ids, sizes = bucket[order], hashes[order], ids[order], sizes[order].astype(np.int32)
+    bucket, hashes, ids, sizes = bucket[order], narrow(hashes[order], width), ids[order], sizes[order].astype(np.int32)
     cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]), len(bucket))
     rows = [(int(bucket[a]), hashes[a:b].tobytes(), ids[a:b].tobytes(), sizes[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -203,8 +218,8 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     bucket, parts = None, ([], [], [])
 
     def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes, ids, sizes = (np.frombuffer(b"".join(p), t) for p, t in zip(parts, (np.uint64, np.int64, np.int32), strict=True))
-        return hashes, ids, sizes.astype(np.int64)
+        data, (ids, sizes) = b"".join(parts[0]), (np.frombuffer(b"".join(p), t) for p, t in zip(parts[1:], (np.int64, np.int32), strict=True))
+        return widened(data, len(data) // len(ids)) if len(ids) else np.zeros(0, np.uint64), ids, sizes.astype(np.int64)
 
     for batch in batches:
         for i in range(len(batch)):  # a row at a time, as a batch may hold many buckets
@@ -219,6 +234,18 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield done()
 
 
+def pieces(bucket: tuple[np.ndarray, ...], key: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """A bucket in PIECES by the upper bits of `key`, as work on it takes several times its memory; equal keys stay together."""
+    which = key.astype(np.uint64) >> V.U64(8 * WIDTH - 8)
+    for i in range(PIECES):
+        own = which % V.U64(PIECES) == i
+        yield tuple(x[own] for x in bucket)
+
+
+def end_to_end(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class Union:
     """Disjoint sets of 0 .. n - 1, the least member as the root."""
 
@@ -249,7 +276,8 @@ class Union:
 
 def sharing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
     """Ids and sizes of the sets that share signatures of a bucket with another of a fitting size, and how often (in place of a hash); packed by id."""
-    for hashes, ids, sizes in buckets(batches):
+
+    def shared_in(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((sizes, hashes))
         hashes, ids, sizes = hashes[order], ids[order], sizes[order]
         beside = (hashes[1:] == hashes[:-1]) & rule.fits(sizes[:-1], sizes[1:])
@@ -259,25 +287,31 @@ def sharing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterat
         order = np.lexsort((sizes[shared], ids[shared]))
         ids, sizes = ids[shared][order], sizes[shared][order]
         found, first, n = np.unique(ids, return_index=True, return_counts=True)
-        yield packed((V.mix(found.astype(V.U64)) % V.U64(slots)).astype(np.int64), n.astype(np.uint64), found, sizes[first])
+        return n.astype(np.uint64), found, sizes[first]
+
+    for bucket in buckets(batches):
+        counts, ids, sizes = end_to_end([shared_in(*piece) for piece in pieces(bucket, bucket[0])])
+        yield packed((V.mix(ids.astype(V.U64)) % V.U64(slots)).astype(np.int64), counts, ids, sizes)
 
 
 def enough(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """The ids of the sets that share as many signatures as a linked set must."""
-    for counts, ids, sizes in buckets(batches):
-        order = np.lexsort((sizes, ids))  # the least size of an id that has several
-        counts, ids, sizes = counts[order], ids[order], sizes[order]
-        found, first, which = np.unique(ids, return_index=True, return_inverse=True)
-        n = np.bincount(which, counts.astype(float), len(found))
-        edges, plan = rule.classes(int(sizes.max(initial=1)))
-        cls = np.searchsorted(edges, sizes[first], "right") - 1
-        stay = n >= np.minimum(plan[cls, 5], plan[np.maximum(cls - 1, 0), 5])
-        yield pa.RecordBatch.from_arrays([pa.array(found[stay], pa.int64())], names=["doc_id"])
+    for bucket in buckets(batches):
+        for counts, ids, sizes in pieces(bucket, V.mix(bucket[1].astype(V.U64))):
+            order = np.lexsort((sizes, ids))  # the least size of an id that has several
+            counts, ids, sizes = counts[order], ids[order], sizes[order]
+            found, first, which = np.unique(ids, return_index=True, return_inverse=True)
+            n = np.bincount(which, counts.astype(float), len(found))
+            edges, plan = rule.classes(int(sizes.max(initial=1)))
+            cls = np.searchsorted(edges, sizes[first], "right") - 1
+            stay = n >= np.minimum(plan[cls, 5], plan[np.maximum(cls - 1, 0), 5])
+            yield pa.RecordBatch.from_arrays([pa.array(found[stay], pa.int64())], names=["doc_id"])
 
 
 def agreeing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Iterator[pa.RecordBatch]:
     """For each set, the least of those that shared signatures of a bucket connect it with by fitting sizes; packed by id."""
-    for hashes, ids, sizes in buckets(batches):
+
+    def least_in(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ids, sizes, hashes))
         hashes, ids, sizes = hashes[order], ids[order], sizes[order]
         beside = (hashes[1:] == hashes[:-1]) & rule.fits(sizes[:-1], sizes[1:])
@@ -291,8 +325,11 @@ def agreeing(batches: Iterator[pa.RecordBatch], rule: Rule, slots: int) -> Itera
         union.join(np.stack([pairs // max(1, len(nodes)), pairs % max(1, len(nodes))], 1))
         root = union.roots()
         moved = np.flatnonzero(root != np.arange(len(nodes)))
-        slot = (V.mix(nodes[moved].astype(V.U64)) % V.U64(slots)).astype(np.int64)
-        yield packed(slot, nodes[root[moved]].astype(np.uint64), nodes[moved], np.zeros(len(moved), np.int32))
+        return nodes[root[moved]].astype(np.uint64), nodes[moved]
+
+    for bucket in buckets(batches):
+        least, ids = end_to_end([least_in(*piece) for piece in pieces(bucket, bucket[0])])
+        yield packed((V.mix(ids.astype(V.U64)) % V.U64(slots)).astype(np.int64), least, ids, np.zeros(len(ids), np.int32))
 
 
 def joined_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -525,14 +562,36 @@ def linked(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     )
 
 
+def asked(df: DataFrame, key: str, ids: DataFrame, into: str) -> DataFrame | None:
+    """(row, `into`): the rows of `df` and whether their `key` may be among the stored `ids`, false if it is null; none where these are too many for a filter that is broadcast."""
+    n = ids.count()
+    if membership.size(n) > membership.MOST_BYTES:
+        return None
+    rows = df.select(F.col(key).cast("long").alias("key_"), F.struct("*").alias("row"))
+    return membership.judged(rows, "key_", membership.built(ids, ids.columns[0], n), n, into).drop("key_")
+
+
+def narrowed(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`df` without most of the rows whose `key` isn't among `ids`, so that a join with these moves few others."""
+    met = asked(df, key, ids, "maybe_")
+    return df if met is None else met.where("maybe_").select("row.*")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """`df` without the rows whose `key` is among the stored `ids`; of those that stay few move."""
+    met, gone = asked(df, key, ids, "maybe_"), ids.toDF("gone_")
+    if met is None:
+        return df.join(gone, F.col(key) == F.col("gone_"), "left_anti")
+    return met.where("not maybe_").select("row.*").unionByName(met.where("maybe_").join(gone, F.col(f"row.{key}") == F.col("gone_"), "left_anti").select("row.*"))
+
+
 def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What linked() and links() start from: each row's set by its size and keys, the classes of equal sets, and the units to be joined exactly.
 
     Rows of units are (unit, id, own, cross, base, missing, n, delta) and stand together by unit; own is the block of the
     set, and a unit that is `cross` is of two blocks, whose sets are compared with those of the other one.
     """
-    # a task has several buckets, one in memory at a time
-    rule, n_tasks = Rule(percent), BUCKETS * shuffle_partitions(docs)
+    rule, n_tasks = Rule(percent), shuffle_partitions(docs)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,6 +601,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             sums = np.concatenate([np.zeros((2, 1), V.U64), np.cumsum(np.stack([V.mix(hashes), V.mix(hashes ^ V.U64(V.BASE))]), axis=1)], axis=1)
             keys = (sums[:, at[1:]] - sums[:, at[:-1]]).view(np.int64)
             signed, owner = signatures(hashes, at, rule)
+            signed = narrow(signed)
             cut = np.searchsorted(owner, np.arange(len(n) + 1)).tolist()
             signed = pa.array([signed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), signed], names=["doc_id", "n_shingles", "key_a", "key_b", "signatures"])
@@ -554,16 +614,17 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, 1 << 22, "signatures"):
             signs = batch.column(2).to_pylist()
-            m = np.array([len(x) // 8 for x in signs], np.int64)
-            hashes = np.frombuffer(b"".join(signs), np.uint64)
-            yield packed((hashes % V.U64(n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m))
+            m = np.array([len(x) // WIDTH for x in signs], np.int64)
+            hashes = widened(b"".join(signs))
+            yield packed((hashes % V.U64(n_tasks)).astype(np.int64), hashes, np.repeat(batch.column(0).to_numpy(), m), np.repeat(batch.column(1).to_numpy(), m), WIDTH)
 
-    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    # a bucket a task
+    by_bucket = lambda df: df.repartitionById(n_tasks, "bucket").sortWithinPartitions("bucket")
     signing = signed.where("length(signatures) > 0")
     representatives = signing.join(classes.select(*key, F.col("id").alias("doc_id")), [*key, "doc_id"], "left_semi").select("doc_id", "n_shingles", "signatures")
     shared = by_bucket(representatives.mapInArrow(deal, PACKED)).mapInArrow(lambda b: sharing(b, rule, n_tasks), PACKED)
     staying = checkpointed(by_bucket(shared).mapInArrow(lambda b: enough(b, rule), "doc_id long"))
-    near = signing.join(staying, "doc_id", "left_semi").select("doc_id", "n_shingles", "signatures").mapInArrow(deal, PACKED)
+    near = narrowed(signing, "doc_id", staying).join(staying, "doc_id", "left_semi").select("doc_id", "n_shingles", "signatures").mapInArrow(deal, PACKED)
     edges = by_bucket(by_bucket(near).mapInArrow(lambda b: agreeing(b, rule, n_tasks), PACKED)).mapInArrow(joined_edges, "a long, b long")
     groups = checkpointed(components(edges))
 
@@ -573,15 +634,17 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             own = [hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(own, pa.binary())], names=["id", "component", "n", "hashes"])
 
-    remaining = checkpointed(given.join(groups, given["doc_id"] == groups["id"]).select("id", "component", "text").mapInArrow(whole, WHOLE).where("n > 0"))
+    remaining = checkpointed(narrowed(given, "doc_id", groups.select("id")).join(groups, F.col("doc_id") == F.col("id")).select("id", "component", "text").mapInArrow(whole, WHOLE).where("n > 0"))
     beyond = (F.col("n_sets") > BLOCK) | (F.col("n_elements") > ELEMENTS)
-    sized = lambda df: checkpointed(df.groupBy("component").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_elements"), F.min("id").alias("pivot")).where(beyond).select("component", "pivot"))
+    # few rows, of a size that is known: what they join needn't move
+    sized = lambda df: staged(df.groupBy("component").agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_elements"), F.min("id").alias("pivot")).where(beyond).select("component", "pivot"), "sized")
 
     def sign_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_chunks(batches, column="hashes"):
             n = batch.column(1).to_numpy()
             signed, owner = signatures(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64), np.cumsum(np.append(0, n)), rule, fine=True)
-            yield packed((signed % V.U64(n_tasks)).astype(np.int64), signed, batch.column(0).to_numpy()[owner], n[owner])
+            signed = widened(narrow(signed).tobytes())
+            yield packed((signed % V.U64(n_tasks)).astype(np.int64), signed, batch.column(0).to_numpy()[owner], n[owner], WIDTH)
 
     chained = sized(remaining).select("component")
     loose = remaining.join(chained, "component").select("id", "n", "hashes")
@@ -605,7 +668,7 @@ def candidates(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.binary()], strict=True)], names=[x.split()[0] for x in DELTAS.split(", ")])
 
     pivots = remaining.join(large.withColumnRenamed("pivot", "id"), ["component", "id"]).groupBy("component").agg(F.min("hashes").alias("pivot"))
-    differing = checkpointed(remaining.join(pivots, "component").select("component", "id", "hashes", "pivot").mapInArrow(differences, DELTAS))
+    differing = checkpointed(remaining.join(large.select("component"), "component", "left_semi").join(pivots, "component").select("component", "id", "hashes", "pivot").mapInArrow(differences, DELTAS))
     blocks = differing.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("delta")) / (8 * ELEMENTS))).alias("blocks"))
     placed = differing.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     # a component of several blocks is joined block pair by block pair
