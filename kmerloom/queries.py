@@ -148,7 +148,7 @@ def minimizer_rank(spark, d):
 
 
 def fallback_rank(spark, d):
-    return as_text(index(spark, d).fallback)
+    return as_text(index(spark, d).fallback.select("kmer", "fb_rank"))
 
 
 def rank_in_class(spark, d):
