@@ -194,12 +194,19 @@ def lookup_count_random(spark, d):
     return lookup.counted(contigs(spark, d), index(spark, d), one_by_one=True)
 
 
+def few_looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of the aliens, who are few to the index."""
+    given, made = aliens(spark, sf_dir), index(spark, sf_dir)
+    return lookup.by_super_kmer(given, lookup.thinned(given, made))
+
+
 def lookup_alien(spark, d):
-    return lookup.by_super_kmer(aliens(spark, d), index(spark, d))
+    return few_looked_up(spark, d)
 
 
 def lookup_strict(spark, d):
-    return lookup.strict(aliens(spark, d), index(spark, d), distinct_kmers(spark, d))
+    # the keys are cut and thinned out where they stand: they needn't be distinct
+    return lookup.strict(aliens(spark, d), index(spark, d), sequences.packed_kmers(contigs(spark, d), K, TILE))
 
 
 def lookup_stream(spark, d):
@@ -280,8 +287,7 @@ def index_order(spark, d):
 
 def code_population(spark, d):
     """Codes of the k-mers of `benchmark` among those of the index: how many are out of its bounds, and how many of its codes they leave out."""
-    made = index(spark, d)
-    return validation.population(lookup.by_super_kmer(aliens(spark, d), made), made.n_kmers)
+    return validation.population(few_looked_up(spark, d), index(spark, d).n_kmers)
 
 
 def index_roundtrip(spark, d):
